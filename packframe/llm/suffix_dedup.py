@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from packframe.llm.common import table
 from packframe.llm.units import MESSAGE, Unit, answer, bucket_of, messages, mix, pack, slices, unit_table, unpack
 
-SPAN, K = 50, 20
+SPAN, K = 50, 26
 W = SPAN - K + 1
 SEG = 1 << 18
 BITS = 48
@@ -92,7 +92,7 @@ def slices_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         edge, size = edge[good], size[good]
         first.append(edge + s)
         count.append(size)
-        key.append(h[(code[edge] & U((1 << 20) - 1)).astype(np.int64)])
+        key.append(mix(h[(code[edge] & U((1 << 20) - 1)).astype(np.int64)]) >> U(64 - BITS))  # mixed anew: minima are small
     none = np.zeros(0, np.int64)
     return np.concatenate(first or [none]), np.concatenate(count or [none]), np.concatenate(key or [none.astype(np.uint64)])
 
@@ -233,41 +233,34 @@ def _send_items(buckets: int):
     return run
 
 
-def _extension(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common extension of the suffixes at a and b, at most SPAN: a binary search over prefix hashes. _POW aligns them."""
+WIDTH_PAD = WIDTH + 1
+
+
+def _extension(p: np.ndarray, turn: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common extension of the suffixes at a and b, at most SPAN: a binary search over prefix hashes p; turn takes a hash to position 0."""
     n = np.zeros(len(a), np.int64)
     for step in (32, 16, 8, 4, 2, 1):
         i, j = a + n, b + n
-        fits = n + step <= SPAN
-        same = fits & (_hash(p, i, step, fits) == _hash(p, j, step, fits))
-        n += step * same
+        same = (p.take(i + step) - p.take(i)) * turn.take(i) == (p.take(j + step) - p.take(j)) * turn.take(j)
+        n += step * (same & (n + step <= SPAN))
     return n
 
 
-def _hash(p, i, step, fits):
-    i = np.where(fits, i, 0)
-    chunk, inner = p
-    row, col = i // WIDTH_PAD, i % WIDTH_PAD
-    return (inner[row, col + step] - inner[row, col]) * _INV[col]
-
-
-WIDTH_PAD = WIDTH + 1
-
-
 def sort_suffixes(strings: np.ndarray, group: np.ndarray, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes (row, col) of strings by group (ascending already) and then by their first SPAN bytes, and for each but the first
     in that order whether it equals the one before. Bottom-up mergesort within the groups, hash comparisons, then a check of the bytes."""
     text = strings[:, :WIDTH]
     inner = np.zeros((len(text), WIDTH + 1), np.uint64)
     np.cumsum((text.astype(np.uint64) + U(1)) * _POW[:WIDTH], axis=1, out=inner[:, 1:])
-    p, at = (None, inner), row * WIDTH_PAD + col
+    # past the end of the last string, for extensions that are looked at but not taken
+    p, turn, at = np.concatenate([inner.ravel(), np.zeros(SPAN, np.uint64)]), np.resize(_INV[:WIDTH_PAD], inner.size + SPAN), row * WIDTH_PAD + col
     flat = np.zeros((len(text), WIDTH_PAD), np.uint8)
     flat[:, :WIDTH] = text
     flat = flat.ravel()
 
     def compare(a, b):
         """-1, 0 or 1 for the suffixes at a and b."""
-        n = _extension(p, a, b)
+        n = _extension(p, turn, a, b)
         end = n >= SPAN
         n = np.where(end, 0, n)
         return np.where(end, 0, np.sign(flat[a + n].astype(np.int16) - flat[b + n].astype(np.int16)))

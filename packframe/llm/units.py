@@ -106,3 +106,74 @@ def answer(sent: DataFrame, reply) -> DataFrame:
         return messages([(bucket, u, k, m) for u, k, m in reply([(u, k, m) for u, k, m in got])])
 
     return sent.groupBy("bucket").applyInArrow(run, MESSAGE)
+
+
+# ---- words
+
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_tables: dict[str, np.ndarray] = {}
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, grown as needed."""
+    if len(_tables.get("pow", ())) < n:
+        size = max(1 << 20, 1 << int(n).bit_length())
+        for name, base in (("pow", _BASE), ("inv", pow(_BASE, -1, 1 << 64))):
+            out = np.ones(size, np.uint64)
+            done = 1
+            while done < size:
+                out[done : 2 * done] = out[:done] * np.uint64(pow(base, done, 1 << 64))
+                done *= 2
+            _tables[name] = out
+    return _tables["pow"], _tables["inv"]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True, segment: int = 1 << 20):
+    """Yield (first document, past the last one, word hashes, each word's document) for runs of whole documents of about segment bytes.
+
+    Words are maximal runs of bytes other than the six ASCII spaces (UTF-8 has those bytes for nothing else); fold lowers A-Z. A word's hash is that of its
+    bytes and length: a polynomial modulo 2**64, mixed."""
+    d, n = 0, len(offsets) - 1
+    while d < n:
+        e = max(d + 1, int(np.searchsorted(offsets, offsets[d] + segment, "right")) - 1)
+        lo, hi = int(offsets[d]), int(offsets[e])
+        raw = data[lo:hi]
+        raw = _FOLD[raw] if fold else raw
+        inner = ~_SPACE[raw]
+        # documents end words too
+        cuts = offsets[d : e + 1] - lo
+        begin = inner.copy()
+        begin[1:] &= ~inner[:-1]
+        starts = cuts[:-1][cuts[:-1] < hi - lo]
+        begin[starts] = inner[starts]
+        last = inner.copy()
+        last[:-1] &= ~inner[1:]
+        ends = cuts[1:][cuts[1:] > 0] - 1
+        last[ends] = inner[ends]
+        b, z = np.flatnonzero(begin), np.flatnonzero(last) + 1
+        power, inverse = _power_tables(hi - lo + 1)
+        p = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: hi - lo], out=p[1:])
+        h = mix((p[z] - p[b]) * inverse[b] + (z - b).astype(np.uint64))
+        yield d, e, h, d + np.searchsorted(cuts, b, "right") - 1
+        d = e
+
+
+def texts_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes end to end, and offsets, of an Arrow string or binary column; nulls are empty."""
+    arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    arr = pa.concat_arrays(arr.chunks) if isinstance(arr, pa.ChunkedArray) and arr.num_chunks else arr
+    if isinstance(arr, pa.ChunkedArray) or not len(arr):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    if pa.types.is_string(arr.type) or pa.types.is_large_string(arr.type):
+        arr = arr.cast(pa.large_string()).fill_null("").cast(pa.large_binary())
+    else:
+        arr = arr.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = arr.buffers()
+    off = np.frombuffer(offsets, np.int64)[arr.offset : arr.offset + len(arr) + 1]
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, off - off[0]
