@@ -119,7 +119,7 @@ def split_tree(quotas: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
             F.col("hi") - F.col("lo") > 1,
             F.array(F.struct(F.col("lo").alias("lo"), F.col("mid").alias("hi"), F.col("left").cast(entry).alias("have")), F.struct(F.col("mid").alias("lo"), F.col("hi").alias("hi"), right.cast(entry).alias("have"))),
         ).otherwise(F.array(F.struct(F.col("lo").alias("lo"), F.col("hi").alias("hi"), F.col("have").cast(entry).alias("have"))))
-        node = node.select(F.inline(side))
+        node = cut(node.select(F.inline(side)), "mix-nodes")  # else the optimiser would repeat a level's draws in the next
     leaf = node.select(F.col("lo").alias("shard"), F.inline("have"))
     upto = Window.partitionBy("pos").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     return leaf.withColumn("last", F.sum("n").over(upto)).select("pos", "shard", (F.col("last") - F.col("n")).alias("first"), "last")
@@ -191,9 +191,9 @@ q AS (SELECT *, (sum(source_size) OVER ())::DOUBLE AS total, sum(weight) OVER ()
 lev AS (SELECT arg_min((total - top_before) / (w_all - w_before), (top / weight, pos)) AS level FROM q WHERE (total - top_before) / (w_all - w_before) <= top / weight),
 t AS (SELECT source, source_size, least(top, coalesce(level, 0) * weight) AS target FROM q, lev),
 d AS (SELECT s.doc_id, s.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS want,
-        coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
+        coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS upto
       FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
   ((CASE WHEN source_size > 0 THEN want // source_size ELSE 0 END) * size
-   + least(size, greatest(0, want - (CASE WHEN source_size > 0 THEN want // source_size ELSE 0 END) * source_size - at)))::BIGINT AS taken
+   + least(size, greatest(0, want - (CASE WHEN source_size > 0 THEN want // source_size ELSE 0 END) * source_size - upto)))::BIGINT AS taken
 FROM d"""

@@ -63,9 +63,12 @@ def text_stats(text: str | None) -> tuple:
     ]
 
 
-@F.pandas_udf(STATS)
-def stats_of(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([text_stats(t) for t in texts], columns=[x.split()[0] for x in STATS.split(", ")])
+def stats_of(text: str) -> Column:
+    @F.pandas_udf(STATS)
+    def stats(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_stats(t) for t in texts], columns=[x.split()[0] for x in STATS.split(", ")])
+
+    return stats(text)
 
 
 class BoostedTrees:
