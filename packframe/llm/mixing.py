@@ -57,12 +57,14 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int =
     return x.select("source", "source_size", "weight", "pos", F.least("top", F.coalesce(level, F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def _ln_gamma(x: Column) -> Column:
-    """Stirling's series, after raising x by 8."""
-    up = [x + i for i in range(8)]
-    z = x + 8
-    shift = F.log(up[0]) + sum((F.log(u) for u in up[1:]), F.lit(0.0))
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) - shift
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _ln_factorial(n: Column) -> Column:
+    """Stirling's series at n + 9, less the logarithm of the eight factors that were added."""
+    return _let(n.cast("double"), lambda x: _let(x + 9, lambda z: (z - 0.5) * F.log(z) - z + 1 / (12 * z) - 1 / (360 * z * z * z)) - F.log((x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7) * (x + 8)))
 
 
 def _uniform(*what: Column) -> Column:
@@ -72,21 +74,26 @@ def _uniform(*what: Column) -> Column:
 def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Column:
     """The u-quantile of the good ones among draws from total. Only the support within 9 standard deviations of the mean is
     summed; the law is normalised there."""
-    lo, hi = F.greatest(F.lit(0), draws + good - total), F.least(draws, good)
+    weight = lambda k: -(_ln_factorial(k) + _ln_factorial(good - k) + _ln_factorial(draws - k) + _ln_factorial(total - good - draws + k))
     mean = draws * good / F.greatest(total, F.lit(1))
-    sd = F.sqrt(mean * (1 - good / F.greatest(total, F.lit(1))) + 1)
-    lo, hi = F.greatest(lo, F.floor(mean - 9 * sd)).cast("long"), F.least(hi, F.ceil(mean + 9 * sd)).cast("long")
-    choose = lambda n, k: _ln_gamma((n + 1).cast("double")) - _ln_gamma((k + 1).cast("double")) - _ln_gamma((n - k + 1).cast("double"))
-    at = lambda k: choose(good, k) + choose(total - good, draws - k)
-    mode = F.least(hi, F.greatest(lo, F.floor((draws + 1) * (good + 1) / (total + 2)))).cast("long")
-    grid = F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda k: F.struct(k.alias("k"), F.exp(at(k) - at(mode)).alias("p")))
-    cell = lambda g: F.aggregate(
-        g,
-        F.struct((u * F.aggregate(g, F.lit(0.0), lambda a, x: a + x["p"])).alias("left"), F.lit(None).cast("long").alias("k")),
-        lambda a, x: F.struct((a["left"] - x["p"]).alias("left"), F.coalesce(a["k"], F.when(a["left"] <= x["p"], x["k"])).alias("k")),
-        lambda a: F.coalesce(a["k"], F.greatest(lo, hi)),
-    )
-    return F.element_at(F.transform(F.array(grid), cell), 1)
+    reach = 9 * F.sqrt(mean * (1 - good / F.greatest(total, F.lit(1))) + 1)
+    lo = F.greatest(F.lit(0), draws + good - total, F.floor(mean - reach)).cast("long")
+    hi = F.least(draws, good, F.ceil(mean + reach)).cast("long")
+    mode = lambda r: F.least(r["hi"], F.greatest(r["lo"], F.floor((draws + 1) * (good + 1) / (total + 2)).cast("long")))
+
+    def pick(g: Column) -> Column:
+        return F.aggregate(
+            g,
+            F.struct((u * F.aggregate(g, F.lit(0.0), lambda a, x: a + x["p"])).alias("left"), F.lit(None).cast("long").alias("k")),
+            lambda a, x: F.struct((a["left"] - x["p"]).alias("left"), F.coalesce(a["k"], F.when(a["left"] <= x["p"], x["k"])).alias("k")),
+            lambda a: F.coalesce(a["k"], F.element_at(g, -1)["k"]),
+        )
+
+    def draw(r: Column) -> Column:
+        grid = lambda peak: F.transform(F.sequence(r["lo"], F.greatest(r["lo"], r["hi"])), lambda k: F.struct(k.alias("k"), F.exp(weight(k) - peak).alias("p")))
+        return _let(_let(weight(mode(r)), grid), pick)
+
+    return _let(F.struct(lo.alias("lo"), hi.alias("hi")), draw)
 
 
 def split_tree(quotas: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
@@ -96,30 +103,22 @@ def split_tree(quotas: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
     node = quotas.groupBy().agg(F.array_sort(F.collect_list(F.struct("pos", F.col("draws").cast("long").alias("n")))).alias("have"))
     node = node.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "have")
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    entry = "array<struct<pos:int,n:bigint>>"
+    entry, pair = "array<struct<pos:int,n:bigint>>", "array<struct<pos:int,l:bigint,r:bigint>>"
+
+    def dealt(a: Column, x: Column) -> Column:
+        k = hypergeometric(a["rest"], x["n"], a["want"], _uniform(F.lit(seed), F.col("lo"), F.col("hi"), x["pos"]))
+        add = lambda k: F.concat(a["out"], F.array(F.struct(x["pos"].alias("pos"), k.alias("l"), (x["n"] - k).alias("r"))))
+        return _let(k, lambda k: F.struct((a["rest"] - x["n"]).alias("rest"), (a["want"] - k).alias("want"), add(k).cast(pair).alias("out")))
+
+    side = lambda s, f: F.transform(s, lambda x: F.struct(x["pos"].alias("pos"), x[f].alias("n"))).cast(entry).alias("have")
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    want = F.floor(F.col("all") * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long")
+    halves = F.aggregate("have", F.struct(F.col("all").alias("rest"), want.alias("want"), F.array().cast(pair).alias("out")), dealt, lambda a: a["out"])
+    both = _let(halves, lambda s: F.array(F.struct(F.col("lo").alias("lo"), F.col("mid").alias("hi"), side(s, "l")), F.struct(F.col("mid").alias("lo"), F.col("hi").alias("hi"), side(s, "r"))))
     for _ in range(math.ceil(math.log2(max(2, shards)))):
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         node = node.withColumn("mid", mid).withColumn("all", total(F.col("have")))
-        node = node.withColumn("want", F.floor(F.col("all") * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long"))
-        draw = F.aggregate(
-            "have",
-            F.struct(F.col("all").alias("rest"), F.col("want").alias("want"), F.array().cast(entry).alias("out")),
-            lambda a, x: F.element_at(
-                F.transform(
-                    F.array(hypergeometric(a["rest"], x["n"], a["want"], _uniform(F.lit(seed), F.col("lo"), F.col("hi"), x["pos"]))),
-                    lambda k: F.struct((a["rest"] - x["n"]).alias("rest"), (a["want"] - k).alias("want"), F.concat(a["out"], F.array(F.struct(x["pos"].alias("pos"), k.alias("n")))).alias("out")),
-                ),
-                1,
-            ),
-            lambda a: a["out"],
-        ).cast(entry)
-        node = node.withColumn("left", F.when(F.col("hi") - F.col("lo") > 1, draw).otherwise(F.col("have")))
-        right = F.zip_with("have", "left", lambda h, t: F.struct(h["pos"].alias("pos"), (h["n"] - t["n"]).alias("n")))
-        side = F.when(
-            F.col("hi") - F.col("lo") > 1,
-            F.array(F.struct(F.col("lo").alias("lo"), F.col("mid").alias("hi"), F.col("left").cast(entry).alias("have")), F.struct(F.col("mid").alias("lo"), F.col("hi").alias("hi"), right.cast(entry).alias("have"))),
-        ).otherwise(F.array(F.struct(F.col("lo").alias("lo"), F.col("hi").alias("hi"), F.col("have").cast(entry).alias("have"))))
-        node = cut(node.select(F.inline(side)), "mix-nodes")  # else the optimiser would repeat a level's draws in the next
+        # a node of one shard sends nothing left; written, else the optimiser would repeat a level's draws in the next
+        node = cut(node.select(F.inline(both)).filter("lo < hi"), "mix-nodes")
     leaf = node.select(F.col("lo").alias("shard"), F.inline("have"))
     upto = Window.partitionBy("pos").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     return leaf.withColumn("last", F.sum("n").over(upto)).select("pos", "shard", (F.col("last") - F.col("n")).alias("first"), "last")
