@@ -5,7 +5,7 @@ exchange (see units.py) find, for every such string, the smallest doc_id that ha
 
 1. Every window of SPAN bytes has a minimiser: the K-gram in it with the least hash. Consecutive windows with the same minimiser form a slice.
    Equal windows have equal minimisers, so a window can repeat elsewhere only if its minimiser does. Units send their distinct
-   minimisers' hashes; buckets answer which occur in a second document (1), and which are so widespread that their windows must be split (2).
+   minimisers' hashes; buckets answer which occur in a second document (1), and which stand in so many different slices that their windows must be split (2).
 2. Units send the distinct slices whose minimisers repeat, each with the smallest doc_id that has it. A bucket sorts the suffixes
    that start in its slices: mergesort, in which two suffixes are compared by the prefix polynomial hashes of the bytes that follow, with a binary
    search for their common extension. Suffixes are sorted among those with the same minimiser at the same distance, all others being different already.
@@ -34,7 +34,7 @@ SPAN, K = 50, 26
 W = SPAN - K + 1
 SEG = 1 << 18
 BITS = 48
-WIDE = 48  # a minimiser that more units than this have is dealt window by window
+WIDE, EACH = 4096, 4  # a minimiser with more slices than WIDE, and than EACH for each unit that has it, is dealt window by window
 WIDTH = SPAN + W - 1  # bytes of the longest slice
 BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
@@ -125,6 +125,17 @@ class Cut:
         np.maximum.at(high, self.which, ids)
         return low < high
 
+    def kinds(self) -> np.ndarray:
+        """For each distinct minimiser, how many different slices have it (a count of occurrences where they are EACH or fewer), 255 at most."""
+        n = np.bincount(self.which, minlength=len(self.keys))
+        many = np.flatnonzero(n[self.which] > EACH)
+        if len(many):
+            own = np.concatenate([_row_hash(_rows(self.unit.data, self.first[many[lo : lo + SEG]], self.count[many[lo : lo + SEG]])) for lo in range(0, len(many), SEG)])
+            pairs = np.unique(np.stack([self.which[many].astype(np.uint64), own], 1), axis=0)[:, 0].astype(np.int64)
+            which, kinds = np.unique(pairs, return_counts=True)
+            n[which] = kinds
+        return np.minimum(n, 255).astype(np.uint8)
+
     def items(self, codes: np.ndarray, buckets: int):
         """The distinct strings to send, by bucket, and where each occurs: (rows of WIDTH bytes and a count of windows, keys, smallest
         doc_ids, buckets), (window positions, number of windows, item) of each occurrence."""
@@ -193,22 +204,23 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
 def _send_keys(buckets: int):
     def run(key, rows):
         unit, c = key[0].as_py(), Cut(rows)
-        multi = c.shared_inside()
-        return messages([(b, unit, 0, pack(_six(c.keys[lo:hi]), np.packbits(multi[lo:hi]))) for b, lo, hi in slices(bucket_of(c.keys, BITS, buckets), buckets)])
+        multi, kinds = c.shared_inside(), c.kinds()
+        return messages([(b, unit, 0, pack(_six(c.keys[lo:hi]), np.packbits(multi[lo:hi]), kinds[lo:hi])) for b, lo, hi in slices(bucket_of(c.keys, BITS, buckets), buckets)])
 
     return run
 
 
 def _reply_keys(got):
     parts = [(u, *unpack(m)) for u, _, m in got]
-    keys = [_eight(k) for _, k, _ in parts]
-    multi = [np.unpackbits(b, count=len(k)).astype(bool) for k, (_, _, b) in zip(keys, parts, strict=True)]
+    keys = [_eight(k) for _, k, *_ in parts]
+    multi = [np.unpackbits(b, count=len(k)).astype(bool) for k, (_, _, b, _) in zip(keys, parts, strict=True)]
     every, which, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     shared = n > 1
     shared[which[np.concatenate(multi)]] = True
-    code = np.where(n > WIDE, 2, shared.astype(np.uint8)).astype(np.uint8)[which]
+    kinds = np.bincount(which, np.concatenate([x for *_, x in parts]), len(every))
+    code = np.where((kinds > WIDE) & (kinds > EACH * n), 2, shared.astype(np.uint8)).astype(np.uint8)[which]
     at = 0
-    for (u, _, _), k in zip(parts, keys, strict=True):
+    for (u, *_), k in zip(parts, keys, strict=True):
         yield u, 1, pack(code[at : at + len(k)])
         at += len(k)
 
