@@ -29,6 +29,7 @@ from packframe.llm.units import mix, texts_of, word_hashes
 
 U = np.uint64
 BANDS, ROWS = 20, 4
+NO_ID = -(1 << 63)  # stands for a null doc_id
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
@@ -211,5 +212,7 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_each(docs: DataFrame, **options) -> DataFrame:
     """docs without near copies: of each component the document with the smallest doc_id stays, once."""
-    keep = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("near_doc_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["near_doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    keep = near_duplicates(docs, **options).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("near_key")).distinct()
+    x = docs.withColumn("near_key", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("near_tie", F.xxhash64("text"))
+    # both steps want rows of a near_key together, so the texts are moved once
+    return x.join(keep, "near_key", "left_semi").dropDuplicates(["near_key", "near_tie"]).select(*[F.col(f"`{c}`") for c in docs.columns])
