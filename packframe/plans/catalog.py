@@ -11,7 +11,9 @@ from packframe.operators.order import running
 from packframe.plans.base import BYTES, ENTROPY, FILES, query, shared_sql
 from packframe.sources.files import files_from_documents, table
 
-ENTRY = F.lit(10) + F.octet_length("path") + F.col("size")
+def _entry():
+    """Bytes of a file's record: two of name length, eight of size, name and content."""
+    return F.lit(10) + F.octet_length("path") + F.col("size")
 
 
 def _files(spark, sf_dir) -> DataFrame:
@@ -42,7 +44,7 @@ def archive_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = x.withColumn("h", fb.histogram(F.col("content"))).withColumn("hs", fb.histogram(F.substring("content", 1, 16384)))
     x = x.withColumn("ext", F.expr(po.ext_of("path", "spark"))).withColumn("entropy", F.round(fb.entropy(F.col("h")), 4)).withColumn("e", fb.entropy(F.col("hs"), 4.0))
     x = x.select("path", "ext", "size", "entropy", F.expr(LEVEL).cast("int").alias("level"))
-    return running(x, ["ext", "path"], {"entry_offset": ENTRY, "aligned_offset": _aligned(F.col("size"))}, "position")
+    return running(x, ["ext", "path"], {"entry_offset": _entry(), "aligned_offset": _aligned(F.col("size"))}, "position")
 
 
 shared_sql("catalog_total_bytes", "SELECT source, CAST(sum(BYTES(text)) AS BIGINT) AS total_bytes, count(*) AS entries FROM {documents} GROUP BY source")
@@ -67,7 +69,7 @@ def ext_clustered_order(spark, sf_dir):
 
 @query(f"""WITH {FILES} SELECT path, coalesce(sum(10 + strlen(path) + size) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS entry_offset FROM files""")
 def pack_offsets(spark, sf_dir):
-    return running(_files(spark, sf_dir).select("path", "size"), ["path"], {"entry_offset": ENTRY}).select("path", "entry_offset")
+    return running(_files(spark, sf_dir).select("path", "size"), ["path"], {"entry_offset": _entry()}).select("path", "entry_offset")
 
 
 @query(f"""WITH {FILES} SELECT path, size, coalesce(sum(ceil(size / 4096.0)::BIGINT * 4096) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS aligned_offset FROM files""")
@@ -86,7 +88,7 @@ r AS (SELECT dir, path, k, n AS cur, 0 AS block FROM o WHERE k = 1
 SELECT dir, path, block::BIGINT AS block_id FROM r""")
 def index_block_ids(spark, sf_dir):
     """Greedy blocks of each directory's archive. A greedy fold needs an archive's sizes in order: only paths and sizes are grouped, not contents."""
-    x = _files(spark, sf_dir).select("path", ENTRY.alias("n"), F.regexp_extract("path", "^(.*)/", 1).alias("dir"))
+    x = _files(spark, sf_dir).select("path", _entry().alias("n"), F.regexp_extract("path", "^(.*)/", 1).alias("dir"))
     state = F.struct(F.lit(0).cast("long").alias("cur"), F.lit(0).cast("long").alias("block"), F.array().cast("array<struct<path:string,block_id:bigint>>").alias("out"))
 
     def step(a, e):
