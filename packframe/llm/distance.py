@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 CELLS = 1 << 22
@@ -47,3 +49,58 @@ def edit_distances(patterns: list[np.ndarray], texts: list[np.ndarray], inside:
             line = np.minimum.accumulate(new - steps, axis=1) + steps
             note(r + 1, line)
     return best, end
+
+
+def _common_start(a: str, b: str) -> int:
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
+
+
+def _banded(p: str, t: str, k: int, span: int = 4096) -> int:
+    """The edit distance of p and t (no shorter than p, by at most k) if it is at most k; else some number above k.
+
+    Columns of the distance matrix as bit vectors of vertical differences (Myers 1999), cut to the 2 k + 1 rows around the diagonal: bit x of column j
+    is row j - k + x. Cells beyond the band count as one more than their neighbour inside, which no path of k edits needs. The sum follows
+    the diagonal that ends at the last cell, on which distances never fall."""
+    width = 2 * k + 1
+    mask, top = (1 << width) - 1, 1 << (width - 1)
+    vp, vn, score = mask >> (k + 1) << (k + 1), 0, 0  # column 0: rows above 0 rise by one
+    at = len(p) - len(t) + k
+    for base in range(0, len(t), span):
+        # rows that this stretch of columns can meet: pattern positions from base - k on
+        lo = base - k
+        rows = np.frombuffer(p[max(lo, 0) : base + span + k].encode("utf-32-le", "surrogatepass"), np.uint32)
+        eq = {c: int.from_bytes(np.packbits(rows == ord(c), bitorder="little").tobytes(), "little") << max(-lo, 0) for c in set(t[base : base + span])}
+        for j, c in enumerate(t[base : base + span]):
+            x = eq[c] >> j & mask
+            p_, n_ = vp >> 1 | top, vn >> 1
+            d = (((x & p_) + p_) ^ p_ | x | n_) & mask
+            hp, hn = (n_ | ~(d | p_)) << 1 | 1, (d & p_) << 1
+            vp, vn = (hn | ~(d | hp)) & mask, hp & d
+            score += not d >> at & 1
+            if score > k:
+                return score
+    return score
+
+
+def within(a: str, b: str, limit: int) -> bool:
+    """Whether at most limit insertions, deletions and substitutions of characters make a into b. Exact; for near copies the time is about that of their length."""
+    start = _common_start(a, b)
+    a, b = a[start:], b[start:]
+    end = _common_start(a[::-1], b[::-1])
+    a, b = sorted((a[: len(a) - end], b[: len(b) - end]), key=len)
+    if len(b) - len(a) > limit:
+        return False
+    if not a:
+        return True
+    # each edit takes at most one character from the surplus on either side
+    have, want = Counter(a), Counter(b)
+    if max((have - want).total(), (want - have).total()) > limit:
+        return False
+    k = max(len(b) - len(a), min(limit, 16))
+    while (d := _banded(a, b, k)) > k and k < limit:
+        k = min(limit, 4 * k)
+    return d <= limit

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packframe.llm.common import cut, parts, table
-from packframe.llm.distance import edit_distances
+from packframe.llm.distance import within
 from packframe.llm.graph import components
 from packframe.llm.units import mix, pack, slices, texts_of, unpack, word_hashes
 
@@ -141,10 +141,11 @@ def _compare(blocks: int):
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
-            a, b = ([np.frombuffer((x or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for x in batch.column(c).to_pylist()] for c in ("ta", "tb"))
-            d, _ = edit_distances(a, b)
-            longest = np.maximum([len(x) for x in a], [len(x) for x in b])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(100 * (longest - d) >= percent * longest))
+            good = []
+            for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+                a, b = a or "", b or ""
+                good.append(within(a, b, (100 - percent) * max(len(a), len(b)) // 100))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -184,7 +185,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, percent: int = 80, blocks:
     wanted = kinds.join(wanted, "hash").select(F.col("first")["at"].alias("at"), F.struct(F.col("hash"), F.col("first")["number"].alias("number")).alias("w")).groupBy("at").agg(F.collect_list("w").alias("wanted"))
     texts = own.withColumn("at", F.coalesce("doc_id", F.lit(LAST))).join(wanted, "at").select("text", "wanted").mapInArrow(_pick(), "hash long, line string")
     texts = cut(texts.groupBy("hash").agg(F.min("line").alias("line")), "candidate-lines")
-    sided = links.join(texts.select(F.col("hash").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("hash").alias("b"), F.col("line").alias("tb")), "b").select("a", "b", "ta", "tb")
+    sided = links.join(texts.select(F.col("hash").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("hash").alias("b"), F.col("line").alias("tb")), "b").select("a", "b", "ta", "tb").repartition(n)  # few bytes, much work
     same = components(cut(sided.mapInArrow(_verify(percent), "a long, b long"), "line-links"))
     member = same.join(kinds.select(F.col("hash").alias("node"), "first"), "node")
     lead = member.groupBy("root").agg(F.min("first").alias("lead"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from packframe.llm import chat, decontaminate, graph, lines, lm, minhash, mixing, quality, sharding, suffix_dedup, urls
+from packframe.llm import chat, decontaminate, distance, graph, lines, lm, minhash, mixing, quality, sharding, suffix_dedup, urls
 from packframe.llm.distance import edit_distances
 from tests.conftest import SMALL
 from tests.llm import brute
@@ -106,6 +106,19 @@ def test_edit_distances():
         assert edit_distances(a, b, inside)[0].tolist() == [brute.edits(list(x), list(y), inside) for x, y in zip(a, b)]
 
 
+def test_within_is_the_edit_distance():
+    r = np.random.default_rng(3)
+    for _ in range(400):
+        a = "".join(r.choice(list("abc\u00e9"), r.integers(0, 60)))
+        b = "".join(c for c in a if r.random() > 0.15) + "".join(r.choice(list("abd"), r.integers(0, 6)))
+        codes = [[np.array([ord(c) for c in x], np.int64)] for x in (a, b)]
+        d = int(distance.edit_distances(*codes)[0][0])
+        for limit in (0, d - 1, d, d + 1, 3 * d):
+            assert limit < 0 or distance.within(a, b, limit) == (d <= limit)
+        p, t = sorted((a, b), key=len)
+        assert distance._banded(p, t, max(d, len(t) - len(p)), span=3) == d
+
+
 def test_decontamination_recall_and_exactness(spark, docs, none):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
