@@ -128,8 +128,8 @@ def find_leaks(items: Items, h: np.ndarray, doc: np.ndarray, first: np.ndarray,
     item, start, owner = cand.T
     cols = np.arange(max(1, items.longest))
     keep = []
-    for lo in range(0, len(cand), 1 << 16):
-        part = slice(lo, lo + (1 << 16))
+    for lo in range(0, len(cand), 1 << 14):
+        part = slice(lo, lo + (1 << 14))
         at = start[part][:, None] + cols
         ok = (at >= first[owner[part]][:, None]) & (at < past[owner[part]][:, None])
         windows = np.where(ok, h[np.clip(at, 0, len(h) - 1)], U(1))
@@ -168,7 +168,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, bits: int =
             for batch in batches:
                 data, offsets = texts_of(batch.column("text"))
                 ids, found = batch.column("doc_id"), []
-                for d, e, h, doc in word_hashes(data, offsets, segment=4 << 20):
+                for d, e, h, doc in word_hashes(data, offsets, segment=1 << 20):
                     n = np.bincount(doc - d, minlength=e - d)
                     past = np.cumsum(n)
                     found += [(o + d, i, x, s) for o, i, x, s in find_leaks(items, h, doc - d, past - n, past)] if len(items.ids) else []

@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-CELLS = 1 << 22
+CELLS = 1 << 20
 
 
 def _padded(seqs: list[np.ndarray], width: int, fill) -> np.ndarray:

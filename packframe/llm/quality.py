@@ -151,17 +151,18 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: in
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(fit(docs, labels, sample))  # at most 60 trees of 15 nodes
 
-    @F.pandas_udf("double")
-    def probability(features: pd.Series) -> pd.Series:
-        if shared.value is None or not len(features):
-            return pd.Series(np.ones(len(features)))
-        return pd.Series(1 / (1 + np.exp(-shared.value.margin(np.stack(features.to_numpy())))))
-
-    x = docs.withColumn("q", stats_of("text")).withColumn("q_score", probability(F.col("q")["features"]))
+    # one function for counts and score, so that a task needs one Python worker
+    @F.pandas_udf(STATS + ", score double")
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame([text_stats(t) for t in texts], columns=[x.split()[0] for x in STATS.split(", ")])
+        out["score"] = 1.0 if shared.value is None or not len(out) else 1 / (1 + np.exp(-shared.value.margin(np.stack(out["features"].to_numpy()))))
+        return out
+
+    x = docs.withColumn("q", scored("text"))
     q: Column = F.col("q")
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
     counts = [q[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return x.withColumn("q", F.struct(*counts, failed.alias("base_failed"), F.col("q_score").alias("score"), (~failed & (F.col("q_score") >= threshold)).alias("kept"))).drop("q_score")
+    return x.withColumn("q", F.struct(*counts, failed.alias("base_failed"), q["score"].alias("score"), (~failed & (q["score"] >= threshold)).alias("kept")))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,5 +170,5 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without those that are judged bad; same columns. Needs columns doc_id and text, and none called q or q_score."""
+    """docs without those that are judged bad; same columns. Needs columns doc_id and text, and none called q."""
     return judge(docs, labels, **options).filter("q.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
