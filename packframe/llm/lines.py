@@ -1,13 +1,15 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit verification, one occurrence for each connected group.
 
 A line is normalised (A-Z to a-z, digits to 0, ASCII punctuation to spaces) and takes part if it has at least ``min_words`` words. Its SimHash has 64 bits,
-over its words and word pairs. Lines whose SimHashes differ in at most ``blocks - 1`` bits agree in one of ``blocks`` blocks, by
-the pigeonhole principle: SimHashes are dealt to buckets by each block's value, and a bucket compares those that share it. Such
-pairs, and lines with equal SimHashes, are verified: the edit distance of the normalised lines must be at most 20 % of the longer one. Of each
-connected group the first occurrence (by doc_id, then line) stays; every other line goes.
+over its words and word pairs; a second one has other bits of the same features. Lines are candidates if their SimHashes differ in under ``limit`` bits, the second
+ones in under ``second``, and their lengths allow the similarity. SimHashes that differ in under ``limit`` bits are within the radius of one of ``blocks`` blocks,
+by the pigeonhole principle, and there agree in one part of the block: lines are dealt to buckets by the values of such parts, and a bucket finds the
+pairs within the block's radius. All distinct lines are dealt, so those of equal SimHashes are compared with each other and with every near SimHash's.
+Candidates are verified: the edit distance of the normalised lines must be at most 20 % of the longer one. Of each
+connected group the first occurrence (by doc_id, then line) stays; every other line goes. Pairs that are 80 % alike beyond the two limits are missed.
 
 Equal lines are one from the start (aggregated before the shuffle), so a line in every document is one row per task. Buckets hold distinct
-SimHashes and emit only close pairs.
+lines and emit only close pairs; m lines that are all close to each other make m squared pairs.
 
 Edge cases: null and empty texts have no lines; short lines stay; rows with equal doc_id compete by line number, then stay both where equal; a null doc_id comes
 last; very long lines are whole; an empty table gives an empty result; other columns aren't looked at.
@@ -15,6 +17,8 @@ last; very long lines are whole; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +31,9 @@ from packframe.llm.units import mix, pack, slices, texts_of, unpack, word_hashes
 
 U = np.uint64
 LAST = np.iinfo(np.int64).max
+LIMIT, SECOND = 12, 20  # of pairs that are 80 % alike 90 % differ in fewer bits than LIMIT, 16 % in fewer than 4 (measured on sf0.1)
+STEPS = 4
+PAIRS = 1 << 19
 
 
 def _normal_table() -> np.ndarray:
@@ -39,6 +46,7 @@ def _normal_table() -> np.ndarray:
 
 
 NORMAL = _normal_table()
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def normal_words(line: str) -> list[bytes]:
@@ -46,13 +54,14 @@ def normal_words(line: str) -> list[bytes]:
 
 
 def line_hashes(data: np.ndarray, offsets: np.ndarray, min_words: int):
-    """(document, line number, hash, SimHash) of the lines that take part, and each document's number of lines."""
+    """(document, line number, hash, SimHash) of the lines that take part, each document's number of lines, the lines' lengths in characters and their second SimHashes."""
     breaks = np.flatnonzero(data == 10)
     owner = np.searchsorted(offsets, breaks, "right") - 1
     n_lines = np.bincount(owner, minlength=len(offsets) - 1) + (np.diff(offsets) > 0)
     starts = np.sort(np.concatenate([offsets[:-1][np.diff(offsets) > 0], (breaks + 1)[breaks + 1 < offsets[owner + 1]]]))
     edges = np.append(starts, len(data))
     plain = NORMAL[data]
+    chars = np.concatenate([[0], np.cumsum(((plain & 0xC0) != 0x80) & ~SPACES[plain])])
     out = []
     for _, _, h, line in word_hashes(plain, edges, fold=False) if len(starts) else ():
         if not len(h):
@@ -63,77 +72,142 @@ def line_hashes(data: np.ndarray, offsets: np.ndarray, min_words: int):
         pairs = mix(h[:-1] * U(0xD6E8FEB86659FD93) + h[1:])
         pairs = np.append(pairs, U(0))
         pairs[head + size - 1] = h[head + size - 1]  # the last word has no pair; it counts twice
-        votes = np.zeros((len(head), 64), np.int32)
-        for f in (h, pairs):
-            for lo in range(0, len(head), 4096):
-                a, b = head[lo], head[lo + 4096] if lo + 4096 < len(head) else len(h)
-                bits = np.unpackbits(f[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                votes[lo : lo + 4096] += np.add.reduceat(bits, head[lo : lo + 4096] - a, axis=0, dtype=np.int32)
-        sim = np.packbits(votes * 2 > 2 * size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        sims = []
+        for features in ((h, pairs), (mix(h + U(1)), mix(pairs + U(1)))):
+            votes = np.zeros((len(head), 64), np.int32)
+            for f in features:
+                for lo in range(0, len(head), 4096):
+                    a, b = head[lo], head[lo + 4096] if lo + 4096 < len(head) else len(h)
+                    bits = np.unpackbits(f[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    votes[lo : lo + 4096] += np.add.reduceat(bits, head[lo : lo + 4096] - a, axis=0, dtype=np.int32)
+            sims.append(np.packbits(votes * 2 > 2 * size[:, None], axis=1, bitorder="little").view(np.uint64).ravel())
         keep = size >= min_words
-        out.append((line[head[keep]], own[keep], sim[keep]))
-    which, own, sim = (np.concatenate([o[i] for o in out] or [np.zeros(0, np.int64 if i == 0 else np.uint64)]) for i in range(3))
+        out.append((line[head[keep]], own[keep], sims[0][keep], size[keep], sims[1][keep]))
+    which, own, sim, size, more = (np.concatenate([o[i] for o in out] or [np.zeros(0, t)]) for i, t in enumerate((np.int64, U, U, np.int64, U)))
     doc = np.searchsorted(offsets, starts[which], "right") - 1
     first = np.searchsorted(breaks, offsets[:-1], "left")
-    return doc, np.searchsorted(breaks, starts[which], "left") - first[doc], own, sim, n_lines
+    return doc, np.searchsorted(breaks, starts[which], "left") - first[doc], own, sim, n_lines, chars[edges[which + 1]] - chars[edges[which]] + size - 1, more
 
 
 def _scan(min_words: int):
     def run(batches):
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
-            doc, number, own, sim, n = line_hashes(data, offsets, min_words)
+            doc, number, own, sim, n, length, more = line_hashes(data, offsets, min_words)
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(n)))]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (number.astype(np.int32), own.view(np.int64), sim.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), *lists], ["doc_id", "n_lines", "number", "hash", "sim"])
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (number.astype(np.int32), own.view(np.int64), sim.view(np.int64), length.astype(np.int32), more.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), *lists], ["doc_id", "n_lines", "number", "hash", "sim", "length", "more"])
 
     return run
 
 
-def _deal(buckets: int, blocks: int):
+def _block(sim: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    return sim >> U(lo) & U((1 << (hi - lo)) - 1)
+
+
+def _spans(blocks: int, limit: int) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
+    """(first bit, past the last, radius, parts) of each block. Radii plus one add up to limit, so SimHashes that differ in under limit bits have a block
+    within its radius; a block has one part more than its radius, so two values within it agree in a part."""
+    out = []
+    for k in range(blocks):
+        lo, hi, n = 64 * k // blocks, 64 * (k + 1) // blocks, (limit + blocks - 1 - k) // blocks
+        out.append((lo, hi, n - 1, [(lo + (hi - lo) * j // n, lo + (hi - lo) * (j + 1) // n) for j in range(n)]))
+    return out
+
+
+def _masks(lo: int, hi: int, radius: int, parts_: list[tuple[int, int]], j: int) -> list[int]:
+    """Differences of two values of a block, within its radius, whose first part without a difference is j."""
+    found = [sum(1 << (b - lo) for b in bits) for n in range(radius + 1) for bits in combinations(range(lo, hi), n)]
+    hit = lambda m, x: m >> (x[0] - lo) & ((1 << (x[1] - x[0])) - 1)
+    return [m for m in found if not hit(m, parts_[j]) and all(hit(m, x) for x in parts_[:j])]
+
+
+def near_pairs(sim: np.ndarray, length: np.ndarray, k: int, j: int, blocks: int, limit: int, percent: int):
+    """Yield index arrays of pairs whose SimHashes differ in under limit bits, and whose lengths allow percent: those for which block k is the first within
+    its radius and part j the first of it that agrees. So all (k, j) together yield each pair once."""
+    spans = _spans(blocks, limit)
+    lo, hi, radius, parts_ = spans[k]
+    # finer length classes than percent: a partner no longer than a line is in the line's class or one of STEPS before it, or one more by rounding
+    kind = np.floor(np.log(np.maximum(length, 1)) * (STEPS / np.log(100 / max(1, min(percent, 99))))).astype(np.int64) + STEPS + 1
+    kinds = int(kind.max(initial=0)) + 1
+    value = _block(sim, lo, hi).astype(np.int64)
+    names, value = np.unique(value, return_inverse=True)
+    order = np.lexsort((length, kind, value))
+    sim, length, kind, value = sim[order], length[order].astype(np.int64), kind[order], value[order]
+    at = np.zeros(len(names) * kinds + 1, np.int64)
+    np.cumsum(np.bincount(value * kinds + kind, minlength=len(names) * kinds), out=at[1:])
+    where = np.full(1 << (hi - lo), -1, np.int64)
+    where[names] = np.arange(len(names))
+    for m in _masks(lo, hi, radius, parts_, j):
+        to = where[names ^ m][value]
+        mine = np.flatnonzero(to >= 0)
+        cell = to[mine] * kinds + kind[mine]
+        begin, end = at[cell - STEPS - 1], at[cell + 1]
+        size = end - begin
+        ends = np.cumsum(size)
+        done = 0
+        while done < len(mine):
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS, "right")))
+            n = size[done:upto]
+            b = np.repeat(begin[done:upto] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            x = np.repeat(sim[mine[done:upto]], n) ^ sim[b]
+            some = np.flatnonzero(np.bitwise_count(x) < limit)
+            a, b, x = np.repeat(mine[done:upto], n)[some], b[some], x[some]
+            good = ((length[b] < length[a]) | (length[b] == length[a]) & (b < a)) & (length[a] - length[b] <= (100 - percent) * length[a] // 100)
+            for e in range(k):
+                good &= np.bitwise_count(_block(x, *spans[e][:2])) > spans[e][2]
+            yield order[a[good]], order[b[good]]
+            done = upto
+
+
+def close_pairs(sim: np.ndarray, k: int, blocks: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of distinct SimHashes that block k is the first to find: those that differ in under limit (blocks, if not given) bits."""
+    limit = limit or blocks
+    same = np.ones(len(sim), np.int64)
+    found = [(sim[:0], sim[:0])]
+    for j in range(len(_spans(blocks, limit)[k][3])):
+        found += [(sim[a], sim[b]) for a, b in near_pairs(sim, same, k, j, blocks, limit, 0)]
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return a[a != b], b[a != b]
+
+
+def _deal(blocks: int, limit: int, rows: int = 1 << 18):
+    """Lines to one bucket for each part of each block, by the lowest bits of the part's value."""
+    sides = [(k, j, part[0], min(part[1], part[0] + 6)) for k, span in enumerate(_spans(blocks, limit)) for j, part in enumerate(span[3])]
+
+    def send(held):
+        own, sim, length, more = (np.concatenate(x) for x in zip(*held, strict=True))
+        out = []
+        for k, j, lo, hi in sides:
+            to = _block(sim, lo, hi).astype(np.int64)
+            order = np.lexsort((sim, to))
+            out += [((k * limit + j) << 32 | v, pack(own[order[a:b]], sim[order[a:b]], length[order[a:b]], more[order[a:b]])) for v, a, b in slices(to[order], 1 << (hi - lo))]
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in out], pa.int64()), pa.array([f[1] for f in out], pa.binary())], ["bucket", "message"])
+
     def run(batches):
+        held, n = [], 0
         for batch in batches:
-            sim = np.unique(batch.column("sim").to_numpy(zero_copy_only=False).view(np.uint64))
-            for k in range(blocks):
-                to = ((mix(_block(sim, k, blocks) * U(blocks) + U(k)) >> U(33)) % U(buckets)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                found = [(b * blocks + k, pack(sim[order[lo:hi]])) for b, lo, hi in slices(to[order], buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["bucket", "message"])
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False).view(t) for c, t in (("hash", np.int64), ("sim", U), ("length", np.int32), ("more", U))))
+            n += len(batch)
+            if n >= rows:
+                yield send(held)
+                held, n = [], 0
+        if n:
+            yield send(held)
 
     return run
 
 
-def _block(sim: np.ndarray, k: int, blocks: int) -> np.ndarray:
-    lo, hi = 64 * k // blocks, 64 * (k + 1) // blocks
-    return sim >> U(lo) & U((1 << (hi - lo)) - 1)
-
-
-def close_pairs(sim: np.ndarray, k: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of distinct SimHashes that agree in block k, in no block before it, and differ in under blocks bits."""
-    key = _block(sim, k, blocks)
-    order = np.lexsort((sim, key))
-    s, key = sim[order], key[order]
-    left, right = [s[:0]], [s[:0]]
-    live = np.arange(len(s) - 1)
-    step = 1
-    while len(live):
-        live = live[(live + step < len(s))]
-        live = live[key[live] == key[live + step]]
-        a, b = s[live], s[live + step]
-        close = np.bitwise_count(a ^ b) < blocks
-        for e in range(k):
-            close &= _block(a, e, blocks) != _block(b, e, blocks)
-        left.append(a[close])
-        right.append(b[close])
-        step += 1
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _compare(blocks: int):
+def _compare(blocks: int, limit: int, second: int, percent: int):
     def run(key, rows):
-        sim = np.unique(np.concatenate([unpack(m)[0] for m in rows["message"].to_pylist()]))
-        a, b = close_pairs(sim, key[0].as_py() % blocks, blocks)
-        return pa.table({"sa": pa.array(a.view(np.int64)), "sb": pa.array(b.view(np.int64))})
+        k, j = divmod(key[0].as_py() >> 32, limit)
+        own, sim, length, more = (np.concatenate(x) for x in zip(*(unpack(m) for m in rows["message"].to_pylist()), strict=True))
+        found = [(own[:0], own[:0])]
+        for a, b in near_pairs(sim, length, k, j, blocks, limit, percent):
+            near = np.bitwise_count(more[a] ^ more[b]) < second
+            found.append((own[a[near]], own[b[near]]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return run
 
@@ -166,21 +240,16 @@ def _pick():
     return run
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, percent: int = 80, blocks: int = 4) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (line numbers) for each row of docs."""
+def dedup_lines(docs: DataFrame, min_words: int = 5, percent: int = 80, blocks: int = 4, limit: int = 4, second: int = 64) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed (line numbers) for each row of docs. Lines whose SimHashes differ in limit bits or more, or the second ones in second bits or more, aren't compared."""
     own = docs.select("doc_id", "text")
-    scan = cut(own.mapInArrow(_scan(min_words), "doc_id long, n_lines long, number array<int>, hash array<long>, sim array<long>"), "line-hashes")
+    scan = cut(own.mapInArrow(_scan(min_words), "doc_id long, n_lines long, number array<int>, hash array<long>, sim array<long>, length array<int>, more array<long>"), "line-hashes")
     scan = scan.withColumn("at", F.coalesce("doc_id", F.lit(LAST)))
-    each = scan.select("doc_id", "at", F.explode(F.arrays_zip("number", "hash", "sim")).alias("x")).select("doc_id", "at", "x.*")
-    kinds = cut(each.groupBy("hash").agg(F.min(F.struct("at", "number")).alias("first"), F.first("sim").alias("sim"), F.count("*").alias("n")), "distinct-lines")
+    each = scan.select("doc_id", "at", F.explode(F.arrays_zip("number", "hash", "sim", "length", "more")).alias("x")).select("doc_id", "at", "x.*")
+    kinds = cut(each.groupBy("hash").agg(F.first("more").alias("more"), F.min(F.struct("at", "number")).alias("first"), F.first("sim").alias("sim"), F.first("length").alias("length"), F.count("*").alias("n")), "distinct-lines")
     n = parts(docs, 6.0)
-    dealt = kinds.select("sim").mapInArrow(_deal(n, blocks), "bucket long, message binary")
-    pairs = dealt.groupBy("bucket").applyInArrow(_compare(blocks), "sa long, sb long")
-    # lines by SimHash: the smallest hash stands for the others of the same SimHash, which are compared with it
-    heads = kinds.groupBy("sim").agg(F.min("hash").alias("head"), F.count("*").alias("many"))
-    across = pairs.join(heads.select(F.col("sim").alias("sa"), F.col("head").alias("a")), "sa").join(heads.select(F.col("sim").alias("sb"), F.col("head").alias("b")), "sb").select("a", "b")
-    within = kinds.join(heads.filter("many > 1"), "sim").filter("hash <> head").select(F.col("hash").alias("a"), F.col("head").alias("b"))
-    links = cut(across.unionByName(within), "line-candidates")
+    dealt = kinds.select("hash", "sim", "length", "more").mapInArrow(_deal(blocks, limit), "bucket long, message binary")
+    links = cut(dealt.groupBy("bucket").applyInArrow(_compare(blocks, limit, second, percent), "a long, b long"), "line-candidates")
     wanted = links.select(F.col("a").alias("hash")).unionByName(links.select(F.col("b").alias("hash"))).distinct()
     wanted = kinds.join(wanted, "hash").select(F.col("first")["at"].alias("at"), F.struct(F.col("hash"), F.col("first")["number"].alias("number")).alias("w")).groupBy("at").agg(F.collect_list("w").alias("wanted"))
     texts = own.withColumn("at", F.coalesce("doc_id", F.lit(LAST))).join(wanted, "at").select("text", "wanted").mapInArrow(_pick(), "hash long, line string")
@@ -198,9 +267,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, percent: int = 80, blocks:
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
-def drop_lines(docs: DataFrame, **options) -> DataFrame:
+def drop_lines(docs: DataFrame, limit: int = LIMIT, second: int = SECOND, **options) -> DataFrame:
     """docs with the text's remaining lines; same columns."""
-    found = dedup_lines(docs, **options).filter("n_removed > 0").select(F.col("doc_id").alias("line_doc_id"), "removed").distinct()
+    found = dedup_lines(docs, limit=limit, second=second, **options).filter("n_removed > 0").select(F.col("doc_id").alias("line_doc_id"), "removed").distinct()
     x = docs.join(found, docs["doc_id"].eqNullSafe(found["line_doc_id"]), "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n")
@@ -208,4 +277,4 @@ def drop_lines(docs: DataFrame, **options) -> DataFrame:
 
 
 def op10_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    return dedup_lines(table(spark, sf_dir, "documents"), limit=LIMIT, second=SECOND)

@@ -354,6 +354,20 @@ def test_fuzzy_lines(spark, docs, none):
     assert lines.drop_lines(docs).columns == docs.columns
 
 
+def test_lines_against_edit_similarity_alone(spark):
+    g = random.Random(7)
+    word = lambda: "".join(g.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(g.randrange(2, 9)))
+    made = []
+    for i in range(40):
+        w = [word() for _ in range(g.randrange(8, 25))]
+        x = w.copy()
+        x[g.randrange(len(x))] = word()
+        made += [(i, " ".join(w)), (1000 + i, " ".join(x))]
+    want = {(d, k) for d, found in _lines(made, 5, 80, 65).items() for k in found}
+    got, narrow = ({(r.doc_id, k) for r in lines.dedup_lines(spark.createDataFrame(made, "doc_id long, text string"), limit=a, second=b).collect() for k in r.removed} for a, b in ((lines.LIMIT, lines.SECOND), (4, 64)))
+    assert got <= want and len(got) >= 0.8 * len(want) and len(narrow) < 0.5 * len(want)
+
+
 def test_simhash_pairs_are_all_found():
     sim = np.unique(np.array([rng.getrandbits(20) << 22 | rng.getrandbits(2) for _ in range(400)], np.uint64))
     want = {(int(a), int(b)) for i, a in enumerate(sim) for b in sim[i + 1 :] if bin(int(a ^ b)).count("1") < 4}
