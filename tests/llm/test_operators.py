@@ -368,6 +368,12 @@ def test_lines_against_edit_similarity_alone(spark):
     assert got <= want and len(got) >= 0.8 * len(want) and len(narrow) < 0.5 * len(want)
 
 
+def test_lines_of_equal_simhash_are_all_compared(spark):
+    made = [(i, " ".join(["buy"] * n)) for i, n in enumerate((5, 19, 20, 60, 61, 200, 201))]
+    got = {r.doc_id for r in lines.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).filter("n_removed > 0").collect()}
+    assert got == {2, 4, 6}
+
+
 def test_simhash_pairs_are_all_found():
     sim = np.unique(np.array([rng.getrandbits(20) << 22 | rng.getrandbits(2) for _ in range(400)], np.uint64))
     want = {(int(a), int(b)) for i, a in enumerate(sim) for b in sim[i + 1 :] if bin(int(a ^ b)).count("1") < 4}
