@@ -8,7 +8,7 @@ that is calibrated on labelled urls which were held out of the counts, so that t
 The labels are the rules' own verdicts, unless the caller gives labels. The models are fitted on at most ``sample`` labelled urls of each class (those with the
 smallest hashes), a bound on the driver's work and on the broadcast tables whatever the input size; every url is scored.
 
-Edge cases: null urls and those without ``://`` have an empty host and path, fit no rule and are judged by the model like any other (null as empty, which scores 0);
+Edge cases: null urls and those without ``://`` have an empty host and path, fit no rule and are judged by the model like any other (null as empty, which scores 0, so it is blocked where the cut is above 0);
 without labels of both classes every url scores 0 and is allowed; repeated rows are judged each; other columns are not looked at.
 """
 
@@ -117,7 +117,10 @@ def fit(labelled: DataFrame, sample: int = 20_000):
     lost = np.searchsorted(yes, cuts, "left") / len(yes)
     let = 1 - np.searchsorted(no, cuts, "left") / len(no)
     best = np.lexsort((lost + let, np.abs(lost - let)))[0]
-    return models, float(min(0.0, cuts[best]))
+    below = no[no < cuts[best]].max(initial=-np.inf)
+    # the middle of the gap where the classes are apart: then no rejected url is at the cut or above it, and no accepted one below it
+    apart = np.isfinite(below) and lost[best] == let[best] == 0
+    return models, float((below + cuts[best]) / 2 if apart else cuts[best])
 
 
 def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, sample: int = 20_000) -> DataFrame:

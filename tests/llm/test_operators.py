@@ -217,6 +217,12 @@ def test_url_model_tells_classes_apart():
     assert (urls.score(models, good[200:]) > 0).all() and (urls.score(models, bad[200:]) < 0).all()
 
 
+def test_url_cut_is_the_calibrated_one(spark, monkeypatch):
+    monkeypatch.setattr(urls, "score", lambda models, some: np.array([0.5 if "good" in u else 0.1 for u in some]))
+    labelled = spark.createDataFrame([(f"http://{kind}.example.org/{i}", kind == "good") for kind in ("good", "bad") for i in range(100)], "url string, good boolean")
+    assert abs(urls.fit(labelled)[1] - 0.3) < 1e-9
+
+
 def test_quality(spark, docs, rows, none):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     got = {(r.doc_id, r.q.n_words): r.q for r in quality.judge(docs, labels).collect()}
