@@ -43,6 +43,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with facts, which have each key once, with its count of rows out of total. Keys with over 1/1024 of all rows (so 1024 at most)
+    are broadcast: their rows stay where they are, and no task gets all rows of a hot key."""
+    hot = F.col(count) * 1024 > total
+    cold = rows.join(F.broadcast(facts.filter(hot).select(key)), key, "left_anti")
+    return rows.join(F.broadcast(facts.filter(hot)), key).unionByName(cold.join(facts.filter(~hot), key))
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate for df, from the files' sizes; where it has none, the bytes of df's texts are counted."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

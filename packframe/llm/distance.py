@@ -104,3 +104,76 @@ def within(a: str, b: str, limit: int) -> bool:
     while (d := _banded(a, b, k)) > k and k < limit:
         k = min(limit, 4 * k)
     return d <= limit
+
+
+BLOCK = np.uint64(63)
+
+
+def _together(patterns: list[np.ndarray], texts: list[np.ndarray], symbols: int) -> np.ndarray:
+    """Edit distances of pairs whose patterns fill the same number of 64-bit blocks (codes below symbols, nothing empty): the columns of all pairs' matrices as
+    bit vectors of vertical differences, with the horizontal difference carried from block to block (Myers 1999, Hyyro 2003)."""
+    n = np.array([len(t) for t in texts])
+    order = np.argsort(-n, kind="stable")
+    n, m = n[order], np.array([len(patterns[i]) for i in order])
+    pairs, blocks, one = len(order), -(-int(m.max()) // 64), np.uint64(1)
+    eq = np.zeros((pairs, symbols, blocks), np.uint64)
+    text = np.zeros((pairs, int(n[0])), np.int64)
+    for row, i in enumerate(order):
+        text[row, : n[row]] = texts[i]
+        at = np.arange(m[row])
+        np.bitwise_or.at(eq, (row, patterns[i], at >> 6), one << (at & 63).astype(np.uint64))
+    last = ((m - 1) & 63).astype(np.uint64)
+    vp, vn, score = np.full((blocks, pairs), ~np.uint64(0)), np.zeros((blocks, pairs), np.uint64), m.astype(np.int64)
+    live = np.searchsorted(-n, -np.arange(n[0]), "left")  # texts longer than j
+    for j in range(int(n[0])):
+        k = live[j]
+        x = eq[np.arange(k), text[:k, j]].T
+        up, down = np.ones(k, np.uint64), np.zeros(k, np.uint64)  # the first row rises by one each column
+        for b in range(blocks):
+            p, v, e = vp[b, :k], vn[b, :k], x[b]
+            xv = e | v
+            e = e | down
+            xh = (((e & p) + p) ^ p) | e
+            hp, hn = v | ~(xh | p), p & xh
+            if b == blocks - 1:
+                score[:k] += (hp >> last[:k] & one).astype(np.int64) - (hn >> last[:k] & one).astype(np.int64)
+            hp, up = hp << one | up, hp >> BLOCK
+            hn, down = hn << one | down, hn >> BLOCK
+            vp[b, :k], vn[b, :k] = hn | ~(xv | hp), hp & xv
+    out = np.empty(pairs, np.int64)
+    out[order] = score
+    return out
+
+
+def all_within(left: list[str], right: list[str], limits: list[int], long: int = 2048, cells: int = 1 << 21) -> list[bool]:
+    """within() for many pairs: what is left of short ones, after their common start and end, is computed together."""
+    out: list[bool | None] = [None] * len(left)
+    rest: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+    for i, (a, b, limit) in enumerate(zip(left, right, limits, strict=True)):
+        start = _common_start(a, b)
+        x, y = a[start:], b[start:]
+        end = _common_start(x[::-1], y[::-1])
+        x, y = sorted((x[: len(x) - end], y[: len(y) - end]), key=len)
+        if len(y) <= limit or len(y) - len(x) > limit or not x:
+            out[i] = len(y) <= limit  # y is the longer one: so many substitutions and insertions do
+        elif len(y) > long:
+            out[i] = within(a, b, limit)
+        else:
+            codes = [np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (x, y)]
+            rest.setdefault(-(-len(x) // 64), []).append((i, *codes))
+    for blocks, some in sorted(rest.items()):
+        if len(some) < 24 * blocks:  # too few to be worth the steps for all columns and blocks
+            for i, *_ in some:
+                out[i] = within(left[i], right[i], limits[i])
+            continue
+        some.sort(key=lambda r: -len(r[2]))
+        at = 0
+        while at < len(some):
+            names = np.unique(np.concatenate([np.concatenate(r[1:]) for r in some[at : at + 4096]]))
+            step = max(1, cells // (blocks * (len(names) + 1)))
+            part = some[at : at + min(4096, step)]
+            got = _together([np.searchsorted(names, r[1]) for r in part], [np.searchsorted(names, r[2]) for r in part], len(names))
+            for (i, *_), d in zip(part, got.tolist(), strict=True):
+                out[i] = d <= limits[i]
+            at += len(part)
+    return out

@@ -1,22 +1,26 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit verification, one occurrence for each connected group.
 
-A line is normalised (A-Z to a-z, digits to 0, ASCII punctuation to spaces) and takes part if it has at least ``min_words`` words. Its SimHash has 64 bits,
-over its words and word pairs; a second one has other bits of the same features. Lines are candidates if their SimHashes differ in under ``limit`` bits, the second
-ones in under ``second``, and their lengths allow the similarity. SimHashes that differ in under ``limit`` bits are within the radius of one of ``blocks`` blocks,
-by the pigeonhole principle, and there agree in one part of the block: lines are dealt to buckets by the values of such parts, and a bucket finds the
-pairs within the block's radius. All distinct lines are dealt, so those of equal SimHashes are compared with each other and with every near SimHash's.
-Candidates are verified: the edit distance of the normalised lines must be at most 20 % of the longer one. Of each
-connected group the first occurrence (by doc_id, then line) stays; every other line goes. Pairs that are 80 % alike beyond the two limits are missed.
-
-Equal lines are one from the start (aggregated before the shuffle), so a line in every document is one row per task. Buckets hold distinct
-lines and emit only close pairs; m lines that are all close to each other make m squared pairs.
-
-Edge cases: null and empty texts have no lines; short lines stay; rows with equal doc_id compete by line number, then stay both where equal; a null doc_id comes
-last; very long lines are whole; an empty table gives an empty result; other columns aren't looked at.
+A line is normalised (A-Z to a-z, digits to 0, ASCII punctuation to spaces) and takes part if it has at least ``min_words`` words. Its SimHash has 64 bits, voted
+by its distinct words (a frequent word counts once, so unrelated lines stay apart); a second one has 64 bits voted by its word pairs. Lines are candidates if their
+SimHashes differ in under ``limit`` bits, the second ones in under ``second``, and their lengths allow the similarity. SimHashes that differ in under ``limit`` bits are
+within the radius of one of ``blocks`` blocks, by the pigeonhole principle, and there agree in one part of the block: lines are dealt to buckets by the values of such
+parts, and a bucket finds the pairs within the block's radius. All distinct lines are dealt, so those of equal SimHashes are compared with each other and with every
+near SimHash's. Candidates are verified: the edit distance of the normalised lines must be at most 20 % of the longer one. Of each connected group the first
+occurrence stays (by doc_id, then the text's hash, then line); every other line goes. Pairs that are 80 % alike beyond the two limits are missed.
+
+Candidates are verified in two rounds, so that m lines close to each other don't make m squared pairs: first each line against one partner in each bucket (the one with the
+least hash, so a group's lines meet the same partner); then, among lines that have a partner, every candidate pair that isn't connected yet. Equal lines are one from the start
+(aggregated before the shuffle). Rows of hot lines (over 1/1024 of all lines each) are answered by a broadcast of those lines, 1024 at most, and aren't shuffled.
+
+A row of docs is known by a number of its own, so rows that share a doc_id, or have none, have each their own lines.
+
+Edge cases: null and empty texts have no lines; short lines stay; rows with equal doc_id compete by text hash, then row; a null doc_id comes last; equal rows are rows of their
+own, of which one keeps the line; very long lines are whole; an empty table gives an empty result; other columns aren't looked at, and drop_lines returns them as they are.
 """
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -24,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packframe.llm.common import cut, parts, table
-from packframe.llm.distance import within
+from packframe.llm.common import cut, join_hot, parts, table
+from packframe.llm.distance import all_within
 from packframe.llm.graph import components
 from packframe.llm.units import mix, pack, slices, texts_of, unpack, word_hashes
 
 U = np.uint64
 LAST = np.iinfo(np.int64).max
-LIMIT, SECOND = 12, 20  # of pairs that are 80 % alike 90 % differ in fewer bits than LIMIT, 16 % in fewer than 4 (measured on sf0.1)
+LIMIT, SECOND = 12, 22  # 93 % of pairs that are 80 % alike differ in fewer bits (measured on sf0.1)
 STEPS = 4
 PAIRS = 1 << 19
 
@@ -53,6 +57,35 @@ def normal_words(line: str) -> list[bytes]:
     return NORMAL[np.frombuffer(line.encode("utf-8", "surrogatepass"), np.uint8)].tobytes().split()
 
 
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()  # the bits of a byte, a byte each
+LANE = 255
+
+
+def _distinct(h: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Whether each word is its line's first of its kind."""
+    key = mix(h ^ (line.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15))
+    order = np.argsort(key, kind="stable")
+    out = np.empty(len(key), bool)
+    out[order] = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    return out
+
+
+def simhash(features: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Majority of the features' bits for each run that starts at head. Votes are counted in bytes, eight to a word, over runs of at most 255."""
+    size = np.diff(np.append(head, len(features)))
+    pieces = -(-size // LANE)
+    first = np.cumsum(pieces) - pieces
+    at = np.repeat(head, pieces) + (np.arange(pieces.sum()) - np.repeat(first, pieces)) * LANE
+    votes = np.empty((len(at), 8), np.uint64)
+    raw = features.view(np.uint8).reshape(-1, 8)
+    for c in range(8):
+        votes[:, c] = np.add.reduceat(_LANES[raw[:, c]], at)
+    count = votes.view(np.uint8)
+    if len(at) > len(head):
+        count = np.add.reduceat(count, first, axis=0, dtype=np.int32)
+    return np.packbits(count.astype(np.int32) * 2 > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def line_hashes(data: np.ndarray, offsets: np.ndarray, min_words: int):
     """(document, line number, hash, SimHash) of the lines that take part, each document's number of lines, the lines' lengths in characters and their second SimHashes."""
     breaks = np.flatnonzero(data == 10)
@@ -63,40 +96,41 @@ def line_hashes(data: np.ndarray, offsets: np.ndarray, min_words: int):
     plain = NORMAL[data]
     chars = np.concatenate([[0], np.cumsum(((plain & 0xC0) != 0x80) & ~SPACES[plain])])
     out = []
-    for _, _, h, line in word_hashes(plain, edges, fold=False) if len(starts) else ():
+    for d, e, h, line in word_hashes(plain, edges, fold=False) if len(starts) else ():
+        many = np.bincount(line - d, minlength=e - d) >= min_words
+        keep = many[line - d]
+        h, line = h[keep], line[keep]
         if not len(h):
             continue
         head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
         size = np.diff(np.append(head, len(h)))
         own = mix(np.add.reduceat(mix(h + (np.arange(len(h)) - np.repeat(head, size)).astype(np.uint64) * U(0x9E3779B97F4A7C15)), head) + size.astype(np.uint64))
-        pairs = mix(h[:-1] * U(0xD6E8FEB86659FD93) + h[1:])
-        pairs = np.append(pairs, U(0))
-        pairs[head + size - 1] = h[head + size - 1]  # the last word has no pair; it counts twice
-        sims = []
-        for features in ((h, pairs), (mix(h + U(1)), mix(pairs + U(1)))):
-            votes = np.zeros((len(head), 64), np.int32)
-            for f in features:
-                for lo in range(0, len(head), 4096):
-                    a, b = head[lo], head[lo + 4096] if lo + 4096 < len(head) else len(h)
-                    bits = np.unpackbits(f[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    votes[lo : lo + 4096] += np.add.reduceat(bits, head[lo : lo + 4096] - a, axis=0, dtype=np.int32)
-            sims.append(np.packbits(votes * 2 > 2 * size[:, None], axis=1, bitorder="little").view(np.uint64).ravel())
-        keep = size >= min_words
-        out.append((line[head[keep]], own[keep], sims[0][keep], size[keep], sims[1][keep]))
+        pairs = np.append(mix(h[:-1] * U(0xD6E8FEB86659FD93) + h[1:]), U(0))
+        pairs[head + size - 1] = h[head + size - 1]  # the last word has no pair
+        kinds = _distinct(h, line)
+        words = np.cumsum(kinds)[head + size - 1]
+        out.append((line[head], own, simhash(h[kinds], np.concatenate([[0], words[:-1]])), size, simhash(pairs, head)))
     which, own, sim, size, more = (np.concatenate([o[i] for o in out] or [np.zeros(0, t)]) for i, t in enumerate((np.int64, U, U, np.int64, U)))
     doc = np.searchsorted(offsets, starts[which], "right") - 1
     first = np.searchsorted(breaks, offsets[:-1], "left")
     return doc, np.searchsorted(breaks, starts[which], "left") - first[doc], own, sim, n_lines, chars[edges[which + 1]] - chars[edges[which]] + size - 1, more
 
 
+SCAN = "row long, doc_id long, key long, number int, hash long, sim long, length int, more long"
+
+
 def _scan(min_words: int):
+    """A row for each line that takes part, and one for each document, whose number is - 1 - its number of lines."""
+
     def run(batches):
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
             doc, number, own, sim, n, length, more = line_hashes(data, offsets, min_words)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(n)))]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (number.astype(np.int32), own.view(np.int64), sim.view(np.int64), length.astype(np.int32), more.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), *lists], ["doc_id", "n_lines", "number", "hash", "sim", "length", "more"])
+            none = np.zeros(len(n), np.int64)
+            take = pa.array(np.concatenate([np.arange(len(n)), doc]))
+            cols = [np.concatenate(x) for x in ((-1 - n, number), (none, own.view(np.int64)), (none, sim.view(np.int64)), (none, length), (none, more.view(np.int64)))]
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("row", "doc_id", "key")), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [x.split()[0] for x in SCAN.split(", ")])
 
     return run
 
@@ -115,7 +149,8 @@ def _spans(blocks: int, limit: int) -> list[tuple[int, int, int, list[tuple[int,
     return out
 
 
-def _masks(lo: int, hi: int, radius: int, parts_: list[tuple[int, int]], j: int) -> list[int]:
+@cache
+def _masks(lo: int, hi: int, radius: int, parts_: tuple[tuple[int, int], ...], j: int) -> list[int]:
     """Differences of two values of a block, within its radius, whose first part without a difference is j."""
     found = [sum(1 << (b - lo) for b in bits) for n in range(radius + 1) for bits in combinations(range(lo, hi), n)]
     hit = lambda m, x: m >> (x[0] - lo) & ((1 << (x[1] - x[0])) - 1)
@@ -138,7 +173,7 @@ def near_pairs(sim: np.ndarray, length: np.ndarray, k: int, j: int, blocks: int,
     np.cumsum(np.bincount(value * kinds + kind, minlength=len(names) * kinds), out=at[1:])
     where = np.full(1 << (hi - lo), -1, np.int64)
     where[names] = np.arange(len(names))
-    for m in _masks(lo, hi, radius, parts_, j):
+    for m in _masks(lo, hi, radius, tuple(parts_), j):
         to = where[names ^ m][value]
         mine = np.flatnonzero(to >= 0)
         cell = to[mine] * kinds + kind[mine]
@@ -171,23 +206,23 @@ def close_pairs(sim: np.ndarray, k: int, blocks: int, limit: int | None = None)
     return a[a != b], b[a != b]
 
 
-def _deal(blocks: int, limit: int, rows: int = 1 << 18):
+def _deal(blocks: int, limit: int, bits: int, rows: int = 1 << 18):
     """Lines to one bucket for each part of each block, by the lowest bits of the part's value."""
-    sides = [(k, j, part[0], min(part[1], part[0] + 6)) for k, span in enumerate(_spans(blocks, limit)) for j, part in enumerate(span[3])]
+    sides = [(k, j, part[0], min(part[1], part[0] + bits)) for k, span in enumerate(_spans(blocks, limit)) for j, part in enumerate(span[3])]
 
     def send(held):
-        own, sim, length, more = (np.concatenate(x) for x in zip(*held, strict=True))
+        own, sim, length, more, label = (np.concatenate(x) for x in zip(*held, strict=True))
         out = []
         for k, j, lo, hi in sides:
             to = _block(sim, lo, hi).astype(np.int64)
             order = np.lexsort((sim, to))
-            out += [((k * limit + j) << 32 | v, pack(own[order[a:b]], sim[order[a:b]], length[order[a:b]], more[order[a:b]])) for v, a, b in slices(to[order], 1 << (hi - lo))]
+            out += [((k * limit + j) << 32 | v, pack(*(x[order[a:b]] for x in (own, sim, length, more, label)))) for v, a, b in slices(to[order], 1 << (hi - lo))]
         return pa.RecordBatch.from_arrays([pa.array([f[0] for f in out], pa.int64()), pa.array([f[1] for f in out], pa.binary())], ["bucket", "message"])
 
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False).view(t) for c, t in (("hash", np.int64), ("sim", U), ("length", np.int32), ("more", U))))
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False).view(t) for c, t in (("hash", np.int64), ("sim", U), ("length", np.int32), ("more", U), ("label", np.int64))))
             n += len(batch)
             if n >= rows:
                 yield send(held)
@@ -198,16 +233,33 @@ def _deal(blocks: int, limit: int, rows: int = 1 << 18):
     return run
 
 
-def _compare(blocks: int, limit: int, second: int, percent: int):
+def _compare(blocks: int, limit: int, second: int, percent: int, first: bool):
+    """Candidate pairs of a bucket as (a, b, salt): in the first round each line with its partner of least hash, else all pairs of different labels.
+    salt numbers every 256 pairs of the same b, so that a line with many partners isn't met in one task when they are verified."""
+
     def run(key, rows):
         k, j = divmod(key[0].as_py() >> 32, limit)
-        own, sim, length, more = (np.concatenate(x) for x in zip(*(unpack(m) for m in rows["message"].to_pylist()), strict=True))
-        found = [(own[:0], own[:0])]
+        own, sim, length, more, label = (np.concatenate(x) for x in zip(*(unpack(m) for m in rows["message"].to_pylist()), strict=True))
+        found, best = [(own[:0], own[:0])], np.full(len(own), LAST)
         for a, b in near_pairs(sim, length, k, j, blocks, limit, percent):
             near = np.bitwise_count(more[a] ^ more[b]) < second
-            found.append((own[a[near]], own[b[near]]))
+            a, b = a[near], b[near]
+            if first:
+                np.minimum.at(best, a, own[b])
+                np.minimum.at(best, b, own[a])
+            else:
+                apart = label[a] != label[b]
+                found.append((own[a[apart]], own[b[apart]]))
+        if first:
+            some = best < LAST
+            found.append((own[some], best[some]))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+        a, b = np.maximum(a, b), np.minimum(a, b)
+        order = np.lexsort((a, b))
+        a, b = a[order], b[order]
+        start = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else b
+        rank = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "salt": pa.array((rank >> 8).astype(np.int32))})
 
     return run
 
@@ -215,10 +267,8 @@ def _compare(blocks: int, limit: int, second: int, percent: int):
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                a, b = a or "", b or ""
-                good.append(within(a, b, (100 - percent) * max(len(a), len(b)) // 100))
+            a, b = ([x or "" for x in batch.column(c).to_pylist()] for c in ("ta", "tb"))
+            good = all_within(a, b, [(100 - percent) * max(len(x), len(y)) // 100 for x, y in zip(a, b, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -234,47 +284,77 @@ def _pick():
                 lines = (text or "").split("\n")
                 for w in wanted:
                     h.append(w["hash"])
-                    t.append(b" ".join(normal_words(lines[w["number"]])).decode("utf-8", "replace") if w["number"] < len(lines) else "")
+                    t.append(b" ".join(normal_words(lines[w["number"]])).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(t, pa.string())], ["hash", "line"])
 
     return run
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5, percent: int = 80, blocks: int = 4, limit: int = 4, second: int = 64) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (line numbers) for each row of docs. Lines whose SimHashes differ in limit bits or more, or the second ones in second bits or more, aren't compared."""
-    own = docs.select("doc_id", "text")
-    scan = cut(own.mapInArrow(_scan(min_words), "doc_id long, n_lines long, number array<int>, hash array<long>, sim array<long>, length array<int>, more array<long>"), "line-hashes")
-    scan = scan.withColumn("at", F.coalesce("doc_id", F.lit(LAST)))
-    each = scan.select("doc_id", "at", F.explode(F.arrays_zip("number", "hash", "sim", "length", "more")).alias("x")).select("doc_id", "at", "x.*")
-    kinds = cut(each.groupBy("hash").agg(F.first("more").alias("more"), F.min(F.struct("at", "number")).alias("first"), F.first("sim").alias("sim"), F.first("length").alias("length"), F.count("*").alias("n")), "distinct-lines")
-    n = parts(docs, 6.0)
-    dealt = kinds.select("hash", "sim", "length", "more").mapInArrow(_deal(blocks, limit), "bucket long, message binary")
-    links = cut(dealt.groupBy("bucket").applyInArrow(_compare(blocks, limit, second, percent), "a long, b long"), "line-candidates")
-    wanted = links.select(F.col("a").alias("hash")).unionByName(links.select(F.col("b").alias("hash"))).distinct()
-    wanted = kinds.join(wanted, "hash").select(F.col("first")["at"].alias("at"), F.struct(F.col("hash"), F.col("first")["number"].alias("number")).alias("w")).groupBy("at").agg(F.collect_list("w").alias("wanted"))
-    texts = own.withColumn("at", F.coalesce("doc_id", F.lit(LAST))).join(wanted, "at").select("text", "wanted").mapInArrow(_pick(), "hash long, line string")
-    texts = cut(texts.groupBy("hash").agg(F.min("line").alias("line")), "candidate-lines")
-    sided = links.join(texts.select(F.col("hash").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("hash").alias("b"), F.col("line").alias("tb")), "b").select("a", "b", "ta", "tb").repartition(n)  # few bytes, much work
-    same = components(cut(sided.mapInArrow(_verify(percent), "a long, b long"), "line-links"))
+def _texts(docs: DataFrame, kinds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(hash, line) of the lines in pairs, from the rows where they occur first."""
+    wanted = pairs.select(F.col("a").alias("hash")).unionByName(pairs.select(F.col("b").alias("hash"))).distinct()
+    wanted = kinds.join(wanted, "hash").select(F.col("first")["doc_id"].alias("w_doc"), F.col("first")["key"].alias("w_key"), F.struct("hash", F.col("first")["number"].alias("number")).alias("w"))
+    wanted = wanted.groupBy("w_doc", "w_key").agg(F.collect_list("w").alias("wanted"))
+    own = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text"))
+    texts = own.join(wanted, own["doc_id"].eqNullSafe(wanted["w_doc"]) & (own["key"] == wanted["w_key"])).select("text", "wanted").mapInArrow(_pick(), "hash long, line string")
+    return cut(texts.groupBy("hash").agg(F.min("line").alias("line")), "candidate-lines")  # equal rows give a line twice
+
+
+def _links(docs: DataFrame, kinds: DataFrame, dealt: DataFrame, compare, percent: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """The candidate pairs of one round (a, b), and those that the edit distance confirms."""
+    pairs = dealt.groupBy("bucket").applyInArrow(compare, "a long, b long, salt int").groupBy("a", "b").agg(F.min("salt").alias("salt"))
+    pairs = cut(pairs, "line-candidates")
+    texts = _texts(docs, kinds, pairs)
+    left = texts.select(F.col("hash").alias("a"), F.col("line").alias("ta"))
+    salts = pairs.groupBy("b").agg(F.max("salt").alias("salts"))
+    right = texts.withColumnRenamed("hash", "b").join(salts, "b").select("b", F.col("line").alias("tb"), F.explode(F.sequence(F.lit(0), "salts")).alias("salt"))
+    sided = pairs.join(left, "a").join(right, ["b", "salt"]).select("a", "b", "ta", "tb").repartition(n)  # few bytes, much work
+    return pairs, cut(sided.mapInArrow(_verify(percent), "a long, b long"), "line-links")
+
+
+def _removed(docs: DataFrame, min_words: int, percent: int, blocks: int, limit: int, second: int) -> tuple[DataFrame, DataFrame]:
+    """docs (row, doc_id, text) -> (row, doc_id, n_lines), and (row, removed) of the rows that lose lines."""
+    scan = docs.select("row", "doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_scan(min_words), SCAN)
+    scan = cut(scan, "lines")
+    each = scan.filter("number >= 0")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "row", "number")
+    kinds = cut(each.groupBy("hash").agg(F.min(order).alias("first"), F.first("sim").alias("sim"), F.first("length").alias("length"), F.first("more").alias("more"), F.count("*").alias("n")), "distinct-lines")
+    n, (total, lines) = parts(docs, 6.0), kinds.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    bits = min(6, (lines >> 15).bit_length())  # lines of a bucket; more buckets than the parts' values allow there can't be
+    deal = lambda x: x.select("hash", "sim", "length", "more", "label").mapInArrow(_deal(blocks, limit, bits), "bucket long, message binary")
+    compare = lambda first: _compare(blocks, limit, second, percent, first)
+    tried, links = _links(docs, kinds, deal(kinds.withColumn("label", F.col("hash"))), compare(True), percent, n)
+    near = tried.select(F.col("a").alias("hash")).unionByName(tried.select(F.col("b").alias("hash"))).distinct()
+    root = components(links).select(F.col("node").alias("hash"), "root")
+    again = kinds.join(near, "hash").join(root, "hash", "left").withColumn("label", F.coalesce("root", "hash"))
+    late, more = _links(docs, kinds, deal(again), compare(False), percent, n)
+    same = components(links.unionByName(more)) if not more.isEmpty() else root.withColumnRenamed("hash", "node")
     member = same.join(kinds.select(F.col("hash").alias("node"), "first"), "node")
     lead = member.groupBy("root").agg(F.min("first").alias("lead"))
     member = member.join(lead, "root").select(F.col("node").alias("hash"), "lead")
     # only lines that occur again or are linked can go
-    known = kinds.join(member, "hash", "left").filter("n > 1 or lead is not null").select("hash", F.coalesce("lead", "first").alias("lead"))
-    gone = each.join(known, "hash").filter((F.col("at") != F.col("lead")["at"]) | (F.col("number") != F.col("lead")["number"]))
-    gone = gone.groupBy("at").agg(F.array_sort(F.collect_set("number")).alias("removed"))
-    out = scan.select("doc_id", "at", "n_lines").join(gone, "at", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    known = cut(kinds.join(member, "hash", "left").filter("n > 1 or lead is not null").select("hash", "n", F.coalesce("lead", "first").alias("lead")), "line-groups")
+    gone = join_hot(each.select("row", "number", "hash"), known, "hash", "n", total).filter((F.col("row") != F.col("lead")["row"]) | (F.col("number") != F.col("lead")["number"]))
+    return scan.filter("number < 0").select("row", "doc_id", (-1 - F.col("number")).cast("long").alias("n_lines")), gone.groupBy("row").agg(F.array_sort(F.collect_set("number")).alias("removed"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = 5, percent: int = 80, blocks: int = 4, limit: int = LIMIT, second: int = SECOND) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed (line numbers) for each row of docs. Lines whose SimHashes differ in limit bits or more, or the second ones in second bits or more, aren't compared."""
+    # the scan is written once with the numbers, which name its rows from then on
+    every, gone = _removed(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), min_words, percent, blocks, limit, second)
+    out = every.join(gone, "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
-def drop_lines(docs: DataFrame, limit: int = LIMIT, second: int = SECOND, **options) -> DataFrame:
-    """docs with the text's remaining lines; same columns."""
-    found = dedup_lines(docs, limit=limit, second=second, **options).filter("n_removed > 0").select(F.col("doc_id").alias("line_doc_id"), "removed").distinct()
-    x = docs.join(found, docs["doc_id"].eqNullSafe(found["line_doc_id"]), "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n")
-    return x.select(*[F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+def drop_lines(docs: DataFrame, min_words: int = 5, percent: int = 80, blocks: int = 4, limit: int = LIMIT, second: int = SECOND) -> DataFrame:
+    """docs with the text's remaining lines; same columns. The rows are written once, with a number each."""
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")), "numbered-rows")
+    _, gone = _removed(rows.select("row", "d.doc_id", "d.text"), min_words, percent, blocks, limit, second)
+    x = rows.join(gone, "row", "left")
+    kept = F.array_join(F.filter(F.split("d.text", "\n"), lambda _, i: ~F.array_contains("removed", i)), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("d")["text"]).otherwise(kept)
+    return x.select(*[(text if c == "text" else F.col("d")[c]).alias(c) for c in docs.columns])
 
 
 def op10_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"), limit=LIMIT, second=SECOND)
+    return dedup_lines(table(spark, sf_dir, "documents"))

@@ -308,76 +308,96 @@ def test_chat_parts_and_escapes(spark):
     assert chat.format_conversations(df.filter("false")).count() == 0
 
 
-def _lines(rows, min_words, percent, limit):
-    """Brute force: all pairs of distinct normalised lines."""
-    first, where = {}, []
-    for d, t in sorted(rows, key=lambda r: r[0]):
-        for k, line in enumerate((t or "").split("\n") if t else []):
-            w = tuple(lines.normal_words(line))
-            if len(w) >= min_words:
-                where.append((d, k, w))
-                first[w] = min(first.get(w, (d, k)), (d, k))
-    names = list(first)
-    sims = []
-    for w in names:
-        raw = np.frombuffer(b" ".join(w), np.uint8)
-        sims.append(lines.line_hashes(raw, np.array([0, len(raw)]), min_words)[3][0])
-    links = []
-    for i, a in enumerate(names):
-        for j in range(i):
-            if bin(int(sims[i]) ^ int(sims[j])).count("1") < limit:
-                x, y = b" ".join(a).decode(), b" ".join(names[j]).decode()
-                if 100 * (max(len(x), len(y)) - brute.edits(x, y, False)) >= percent * max(len(x), len(y)):
-                    links.append((i, j))
-    part = brute.components(len(names), links)
-    lead = {}
-    for p, w in zip(part, names):
-        lead[p] = min(lead.get(p, first[w]), first[w])
-    at = dict(zip(names, part))
-    gone = defaultdict(set)
-    for d, k, w in where:
-        if (d, k) != lead[at[w]]:
-            gone[d].add(k)
-    return gone
+def _line_groups(rows, percent=80):
+    """Brute force over edit similarity alone, with a normaliser of its own: the occurrences (row, line) of each group of lines of five words or more."""
+    plain = {c: chr(c + 32) for c in range(65, 91)} | {c: "0" for c in range(48, 58)} | {ord(c): " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"}
+    where = defaultdict(list)
+    for r, (_, t) in enumerate(rows):
+        for k, line in enumerate((t or "").split("\n")):
+            w = brute.WORD.findall(line.translate(plain))
+            if len(w) >= 5:
+                where[" ".join(w)].append((r, k))
+    names = list(where)
+    short = lambda a, b: min(len(a), len(b)) * 100 >= percent * max(len(a), len(b))
+    links = [(i, j) for i, a in enumerate(names) for j, b in enumerate(names[:i]) if short(a, b) and 100 * brute.edits(a, b, False) <= (100 - percent) * max(len(a), len(b))]
+    groups = defaultdict(list)
+    for p, w in zip(brute.components(len(names), links), names):
+        groups[p] += where[w]
+    return [sorted(g) for g in groups.values()]
+
+
+def _check_lines(spark, made, **options):
+    """Of each brute-force group one occurrence stays, in a row with the least doc_id (null last); nothing else goes. Rows are told apart by a column of their own."""
+    df = spark.createDataFrame([(i, t, r, "x", 7) for r, (i, t) in enumerate(made)], "doc_id long, text string, row long, removed string, line_doc_id int")
+    kept = lines.drop_lines(df, **options)
+    left = {r.row: r for r in kept.collect()}
+    assert kept.columns == df.columns and len(left) == len(made)
+    gone = {}
+    for r, (i, t) in enumerate(made):
+        assert (left[r].doc_id, left[r].removed, left[r].line_doc_id) == (i, "x", 7)
+        now, out = left[r].text, []
+        if t is None:
+            assert now is None
+            continue
+        rest = now.split("\n") if now or not t else []
+        for k, line in enumerate(t.split("\n")):  # the kept lines are a subsequence
+            if rest and rest[0] == line:
+                rest.pop(0)
+            else:
+                out.append(k)
+        assert not rest
+        gone[r] = set(out)
+    found = dict(gone)
+    age = lambda r: (made[r][0] is None, made[r][0] or 0)
+    for group in _line_groups(made):
+        kept = [(r, k) for r, k in group if k not in found[r]]
+        assert len(kept) == 1 and age(kept[0][0]) == min(age(r) for r, _ in group), [made[r][1].split("\n")[k] for r, k in group]
+        for r, k in group:
+            found[r] = found[r] - {k}
+    assert not any(found.values())
+    listed = Counter((r.doc_id, r.n_lines, r.n_removed, len(r.removed)) for r in lines.dedup_lines(df, **options).collect())
+    assert listed == Counter((i, len(t.split("\n")) if t else 0, len(gone.get(r, ())), len(gone.get(r, ()))) for r, (i, t) in enumerate(made))
 
 
 def test_fuzzy_lines(spark, docs, none):
-    base = ["the quick brown fox jumps over the lazy dog near the river bank today", "a completely different line about trains and other long things to say here", "short line"]
+    g = random.Random(4)
+    word = lambda: "".join(g.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(g.randrange(3, 9)))
+    base = [[word() for _ in range(g.randrange(22, 40))] for _ in range(5)] + [["short", "line"]]
     made = []
-    for i in range(60):
+    for i in range(70):
         t = []
-        for _ in range(rng.randrange(4)):
-            w = rng.choice(base).split()
-            if rng.random() < 0.6:
-                w[rng.randrange(len(w))] += rng.choice("sxy")
-            t.append(" ".join(w).upper() if rng.random() < 0.3 else " ".join(w) + rng.choice(("", " .", "!")))
-        made.append((i, "\n".join(t)))
-    made += [(100, None), (101, ""), (102, "\n\n")]
-    got = {r.doc_id: set(r.removed) for r in lines.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).collect()}
-    want = _lines(made, 5, 80, 4)
-    assert got == {d: want.get(d, set()) for d, _ in made} and any(got.values())
-    assert lines.dedup_lines(none).count() == 0
-    assert lines.drop_lines(docs).columns == docs.columns
+        for _ in range(g.randrange(4)):
+            w = list(g.choice(base))
+            if g.random() < 0.6:
+                w[g.randrange(len(w))] = word()
+            t.append(" ".join(w).upper() if g.random() < 0.3 else " ".join(w) + g.choice(("", " .", "!")))
+        made.append((g.choice((i, i, 7, None)), "\n".join(t)))  # ids that repeat, and null ones
+    made += [(100, None), (101, ""), (None, None), (102, "\n\n"), made[0], made[5], made[5], (3, "a line that is the only one of its kind here"), (None, "another line that nobody else has at all ever")]
+    _check_lines(spark, made)
+    assert lines.drop_lines(none).count() == 0
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    one, two = "the unique line that nobody else has at all ever", "a line that is in both of these two texts here"
+    _check_lines(spark, [(1, two + "\n" + one), (1, "more text of another kind that stands alone\n" + two), (None, one), (None, two + " again"), (None, "x")])
 
 
 def test_lines_against_edit_similarity_alone(spark):
     g = random.Random(7)
     word = lambda: "".join(g.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(g.randrange(2, 9)))
     made = []
-    for i in range(40):
+    for i in range(60):
         w = [word() for _ in range(g.randrange(8, 25))]
         x = w.copy()
         x[g.randrange(len(x))] = word()
         made += [(i, " ".join(w)), (1000 + i, " ".join(x))]
-    want = {(d, k) for d, found in _lines(made, 5, 80, 65).items() for k in found}
-    got, narrow = ({(r.doc_id, k) for r in lines.dedup_lines(spark.createDataFrame(made, "doc_id long, text string"), limit=a, second=b).collect() for k in r.removed} for a, b in ((lines.LIMIT, lines.SECOND), (4, 64)))
-    assert got <= want and len(got) >= 0.8 * len(want) and len(narrow) < 0.5 * len(want)
+    want = {max(made[r][0] for r, _ in group) for group in _line_groups(made) if len(group) > 1}
+    got, narrow = ({r.doc_id for r in lines.dedup_lines(spark.createDataFrame(made, "doc_id long, text string"), limit=a, second=b).filter("n_removed > 0").collect()} for a, b in ((lines.LIMIT, lines.SECOND), (4, 65)))
+    assert got <= want and len(got) >= 0.85 * len(want) and len(narrow) < 0.5 * len(want)
 
 
 def test_lines_of_equal_simhash_are_all_compared(spark):
-    made = [(i, " ".join(["buy"] * n)) for i, n in enumerate((5, 19, 20, 60, 61, 200, 201))]
-    got = {r.doc_id for r in lines.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).filter("n_removed > 0").collect()}
-    assert got == {2, 4, 6}
+    _check_lines(spark, [(i, " ".join(["buy"] * n)) for i, n in enumerate((5, 19, 20, 60, 61, 200, 201, 202))])
 
 
 def test_simhash_pairs_are_all_found():
