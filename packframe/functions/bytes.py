@@ -7,29 +7,84 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 
-def _pandas(f: Callable, kind: str):
-    def one(a: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else f(x) for x in a], dtype=object)
+def _arrow(f: Callable, kind: str):
+    to = to_arrow_type(DataType.fromDDL(kind))
 
-    def two(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+    def one(a: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else _plain(f(x)) for x in a.to_pylist()], to)
 
-    return F.pandas_udf(one if len(inspect.signature(f).parameters) == 1 else two, kind)
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else _plain(f(x, y)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], to)
+
+    return F.arrow_udf(one if len(inspect.signature(f).parameters) == 1 else two, kind)
+
+
+def _plain(x):
+    """Arrays as lists, tuples in lists as structs stay."""
+    return x.tolist() if isinstance(x, np.ndarray) else x
 
 
 def binary_function(f: Callable, kind: str = "binary") -> Callable[..., Column]:
     """A function of one or two values as a column function, over Arrow batches; null in, null out."""
-    return lambda *cols: _pandas(f, kind)(*cols)
+    return lambda *cols: _arrow(f, kind)(*cols)
+
+
+def counts_of(column: pa.Array) -> np.ndarray:
+    """(values, 256) counts of the byte values of a binary column, from its flat buffer."""
+    arr = column.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = arr.buffers()
+    off = np.frombuffer(offsets, np.int64)[arr.offset : arr.offset + len(arr) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return np.stack([np.bincount(raw[lo:hi], minlength=256) for lo, hi in zip(off[:-1], off[1:], strict=True)]) if len(arr) else np.zeros((0, 256), np.int64)
+
+
+def entropies(counts: np.ndarray, empty: float = 0.0) -> np.ndarray:
+    """Shannon entropy in bits a byte of each row of counts."""
+    n = counts.sum(1)
+    share = counts / np.maximum(n, 1)[:, None]
+    return np.where(n > 0, -(share * np.log2(np.where(counts > 0, share, 1.0))).sum(1), empty)
 
 
 def histogram(content) -> Column:
     """Counts of the 256 byte values."""
-    return binary_function(lambda b: np.bincount(np.frombuffer(b, np.uint8), minlength=256), "array<bigint>")(content)
+
+    @F.arrow_udf("array<bigint>")
+    def count(column: pa.Array) -> pa.Array:
+        counts = counts_of(column).astype(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * 256), pa.array(counts.ravel()), mask=column.is_null() if column.null_count else None)
+
+    return count(content)
+
+
+def entropy_of(content, sample: int = 0, empty: float = 0.0) -> Column:
+    """Entropy of a binary column; sample: of its first bytes only. One number a value leaves the function."""
+
+    @F.arrow_udf("double")
+    def measure(column: pa.Array) -> pa.Array:
+        if sample:
+            column = pc.binary_slice(column, 0, sample)
+        return pa.array(entropies(counts_of(column), empty), mask=np.asarray(column.is_null()))
+
+    return measure(content)
+
+
+def entropy_pair(content, sample: int, empty: float) -> Column:
+    """struct(whole, sample): both entropies in one pass over a batch."""
+
+    @F.arrow_udf("struct<whole:double,sample:double>")
+    def measure(column: pa.Array) -> pa.Array:
+        whole, head = entropies(counts_of(column)), entropies(counts_of(pc.binary_slice(column, 0, sample)), empty)
+        return pa.StructArray.from_arrays([pa.array(whole), pa.array(head)], ["whole", "sample"])
+
+    return measure(content)
 
 
 def byte_values(content) -> Column:
@@ -38,10 +93,3 @@ def byte_values(content) -> Column:
 
 def adler32(content) -> Column:
     return binary_function(lambda b: zlib.adler32(b), "bigint")(content)
-
-
-def entropy(hist: Column, empty: float = 0.0) -> Column:
-    """Shannon entropy in bits a byte of a histogram."""
-    n = F.aggregate(hist, F.lit(0).cast("long"), lambda a, x: a + x)
-    bits = F.aggregate(F.filter(hist, lambda x: x > 0), F.lit(0.0), lambda a, x: a - x / n * F.log2(x / n))
-    return F.when(n > 0, bits).otherwise(F.lit(empty))

@@ -6,6 +6,8 @@ import io
 import json
 import struct
 import tarfile
+from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 PACK, INDEXED, TABLE = b"ROXP", b"ROXI", b"ROXV"  # fixed values of the formats
 ALIGN = 4096
@@ -116,3 +118,135 @@ def tar(entries: list[tuple[str, bytes]]) -> bytes:
 def untar(b: bytes) -> list[tuple[str, bytes]]:
     with tarfile.open(fileobj=io.BytesIO(b)) as t:
         return [(m.name, t.extractfile(m).read()) for m in t if m.isreg()]
+
+
+# ---- streams: nothing but the entry at hand is held
+
+
+class Pieces:
+    """Reads exact sizes from an iterator of pieces."""
+
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.held, self.done = iter(pieces), b"", 0
+
+    def take(self, n: int) -> bytes:
+        parts, have = [self.held], len(self.held)
+        while have < n:
+            piece = next(self.pieces, None)
+            if piece is None:
+                raise ValueError(f"archive ends at {self.done + have}; {self.done + n} bytes are needed")
+            parts.append(piece)
+            have += len(piece)
+        whole = b"".join(parts)
+        self.held, self.done = whole[n:], self.done + n
+        return whole[:n]
+
+    def skip(self, n: int, size: int = 1 << 20) -> None:
+        while n:
+            n -= len(self.take(min(n, size)))
+
+
+def unpack_stream(pieces: Iterable[bytes], names: Iterable[str] | None = None) -> Iterator[tuple[str, bytes]]:
+    """Entries of any layout as they come. With names, other entries are stepped over, and reading stops after the last name."""
+    wanted = None if names is None else set(names)
+    if wanted is not None and not wanted:
+        return
+    p = Pieces(pieces)
+    magic = p.take(4)
+    if magic == b"ROX1":
+        magic = p.take(4)
+    if magic == TABLE:
+        _, count = struct.unpack("<II", p.take(8))
+        table = []
+        for _ in range(count):
+            (n,) = struct.unpack("<H", p.take(2))
+            name = p.take(n).decode("utf-8", "replace")
+            table.append((*struct.unpack("<QQQ", p.take(24))[:2], name))
+        at = 0
+        for offset, size, name in sorted(table):
+            if wanted is not None and name not in wanted:
+                continue
+            p.skip(offset - at)
+            yield name, p.take(size)
+            at = offset + size
+            if wanted is not None:
+                wanted.discard(name)
+                if not wanted:
+                    return
+        return
+    if magic == PACK:
+        (count,) = struct.unpack(">I", p.take(4))
+    elif magic == INDEXED:
+        (n,) = struct.unpack(">I", p.take(4))
+        count = len(json.loads(p.take(n)))
+    else:
+        raise ValueError("unknown archive")
+    for _ in range(count):
+        (n,) = struct.unpack(">H", p.take(2))
+        name = p.take(n).decode("utf-8", "replace")
+        (size,) = struct.unpack(">Q", p.take(8))
+        if wanted is None or name in wanted:
+            yield name, p.take(size)
+            if wanted is not None:
+                wanted.discard(name)
+                if not wanted:
+                    return
+        else:
+            p.skip(size)
+
+
+def pack_stream(entries: Iterable[tuple[str, bytes]], count: int) -> Iterator[bytes]:
+    yield PACK + struct.pack(">I", count)
+    for name, content in entries:
+        raw = name.encode()
+        yield struct.pack(">H", len(raw)) + raw + struct.pack(">Q", len(content))
+        yield content
+
+
+def index_of(sizes: Iterable[tuple[str, int]], block: int = 8 << 20) -> list[dict]:
+    """The index of an indexed archive, from names and sizes alone."""
+    out, at, held, number = [], 0, 0, 0
+    for name, size in sizes:
+        record = 10 + len(name.encode()) + size
+        if held and held + record > block:
+            number, held = number + 1, 0
+        out.append({"path": name, "blockId": number, "offset": at, "size": size})
+        at, held = at + record, held + record
+    return out
+
+
+def indexed_stream(sizes: list[tuple[str, int]], contents: Iterable[bytes], block: int = 8 << 20) -> Iterator[bytes]:
+    """An indexed archive in pieces: sizes are known first, contents come one by one in the same order."""
+    head = json.dumps(index_of(sizes, block)).encode()
+    yield INDEXED + struct.pack(">I", len(head)) + head
+    for (name, size), content in zip(sizes, contents, strict=True):
+        if len(content) != size:
+            raise ValueError(f"{name}: {len(content)} bytes where {size} were said")
+        raw = name.encode()
+        yield struct.pack(">H", len(raw)) + raw + struct.pack(">Q", size) + content
+
+
+def clean_tar_path(name: str) -> str:
+    return "/".join(p for p in name.split("/") if p not in ("", ".", ".."))
+
+
+def tar_list(f: BinaryIO) -> list[tuple[str, int]]:
+    """(path, size) of the regular files, by their headers alone: contents are stepped over."""
+    out, at, long_name = [], 0, None
+    while True:
+        f.seek(at)
+        head = f.read(512)
+        if len(head) < 512 or not head.strip(b"\0"):
+            return out
+        raw = head[124:136]
+        size = int.from_bytes(raw[1:], "big") if raw[0] & 0x80 else int(raw.strip(b" \0") or b"0", 8)
+        kind = head[156:157]
+        if kind == b"L":  # the next entry's name
+            long_name = f.read(size).rstrip(b"\0").decode("utf-8", "replace")
+        elif kind in (b"0", b"\0"):
+            prefix = head[345:500].rstrip(b"\0").decode("utf-8", "replace") if head[257:263] == b"ustar\0" else ""
+            name = long_name or "/".join(x for x in (prefix, head[:100].rstrip(b"\0").decode("utf-8", "replace")) if x)
+            out.append((clean_tar_path(name), size))
+        if kind != b"L":
+            long_name = None
+        at += 512 + -(-size // 512) * 512

@@ -7,6 +7,8 @@ import struct
 import numpy as np
 import zstandard
 
+from packframe.functions import policy
+
 U8 = np.uint8
 
 
@@ -58,14 +60,13 @@ def unbwt(last: bytes, row: int) -> bytes:
     if not n:
         return b""
     col = np.insert(np.frombuffer(last, U8).astype(np.int64) + 1, row, 0)
-    order = np.argsort(col, kind="stable")  # first-column row -> last-column row
-    back = order.tolist()
-    out, at = bytearray(n), row
-    values = (col - 1).tolist()
-    for i in range(n):
-        at = back[at]
-        out[i] = values[at]
-    return bytes(out)
+    step = np.argsort(col, kind="stable")  # first-column row -> last-column row
+    # the walk step[row], step[step[row]], ...: its first 2**k places give the next 2**k by steps of 2**k
+    at = np.array([step[row]])
+    while len(at) < n:
+        at = np.concatenate([at, step[at]])
+        step = step[step]
+    return (col[at[:n]] - 1).astype(U8).tobytes()
 
 
 # ---- move to front, zero runs
@@ -152,34 +153,117 @@ def normalize(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def rans_encode(b: bytes, freq: np.ndarray) -> bytes:
-    """Symbols go in from the last to the first, so they come out in order."""
-    f, c = freq.tolist(), (np.cumsum(freq) - freq).tolist()
-    x, out = LOW, bytearray()
-    for s in reversed(b):
-        top = ((LOW >> SCALE_BITS) << 8) * f[s]
-        while x >= top:
-            out.append(x & 255)
-            x >>= 8
-        x = (x // f[s] << SCALE_BITS) + x % f[s] + c[s]
-    return struct.pack(">I", x) + bytes(reversed(out))
+def _put(x: int, out: bytearray, f: int, c: int) -> int:
+    top = ((LOW >> SCALE_BITS) << 8) * f
+    while x >= top:
+        out.append(x & 255)
+        x >>= 8
+    return (x // f << SCALE_BITS) + x % f + c
 
 
-def rans_decode(b: bytes, freq: np.ndarray, n: int) -> bytes:
+# Fixed values of the format: below TWO bytes one stream, below FOUR two, else four; the mode byte says which.
+TWO, FOUR = 16, 64
+
+
+def rans_encode(b: bytes, freq: np.ndarray) -> bytes:
+    """Mode, states (big-endian) and bytes. Symbols go in from the last to the first, so they come out in order. Two streams share their bytes;
+    four have their own, with their sizes before them."""
+    if not b:
+        return b""
+    f, c = freq.tolist(), (np.cumsum(freq) - freq).tolist()
+    mode = 0 if len(b) < TWO else 1 if len(b) < FOUR else 2
+    n = (1, 2, 4)[mode]
+    states = [LOW] * n
+    outs = [bytearray() for _ in range(n)] if mode == 2 else [bytearray()] * n
+    for i in range(len(b) - 1, -1, -1):
+        k, s = i % n, b[i]
+        states[k] = _put(states[k], outs[k], f[s], c[s])
+    head = bytes([mode]) + struct.pack(f">{n}I", *states)
+    if mode < 2:
+        return head + bytes(reversed(outs[0]))
+    return head + struct.pack("<4I", *map(len, outs)) + b"".join(bytes(reversed(o)) for o in outs)
+
+
+def rans_decode(b: bytes, freq: np.ndarray, size: int) -> bytes:
+    if not size:
+        return b""
     f, cum = freq.tolist(), (np.cumsum(freq) - freq).tolist()
     symbol = np.repeat(np.arange(256), freq).tolist()
-    (x,), at, out = struct.unpack(">I", b[:4]), 4, bytearray(n)
-    for i in range(n):
+    if b[0] > 2:
+        raise ValueError(f"unknown mode {b[0]}")
+    n = (1, 2, 4)[b[0]]
+    states, at = list(struct.unpack_from(f">{n}I", b, 1)), [1 + 4 * n] * n
+    if n == 4:
+        sizes = struct.unpack_from("<4I", b, 17)
+        at = [33 + sum(sizes[:k]) for k in range(4)]
+    else:
+        at = [1 + 4 * n] * n
+    shared, out = n < 4, bytearray(size)
+    for i in range(size):
+        k = i % n
+        x = states[k]
         slot = x & (SCALE - 1)
         s = symbol[slot]
         out[i] = s
         x = f[s] * (x >> SCALE_BITS) + slot - cum[s]
+        p = 0 if shared else k
+        while x < LOW and at[p] < len(b):
+            x = x << 8 | b[at[p]]
+            at[p] += 1
+        states[k] = x
+    return bytes(out)
+
+
+def order1(b: bytes) -> np.ndarray:
+    """(context, symbol) frequencies that add up to 4096 in each context; the first byte's context is 0. Contexts that don't occur are uniform."""
+    x = np.frombuffer(b, U8).astype(np.int64)
+    counts = np.bincount(np.concatenate([[0], x[:-1]]) * 256 + x, minlength=65536).reshape(256, 256) if len(x) else np.zeros((256, 256), np.int64)
+    return np.stack([normalize(row) if row.any() else np.full(256, SCALE // 256) for row in counts])
+
+
+def rans_encode_order1(b: bytes, freq: np.ndarray) -> bytes:
+    """As rans_encode with one stream, each symbol by the frequencies after its predecessor."""
+    if not b:
+        return b""
+    f, c = freq.tolist(), (np.cumsum(freq, 1) - freq).tolist()
+    x, out = LOW, bytearray()
+    for i in range(len(b) - 1, -1, -1):
+        before = b[i - 1] if i else 0
+        x = _put(x, out, f[before][b[i]], c[before][b[i]])
+    return b"\0" + struct.pack(">I", x) + bytes(reversed(out))
+
+
+def rans_decode_order1(b: bytes, freq: np.ndarray, size: int) -> bytes:
+    if not size:
+        return b""
+    f, cum = freq.tolist(), (np.cumsum(freq, 1) - freq).tolist()
+    symbol = [np.repeat(np.arange(256), row).tolist() for row in freq]
+    (x,), at, out, s = struct.unpack_from(">I", b, 1), 5, bytearray(size), 0
+    for i in range(size):
+        slot, before = x & (SCALE - 1), s
+        s = symbol[before][slot]
+        out[i] = s
+        x = f[before][s] * (x >> SCALE_BITS) + slot - cum[before][s]
         while x < LOW and at < len(b):
             x = x << 8 | b[at]
             at += 1
     return bytes(out)
 
 
+def stats1_bytes(freq: np.ndarray) -> bytes:
+    """For each context: itself, then its frequencies as stats_bytes writes them."""
+    return b"".join(bytes([c]) + stats_bytes(row) for c, row in enumerate(freq))
+
+
+def stats1_from(b: bytes) -> tuple[np.ndarray, int]:
+    freq, at = np.zeros((256, 256), np.int64), 0
+    while at < len(b):
+        c = b[at]
+        freq[c], size = stats_from(b[at + 1 :])
+        at += 1 + size
+    return freq, at
+
+
 def stats_bytes(freq: np.ndarray) -> bytes:
     """u16le count, then (u8 symbol, u16le frequency) each."""
     some = np.flatnonzero(freq)
@@ -209,9 +293,40 @@ def rans_unpack(b: bytes) -> bytes:
 # ---- zstd
 
 
-def zstd(b: bytes, level: int = 3, dictionary: bytes | None = None) -> bytes:
+def zstd(b: bytes, level: int = 3, dictionary: bytes | None = None, window_log: int = 0, long_distance: bool = False, prefix: bytes = b"") -> bytes:
+    """A frame of prefix and b."""
     d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-    return zstandard.ZstdCompressor(level=level, dict_data=d).compress(b)
+    if not window_log and not long_distance:
+        return zstandard.ZstdCompressor(level=level, dict_data=d).compress(prefix + b)
+    options = {"window_log": window_log} if window_log else {}
+    made = zstandard.ZstdCompressionParameters.from_level(level, source_size=len(prefix) + len(b), enable_ldm=long_distance, **options)
+    return zstandard.ZstdCompressor(compression_params=made, dict_data=d).compress(prefix + b)
+
+
+def zstd_by_policy(b: bytes, requested: int = 19, prefix: bytes = b"ROX1") -> bytes:
+    """The frame of a payload: level, window and long-distance matching by size and entropy, as policy.py says."""
+    size = len(b) + len(prefix)
+    e = entropy_bits(b[: 16 << 10]) if b else 4.0
+    bands = next(steps for at, steps in policy.LEVEL_BANDS if size > at)
+    level = min(max(1, min(requested, 22)), next(v for top, v in bands if top is None or e < top))
+    window = next(v for at, v in policy.MEMORY_WINDOW_LOGS if len(b) > at) if len(b) > 256 << 10 else 0
+    return zstd(b, level, None, window, len(b) > 32 << 20, prefix)
+
+
+def directory_level(sample: bytes, total: int) -> int:
+    """The level for a directory of total bytes, by how its first bytes (4 MiB at most) compress at level 3."""
+    if not sample:
+        return 3
+    ratio = len(zstd(sample[: 4 << 20], 3)) / len(sample[: 4 << 20])
+    base = 1 if ratio > 0.90 else 3 if ratio > 0.75 else 6 if ratio < 0.25 else 5  # fixed values of the policy
+    return min(base, next(v for at, v in policy.DIR_CAPS if total > at))
+
+
+def zstd_frames(pieces, level: int = 19):
+    """Each piece as a frame, one at a time."""
+    c = zstandard.ZstdCompressor(level=level)
+    for piece in pieces:
+        yield c.compress(piece)
 
 
 def unzstd(b: bytes, dictionary: bytes | None = None) -> bytes:
@@ -251,8 +366,8 @@ def unzstd_chunked(b: bytes) -> bytes:
 
 # ---- hybrid blocks: flags and layout are fixed values of the format
 
-STORE, ZSTD9, BWT, ZSTD19 = 0, 1, 2, 3
-HYBRID_MAGIC = b"RBW2"
+STORE, ZSTD9, BWT, ZSTD19, ZSTD_WHOLE = 0, 1, 2, 3, 4
+HYBRID_MAGIC, HYBRID_OLD = b"RBW2", b"RBW1"
 
 
 def entropy_bits(b: bytes) -> float:
@@ -264,12 +379,14 @@ def entropy_bits(b: bytes) -> float:
 def bwt_block(b: bytes) -> bytes:
     last, row = bwt(b)
     coded = rle0(mtf(last))
-    return struct.pack("<III", row, len(b), len(coded)) + rans_pack(coded)
+    freq = normalize(np.bincount(np.frombuffer(coded, U8), minlength=256))
+    return struct.pack("<III", row, len(b), len(coded)) + stats_bytes(freq) + rans_encode(coded, freq)
 
 
 def unbwt_block(b: bytes) -> bytes:
-    row, n, _ = struct.unpack_from("<III", b)
-    return unbwt(unmtf(unrle0(rans_unpack(b[12:]), n)), row)
+    row, n, size = struct.unpack_from("<III", b)
+    freq, at = stats_from(b[12:])
+    return unbwt(unmtf(unrle0(rans_decode(b[12 + at :], freq, size), n)), row)
 
 
 def hybrid_block(b: bytes) -> bytes:
@@ -288,21 +405,35 @@ def hybrid_unblock(b: bytes) -> bytes:
     flag = b[0]
     if flag == STORE:
         return b[1:]
+    if flag > ZSTD_WHOLE:
+        raise ValueError(f"unknown kind of block {flag}")
     return unbwt_block(b[1:]) if flag == BWT else unzstd(b[5:])
 
 
 def hybrid(b: bytes, block: int = 16 << 20) -> bytes:
+    """Blocks of the smallest coding each. If that comes to over 35 % of the input, one frame of the whole is tried, and taken if it is smaller."""
     blocks = [hybrid_block(b[i : i + block]) for i in range(0, len(b), block)]
-    return HYBRID_MAGIC + struct.pack(f"<IQ{len(blocks)}I", len(blocks), len(b), *map(len, blocks)) + b"".join(blocks)
+    out = HYBRID_MAGIC + struct.pack(f"<IQ{len(blocks)}I", len(blocks), len(b), *map(len, blocks)) + b"".join(blocks)
+    if len(out) > len(b) * 35 // 100 and b:
+        whole = bytes([ZSTD_WHOLE]) + struct.pack("<I", len(b)) + zstd(b, 15, None, 27) if len(b) < 1 << 32 else b""
+        if whole and 20 + len(whole) < len(out):
+            out = HYBRID_MAGIC + struct.pack("<IQI", 1, len(b), len(whole)) + whole
+    return out
 
 
 def unhybrid(b: bytes) -> bytes:
-    if b[:4] != HYBRID_MAGIC:
+    """Both versions; blocks of the old one are always of the sorted coding, without a flag."""
+    if b[:4] not in (HYBRID_MAGIC, HYBRID_OLD):
         raise ValueError("not a hybrid container")
     n, total = struct.unpack_from("<IQ", b, 4)
+    if len(b) < 16 + 4 * n:
+        raise ValueError("the table of blocks ends early")
     sizes, at, out = struct.unpack_from(f"<{n}I", b, 16), 16 + 4 * n, []
     for s in sizes:
-        out.append(hybrid_unblock(b[at : at + s]))
+        if at + s > len(b):
+            raise ValueError("a block ends early")
+        part = b[at : at + s]
+        out.append(unbwt_block(part) if b[:4] == HYBRID_OLD else hybrid_unblock(part))
         at += s
     whole = b"".join(out)
     if len(whole) != total:

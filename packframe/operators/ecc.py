@@ -30,6 +30,9 @@ def mul(a, b):
     return np.where((a == 0) | (b == 0), 0, EXP[LOG[a] + LOG[b]])
 
 
+PRODUCT = mul(np.arange(256)[:, None], np.arange(256)[None, :]).astype(np.uint8)
+
+
 @cache
 def generator(nsym: int) -> np.ndarray:
     g = np.array([1])
@@ -50,20 +53,45 @@ def parity_rows(nsym: int) -> np.ndarray:
     return rows
 
 
+@cache
+def _parity_tables(nsym: int) -> np.ndarray:
+    """(position, symbol, parity): what a symbol at a position adds to the parity."""
+    return PRODUCT[np.arange(256)[None, :, None], parity_rows(nsym)[:, None, :]]
+
+
+def _words(x: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit words, zero-padded: xor works on eight bytes at a time."""
+    return np.pad(x, [(0, 0)] * (x.ndim - 1) + [(0, -x.shape[-1] % 8)]).view(np.uint64)
+
+
+def parity(data: np.ndarray, nsym: int) -> np.ndarray:
+    """(blocks, nsym) parity of (blocks, 255 - nsym) symbols."""
+    table = _words(np.ascontiguousarray(_parity_tables(nsym)))
+    out = np.zeros((len(data), table.shape[-1]), np.uint64)
+    for i in range(N - nsym):
+        out ^= table[i][data[:, i]]
+    return out.view(np.uint8)[:, :nsym]
+
+
 def encode_blocks(data: np.ndarray, nsym: int) -> np.ndarray:
     """(blocks, 255 - nsym) symbols to (blocks, 255)."""
-    rows = parity_rows(nsym)
-    parity = np.zeros((len(data), nsym), np.int64)
-    for i in range(N - nsym):
-        parity ^= mul(data[:, i : i + 1], rows[i][None, :])
-    return np.concatenate([data, parity], 1)
+    data = data.astype(np.uint8, copy=False)
+    return np.concatenate([data, parity(data, nsym)], 1)
+
+
+@cache
+def _syndrome_tables(nsym: int) -> np.ndarray:
+    powers = EXP[np.arange(nsym)[None, :] * (N - 1 - np.arange(N))[:, None] % 255]
+    return PRODUCT[np.arange(256)[None, :, None], powers[:, None, :]]
 
 
 def syndromes(words: np.ndarray, nsym: int) -> np.ndarray:
-    out = np.zeros((len(words), nsym), np.int64)
-    for j in range(nsym):
-        out[:, j] = np.bitwise_xor.reduce(mul(words, EXP[j * (N - 1 - np.arange(N)) % 255]), axis=1)
-    return out
+    table = _words(np.ascontiguousarray(_syndrome_tables(nsym)))
+    out = np.zeros((len(words), table.shape[-1]), np.uint64)
+    words = words.astype(np.uint8, copy=False)
+    for i in range(N):
+        out ^= table[i][words[:, i]]
+    return out.view(np.uint8)[:, :nsym].astype(np.int64)
 
 
 def _inverse(a: int) -> int:
@@ -118,30 +146,64 @@ def correct(word: np.ndarray, syn: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def decode_blocks(words: np.ndarray, nsym: int) -> tuple[np.ndarray, int]:
-    """Data symbols and the number of corrected ones; only dirty blocks are solved."""
-    syn, total, out = syndromes(words, nsym), 0, words.copy()
-    for i in np.flatnonzero(syn.any(1)):
-        out[i], n = correct(words[i], syn[i])
+    """Data symbols and the number of corrected ones. A block whose parity is that of its data is clean; only the others are solved."""
+    k = N - nsym
+    words = words.astype(np.uint8, copy=False)
+    out, total = words[:, :k].copy(), 0
+    dirty = np.flatnonzero((parity(out, nsym) != words[:, k:]).any(1))
+    syn = syndromes(words[dirty], nsym)
+    for i, s in zip(dirty, syn, strict=True):
+        fixed, n = correct(words[i].astype(np.int64), s)
+        out[i] = fixed[:k]
         total += n
-    return out[:, : N - nsym], total
+    return out, total
 
 
 def encode(b: bytes, level: str = "medium") -> bytes:
+    return encode_all([b], level)[0]
+
+
+def encode_all(values: list[bytes], level: str = "medium") -> list[bytes]:
+    """encode() for many values, whose blocks are computed together."""
     nsym = LEVELS[level]
     k = N - nsym
-    blocks = -(-len(b) // k)
-    if blocks > 65535:
-        raise ValueError(f"{blocks} blocks; the format holds 65535")
-    data = np.zeros((blocks, k), np.int64)
-    data.ravel()[: len(b)] = np.frombuffer(b, np.uint8)
-    words = encode_blocks(data, nsym) if blocks else np.zeros((0, N), np.int64)
-    return MAGIC + struct.pack(">BBIH", 1, nsym, len(b), blocks) + words.T.astype(np.uint8).tobytes()
+    counts = [-(-len(b) // k) for b in values]
+    if max(counts, default=0) > 65535:
+        raise ValueError(f"{max(counts)} blocks; the format holds 65535")
+    data = np.zeros((sum(counts), k), np.uint8)
+    at = 0
+    for b, n in zip(values, counts, strict=True):
+        data[at : at + n].reshape(-1)[: len(b)] = np.frombuffer(b, np.uint8)
+        at += n
+    words, out, at = encode_blocks(data, nsym), [], 0
+    for b, n in zip(values, counts, strict=True):
+        out.append(MAGIC + struct.pack(">BBIH", 1, nsym, len(b), n) + np.ascontiguousarray(words[at : at + n].T).tobytes())
+        at += n
+    return out
 
 
 def decode(b: bytes) -> tuple[bytes, int]:
-    if b[:4] != MAGIC:
-        raise ValueError("no error-correction header")
-    _, nsym, n, blocks = struct.unpack_from(">BBIH", b, 4)
-    words = np.frombuffer(b.ljust(12 + N * blocks, b"\0"), np.uint8, N * blocks, 12).reshape(N, blocks).T.astype(np.int64)
-    data, fixed = decode_blocks(words, nsym)
-    return data.astype(np.uint8).tobytes()[:n], fixed
+    return decode_all([b])[0]
+
+
+def decode_all(values: list[bytes]) -> list[tuple[bytes, int]]:
+    """decode() for many values; clean blocks are checked together. Missing bytes count as zero."""
+    heads, words = [], []
+    for b in values:
+        if b[:4] != MAGIC:
+            raise ValueError("no error-correction header")
+        _, nsym, n, blocks = struct.unpack_from(">BBIH", b, 4)
+        heads.append((nsym, n, blocks))
+        words.append(np.frombuffer(b.ljust(12 + N * blocks, b"\0"), np.uint8, N * blocks, 12).reshape(N, blocks).T)
+    out: list[tuple[bytes, int] | None] = [None] * len(values)
+    for nsym in sorted({h[0] for h in heads}):
+        some = [i for i, h in enumerate(heads) if h[0] == nsym]
+        every = np.concatenate([words[i] for i in some])
+        clean = (parity(np.ascontiguousarray(every[:, : N - nsym]), nsym) == every[:, N - nsym :]).all(1)
+        at = 0
+        for i in some:
+            part, n = slice(at, at + len(words[i])), heads[i][1]
+            at += len(words[i])
+            data, fixed = (every[part][:, : N - nsym], 0) if clean[part].all() else decode_blocks(every[part], nsym)
+            out[i] = (data.tobytes()[:n], fixed)
+    return out

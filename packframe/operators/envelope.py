@@ -9,12 +9,27 @@ import hmac
 import os
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packframe.functions.bytes import binary_function
 
-ITERATIONS = 600_000
+ITERATIONS = 600_000  # fixed value of the format
+
+
+class PassphraseRequired(ValueError):
+    """The envelope is encrypted and no passphrase was given."""
+
+
+class WrongPassphrase(ValueError):
+    """The envelope's tag doesn't verify with this passphrase, or the envelope was changed."""
+
+
+class MalformedEnvelope(ValueError):
+    """No envelope, an unknown kind, or too short for its kind."""
+
+
 PLAIN, GCM, XOR, CTR = 0, 1, 2, 3
 
 
@@ -40,11 +55,12 @@ def xor_decrypt(envelope, passphrase: str) -> Column:
 
 
 def _random(n: int):
-    @F.udf("binary")
-    def draw() -> bytes:
-        return os.urandom(n)
+    @F.pandas_udf("binary")
+    def draw(like: pd.Series) -> pd.Series:
+        raw = os.urandom(n * len(like))
+        return pd.Series([raw[i : i + n] for i in range(0, n * len(like), n)], dtype=object)
 
-    return draw.asNondeterministic()()
+    return draw.asNondeterministic()(F.lit(b""))
 
 
 def _with_key(df: DataFrame, passphrase: str, salt: bytes, iterations: int) -> DataFrame:
@@ -111,3 +127,63 @@ def ctr_decrypt(df: DataFrame, envelope: str, out: str, passphrase: str, salt: b
     x = _with_key(df, passphrase, salt, iterations).withColumn("_c", good(F.col(envelope)))
     x = _keystream(x, F.expr(f"substring({envelope}, 18, 16)"), F.col("_c"))
     return x.withColumn(out, binary_function(_mask)(F.col("_c"), F.col("_s"))).drop("_key", "_c", "_n", "_s")
+
+
+LEAST = {PLAIN: 1, GCM: 45, XOR: 1, CTR: 65}  # bytes of the shortest envelope of each kind
+#: What can be wrong with an envelope, as the column of decrypt() says it.
+REASONS = {"passphrase required": PassphraseRequired, "wrong passphrase or changed": WrongPassphrase, "malformed": MalformedEnvelope}
+
+
+def plain(content) -> Column:
+    return F.concat(F.lit(bytes([PLAIN])), F.col(content) if isinstance(content, str) else content)
+
+
+def kind_of(envelope) -> Column:
+    """The envelope's kind; null for an empty value."""
+    return F.conv(F.hex(F.substring(envelope, 1, 1)), 16, 10).cast("int")
+
+
+def decrypt(df: DataFrame, envelope: str, out: str, reason: str, passphrase: str | None = None, iterations: int = ITERATIONS) -> DataFrame:
+    """Any envelope's content by its kind, and null with a reason (a key of REASONS) where there is none. Keys are derived once for each salt that occurs in a
+    batch; authentic kinds are always verified."""
+
+    def open_all(values: pd.Series) -> pd.DataFrame:
+        keys: dict[tuple, bytes] = {}
+
+        def key(salt: bytes) -> bytes:
+            if salt not in keys:
+                keys[salt] = derive(passphrase, salt, iterations)
+            return keys[salt]
+
+        rows = []
+        for b in values:
+            kind = b[0] if b else None
+            if kind not in LEAST or len(b) < LEAST[kind]:
+                rows.append((None, None, "malformed"))
+            elif kind == PLAIN:
+                rows.append((b[1:], None, None))
+            elif not passphrase:
+                rows.append((None, None, "passphrase required"))
+            elif kind == XOR:
+                rows.append((xor_bytes(b[1:], passphrase.encode()), None, None))
+            elif kind == GCM:
+                rows.append((b[17:29] + b[45:] + b[29:45], key(b[1:17]), None))
+            elif not hmac.compare_digest(hmac.digest(key(b[1:17] + b"\0MAC"), b[:-32], "sha256"), b[-32:]):
+                rows.append((None, None, "wrong passphrase or changed"))
+            else:
+                rows.append((_counters(b[17:33], len(b) - 65), key(b[1:17]), None))
+        return pd.DataFrame(rows, columns=["body", "key", "reason"])
+
+    opened = F.pandas_udf(open_all, "body binary, key binary, reason string")
+    x = df.withColumn("_o", opened(F.col(envelope))).withColumn("_k", kind_of(F.col(envelope)))
+    x = x.withColumn("_g", F.when(F.col("_k") == GCM, F.try_aes_decrypt(F.col("_o.body"), F.col("_o.key"), F.lit("GCM"))))
+    x = x.withColumn("_s", F.when((F.col("_k") == CTR) & F.col("_o.key").isNotNull(), F.aes_encrypt(F.col("_o.body"), F.col("_o.key"), F.lit("ECB"), F.lit("PKCS"))))
+    masked = binary_function(lambda b, stream: _mask(b[33:-32], stream))(F.col(envelope), F.col("_s"))
+    content = F.when(F.col("_k") == GCM, F.col("_g")).when(F.col("_k") == CTR, masked).otherwise(F.col("_o.body"))
+    failed = (F.col("_k") == GCM) & F.col("_o.key").isNotNull() & F.col("_g").isNull()
+    return x.withColumn(out, content).withColumn(reason, F.coalesce("_o.reason", F.when(failed, "wrong passphrase or changed"))).drop("_o", "_k", "_g", "_s")
+
+
+def checked(content: Column, reason: Column) -> Column:
+    """content, or an error of the reason's name when a row without content is read."""
+    return F.when(reason.isNotNull(), F.raise_error(F.concat(F.lit("envelope: "), reason))).otherwise(content)

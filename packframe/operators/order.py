@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,3 +25,23 @@ def running(df: DataFrame, order: list[str], sums: dict[str, Column], number: st
     out = ranged.join(F.broadcast(base), "_range")  # a row for each shuffle partition
     made = [(F.col(f"_b_{k}") + F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0)) + (1 if k == number else 0)).alias(k) for k in sums]
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *made)
+
+
+def greedy_blocks(x: DataFrame, limit: int) -> DataFrame:
+    """x (dir, path, n) -> dir, path, block_id: in the order of paths, a block is closed when the next entry would take it over limit. Each
+    directory is sorted in one partition and streamed through; what is held is a batch and the sum so far."""
+
+    def run(batches):
+        now, cur, block = None, 0, 0
+        for batch in batches:
+            out = []
+            for d, n in zip(batch.column("dir").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                if d != now:
+                    now, cur, block = d, 0, 0
+                if cur and cur + n > limit:
+                    cur, block = 0, block + 1
+                cur += n
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([batch.column("dir"), batch.column("path"), pa.array(out, pa.int64())], ["dir", "path", "block_id"])
+
+    return x.select("dir", "path", "n").repartition("dir").sortWithinPartitions("dir", "path").mapInArrow(run, "dir string, path string, block_id long")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packframe.functions import bytes as fb
 from packframe.functions import policy as po
-from packframe.operators.order import running
+from packframe.operators import archive
+from packframe.operators.order import greedy_blocks, running
 from packframe.plans.base import BYTES, ENTROPY, FILES, query, shared_sql
 from packframe.sources.files import files_from_documents, table
 
+
 def _entry():
     """Bytes of a file's record: two of name length, eight of size, name and content."""
     return F.lit(10) + F.octet_length("path") + F.col("size")
@@ -40,11 +44,12 @@ SELECT path, ext, size, round(whole, 4) AS entropy, {LEVEL}::INT AS level,
   coalesce(sum(ceil(size / 4096.0)::BIGINT * 4096) OVER w, 0)::BIGINT AS aligned_offset
 FROM f WINDOW w AS (ORDER BY ext, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def archive_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _files(spark, sf_dir)
-    x = x.withColumn("h", fb.histogram(F.col("content"))).withColumn("hs", fb.histogram(F.substring("content", 1, 16384)))
-    x = x.withColumn("ext", F.expr(po.ext_of("path", "spark"))).withColumn("entropy", F.round(fb.entropy(F.col("h")), 4)).withColumn("e", fb.entropy(F.col("hs"), 4.0))
-    x = x.select("path", "ext", "size", "entropy", F.expr(LEVEL).cast("int").alias("level"))
-    return running(x, ["ext", "path"], {"entry_offset": _entry(), "aligned_offset": _aligned(F.col("size"))}, "position")
+    """Order and offsets need paths and sizes only; entropies join them by file, so contents are read once and never sorted."""
+    files = _files(spark, sf_dir)
+    placed = running(files.select("id", "path", "size", F.expr(po.ext_of("path", "spark")).alias("ext")), ["ext", "path"], {"entry_offset": _entry(), "aligned_offset": _aligned(F.col("size"))}, "position")
+    measured = files.select("id", fb.entropy_pair(F.col("content"), 16384, 4.0).alias("m"))
+    x = placed.join(measured, "id").withColumn("e", F.col("m.sample"))
+    return x.select("path", "ext", "size", F.round("m.whole", 4).alias("entropy"), F.expr(LEVEL).cast("int").alias("level"), "position", "entry_offset", "aligned_offset")
 
 
 shared_sql("catalog_total_bytes", "SELECT source, CAST(sum(BYTES(text)) AS BIGINT) AS total_bytes, count(*) AS entries FROM {documents} GROUP BY source")
@@ -87,17 +92,10 @@ r AS (SELECT dir, path, k, n AS cur, 0 AS block FROM o WHERE k = 1
   FROM r JOIN o ON o.dir = r.dir AND o.k = r.k + 1)
 SELECT dir, path, block::BIGINT AS block_id FROM r""")
 def index_block_ids(spark, sf_dir):
-    """Greedy blocks of each directory's archive. A greedy fold needs an archive's sizes in order: only paths and sizes are grouped, not contents."""
-    x = _files(spark, sf_dir).select("path", _entry().alias("n"), F.regexp_extract("path", "^(.*)/", 1).alias("dir"))
-    state = F.struct(F.lit(0).cast("long").alias("cur"), F.lit(0).cast("long").alias("block"), F.array().cast("array<struct<path:string,block_id:bigint>>").alias("out"))
-
-    def step(a, e):
-        new = (a["cur"] + e["n"] > BLOCK) & (a["cur"] > 0)
-        block = a["block"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, e["n"]).otherwise(a["cur"] + e["n"]).cast("long").alias("cur"), block.cast("long").alias("block"), F.concat(a["out"], F.array(F.struct(e["path"].alias("path"), block.cast("long").alias("block_id")))).alias("out"))
-
-    got = x.groupBy("dir").agg(F.array_sort(F.collect_list(F.struct("path", F.col("n").cast("long").alias("n")))).alias("e"))
-    return got.select("dir", F.explode(F.aggregate("e", state, step, lambda a: a["out"])).alias("x")).select("dir", "x.path", "x.block_id")
+    """Greedy blocks of each directory's archive, folded over its sizes in order: a directory is sorted by Spark and read batch by batch, with the state handed on,
+    so that no directory is held."""
+    x = _files(spark, sf_dir).select(F.regexp_extract("path", "^(.*)/", 1).alias("dir"), "path", _entry().alias("n"))
+    return greedy_blocks(x, BLOCK)
 
 
 @query(f"""WITH {FILES} SELECT id, path, size FROM files WHERE id IN (SELECT doc_id FROM labels)""")
@@ -155,20 +153,22 @@ UNION ALL SELECT concat('conv_', conv_id, '/', turn, '.', role), CAST(BYTES(text
 )
 
 
-def _hist(spark, sf_dir):
-    return _files(spark, sf_dir).select("id", "size", fb.histogram(F.col("content")).alias("h"))
-
-
 @query(f"WITH {BYTES} SELECT b AS byte, count(*) AS n FROM b GROUP BY b")
 def byte_histogram(spark, sf_dir):
-    """Each document's 256 counts are made in one pass; sums by byte are combined before the shuffle."""
-    x = _hist(spark, sf_dir).select(F.posexplode("h").alias("byte", "k")).filter("k > 0")
-    return x.groupBy("byte").agg(F.sum("k").alias("n"))
+    """Each batch's counts are added up where it is; 256 rows of a batch are combined before the shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            n = fb.counts_of(batch.column("content")).sum(0)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some].astype(np.int64))], ["byte", "k"])
+
+    return _files(spark, sf_dir).select("content").mapInArrow(run, "byte int, k long").groupBy("byte").agg(F.sum("k").alias("n"))
 
 
 @query(f"WITH {BYTES}, {ENTROPY} SELECT d.doc_id AS id, round(coalesce(e, 0), 4) AS entropy FROM documents d LEFT JOIN ent ON ent.id = d.doc_id")
 def byte_entropy(spark, sf_dir):
-    return _hist(spark, sf_dir).select("id", F.round(fb.entropy(F.col("h")), 4).alias("entropy"))
+    return _files(spark, sf_dir).select("id", F.round(fb.entropy_of(F.col("content")), 4).alias("entropy"))
 
 
 @query(f"""WITH {BYTES}, bx AS (SELECT * FROM b WHERE pos < 16384), hist AS (SELECT id, b, count(*) AS n FROM bx GROUP BY id, b),
@@ -176,13 +176,20 @@ ent AS (SELECT id, -sum(n / t * log2(n / t)) AS e FROM (SELECT *, sum(n) OVER (P
 SELECT d.doc_id AS id, round(coalesce(e, 4), 4) AS entropy FROM documents d LEFT JOIN ent ON ent.id = d.doc_id""")
 def sampled_entropy(spark, sf_dir):
     """The operator looks at the first 16 KiB; without bytes it says 4."""
-    x = _files(spark, sf_dir).select("id", fb.histogram(F.substring("content", 1, 16384)).alias("h"))
-    return x.select("id", F.round(fb.entropy(F.col("h"), 4.0), 4).alias("entropy"))
+    return _files(spark, sf_dir).select("id", F.round(fb.entropy_of(F.col("content"), 16384, 4.0), 4).alias("entropy"))
 
 
 @query(f"WITH {BYTES}, {ENTROPY} SELECT d.doc_id AS id, round((1 - coalesce(e, 0) / 8) * 100, 4) AS gain FROM documents d LEFT JOIN ent ON ent.id = d.doc_id")
 def estimated_gain(spark, sf_dir):
-    return _hist(spark, sf_dir).select("id", F.round((1 - fb.entropy(F.col("h")) / 8) * 100, 4).alias("gain"))
+    return _files(spark, sf_dir).select("id", F.round((1 - fb.entropy_of(F.col("content")) / 8) * 100, 4).alias("gain"))
+
+
+@query(f"""WITH {BYTES}, bx AS (SELECT * FROM b WHERE pos < 4096), hist AS (SELECT id, b, count(*) AS n FROM bx GROUP BY id, b),
+ent AS (SELECT id, -sum(n / t * log2(n / t)) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY id) AS t FROM hist) GROUP BY id)
+SELECT d.doc_id AS id, round(coalesce(e, 0), 4) AS entropy FROM documents d LEFT JOIN ent ON ent.id = d.doc_id""")
+def head_entropy(spark, sf_dir):
+    """What a compression report says of a file: its first 4 KiB's entropy."""
+    return _files(spark, sf_dir).select("id", F.round(fb.entropy_of(F.col("content"), 4096), 4).alias("entropy"))
 
 
 _SIZES = "SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * l_quantity * 997) AS BIGINT) AS size, l_discount * 80 + l_tax AS e FROM {lineitem}"
@@ -217,7 +224,17 @@ def progress_percent(spark, sf_dir):
 
 @query(f"""WITH {FILES} SELECT regexp_extract(path, '^(.*)/', 1) AS dir, count(*) AS entries FROM files GROUP BY 1""")
 def entry_count(spark, sf_dir):
-    """The count that each directory's archive header holds."""
-    x = _files(spark, sf_dir).groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("dir")).agg(F.count("*").alias("n"))
-    head = F.concat(F.unhex(F.lit("524F5850")), F.unhex(F.lpad(F.hex("n"), 8, "0")))
-    return x.select("dir", F.conv(F.hex(F.substring(head, 5, 4)), 16, 10).cast("long").alias("entries"))
+    """Entries of each directory, counted in archives of its files: by the headers, without reading entries. A directory is dealt over archives, whose counts are added."""
+
+    def count(batches):
+        for batch in batches:
+            n = [archive.count_entries(b"ROX1" + b) for b in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("dir"), pa.array(n, pa.int64())], ["dir", "n"])
+
+    def make(key, rows):
+        kind = (archive.pack, archive.indexed, archive.offset_table)[key[1].as_py() % 3]
+        return pa.table({"dir": pa.array([key[0].as_py()]), "content": pa.array([kind(list(zip(rows["path"].to_pylist(), rows["content"].to_pylist(), strict=True)))], pa.binary())})
+
+    x = _files(spark, sf_dir).select(F.regexp_extract("path", "^(.*)/", 1).alias("dir"), F.pmod(F.xxhash64("path"), F.lit(12)).cast("int").alias("part"), "path", "content")
+    made = x.groupBy("dir", "part").applyInArrow(make, "dir string, content binary")
+    return made.mapInArrow(count, "dir string, n long").groupBy("dir").agg(F.sum("n").alias("entries"))

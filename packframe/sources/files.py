@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,38 @@ def files_from_documents(docs: DataFrame) -> DataFrame:
 
 
 def files_from_dir(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Regular files under root, with paths relative to it; content is read only if it is used."""
+    """Regular files under root, with paths relative to it (forward slashes); content is read only if it is used."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     reader = reader.option("pathGlobFilter", glob) if glob else reader
-    base = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", "/"), "^.*?" + __import__("re").escape(base.split("://")[-1]), "")
+    base = re.escape(root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/")
+    rel = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", ""), "^.*?" + base, "")
     return reader.load(root).select(F.xxhash64("path").alias("id"), F.replace(rel, F.lit("\\"), F.lit("/")).alias("path"), F.col("length").alias("size"), "content")
+
+
+def files_from_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files and directories together: directories are expanded, a file keeps its last name."""
+    if not paths:
+        return spark.createDataFrame([], "id long, path string, size long, content binary")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    out = None
+    for p in paths:  # the stated list of inputs, not data
+        where = hadoop(p)
+        status = where.getFileSystem(conf).getFileStatus(where)
+        one = files_from_dir(spark, p) if status.isDirectory() else spark.read.format("binaryFile").load(p).select(F.xxhash64("path").alias("id"), F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("size"), "content")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def directory_size(spark: SparkSession, root: str) -> int:
+    return files_from_dir(spark, root).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+
+
+CHUNK = 64 << 20
+
+
+def chunked(files: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(id, path, chunk, content) with at most size bytes a row, for checksums and codecs that work in parts."""
+    n = F.greatest(F.ceil(F.octet_length("content") / size), F.lit(1)).cast("int")
+    x = files.select("id", "path", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    return x.select("id", "path", "chunk", F.expr(f"substring(content, chunk * {size} + 1, {size})").alias("content"))
