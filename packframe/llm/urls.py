@@ -24,7 +24,6 @@ from packframe.llm.common import ascii_lower, table
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 ORDER = 4
 ALPHABET = 128
-SLOTS = 1 << 18
 
 
 def host_of(url: Column) -> Column:
@@ -53,43 +52,50 @@ def _codes(urls) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(codes: np.ndarray, lengths: np.ndarray):
-    """Positions to predict; for order k = 0..ORDER the slot of the context, and of context and symbol."""
+    """For order k = 0..ORDER the key of each predicted position's context, exact: the last k symbols in base ALPHABET; and the symbols."""
     total = lengths + ORDER
     start = np.cumsum(total) - total
     inside = np.ones(len(codes), bool)
     for k in range(ORDER):
         inside[start + k] = False
     at = np.flatnonzero(inside)
-    key, out = np.zeros(len(at), np.uint64), []
+    key, out = np.zeros(len(at), np.int64), []
     for k in range(ORDER + 1):
         if k:
-            key = (key * np.uint64(ALPHABET) + codes[at - k].astype(np.uint64)) + np.uint64(1)
-        spread = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        out.append((spread(key * np.uint64(7) + np.uint64(k)), spread((key * np.uint64(ALPHABET) + codes[at].astype(np.uint64)) * np.uint64(13) + np.uint64(k + 100))))
-    return at, out
+            key = key + codes[at - k] * ALPHABET ** (k - 1)
+        out.append(key)
+    return out, codes[at]
 
 
 class MarkovModel:
-    """Counts of contexts, of contexts with a symbol, and of a context's distinct symbols, in fixed hash tables of SLOTS entries an order."""
+    """For each order, sorted contexts with their counts and numbers of distinct symbols, and sorted contexts with a symbol and theirs. The tables hold what was seen
+    in training only, so the number of training urls bounds them.
+
+    p(symbol | context) = (count of both + kinds * p(symbol | shorter context)) / (count of the context + kinds), down to 1 / ALPHABET; the
+    probabilities of a context add up to 1, and none is 0."""
 
     def __init__(self, urls):
-        codes, lengths = _codes(urls)
-        _, slots = _contexts(codes, lengths)
-        self.ctx = np.zeros((ORDER + 1, SLOTS), np.float32)
-        self.sym = np.zeros((ORDER + 1, SLOTS), np.float32)
-        self.kinds = np.zeros((ORDER + 1, SLOTS), np.float32)
-        for k, (c, s) in enumerate(slots):
-            np.add.at(self.ctx[k], c, 1)
-            np.add.at(self.sym[k], s, 1)
-            first = np.unique(s, return_index=True)[1]
-            np.add.at(self.kinds[k], c[first], 1)
-
-    def log_prob(self, slots) -> np.ndarray:
-        p = np.full(len(slots[0][0]), 1.0 / ALPHABET)
-        for k, (c, s) in enumerate(slots):
-            n, t = self.ctx[k][c], self.kinds[k][c]
-            p = np.where(n > 0, (np.minimum(self.sym[k][s], n) + t * p) / np.maximum(n + t, 1), p)
-        return np.log(p)
+        contexts, symbols = _contexts(*_codes(urls))
+        self.tables = []
+        for key in contexts:
+            both, n_both = np.unique(key * ALPHABET + symbols, return_counts=True)
+            names, first, kinds = np.unique(both // ALPHABET, return_index=True, return_counts=True)
+            self.tables.append((names, np.add.reduceat(n_both, first) if len(first) else n_both, kinds, both, n_both))
+
+    @staticmethod
+    def _find(table: np.ndarray, values: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """values[i] where table[i] is the key, else 0."""
+        if not len(table):
+            return np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+        return np.where(table[at] == key, values[at], 0)
+
+    def prob(self, contexts: list[np.ndarray], symbols: np.ndarray) -> np.ndarray:
+        p = np.full(len(symbols), 1.0 / ALPHABET)
+        for key, (names, n_names, kinds, both, n_both) in zip(contexts, self.tables, strict=True):
+            n, t = self._find(names, n_names, key), self._find(names, kinds, key)
+            p = np.where(n > 0, (self._find(both, n_both, key * ALPHABET + symbols) + t * p) / np.maximum(n + t, 1), p)
+        return p
 
 
 def score(models: tuple[MarkovModel, MarkovModel] | None, urls) -> np.ndarray:
@@ -97,22 +103,14 @@ def score(models: tuple[MarkovModel, MarkovModel] | None, urls) -> np.ndarray:
     codes, lengths = _codes(urls)
     if models is None or not len(lengths):
         return np.zeros(len(lengths))
-    _, slots = _contexts(codes, lengths)
-    diff = models[0].log_prob(slots) - models[1].log_prob(slots)
+    contexts, symbols = _contexts(codes, lengths)
+    diff = np.log(models[0].prob(contexts, symbols)) - np.log(models[1].prob(contexts, symbols))
     owner = np.repeat(np.arange(len(lengths)), lengths)
     return np.bincount(owner, diff, len(lengths)) / np.maximum(lengths, 1)
 
 
-def fit(labelled: DataFrame, sample: int = 20_000):
-    """labelled (url, good) -> models, threshold; (None, 0.0) if a class is missing. A fifth of the sample is kept for the threshold."""
-    got = []
-    for good in (True, False):
-        rows = labelled.filter(F.col("good") == good).select("url", F.xxhash64("url").alias("h")).orderBy("h", "url").limit(sample).collect()
-        got.append(([r.url for r in rows if r.h % 5], [r.url for r in rows if r.h % 5 == 0]))
-    if not all(train for train, _ in got):
-        return None, 0.0
-    models = tuple(MarkovModel(train) for train, _ in got)
-    yes, no = (np.sort(score(models, held or train)) for train, held in got)
+def calibrate(yes: np.ndarray, no: np.ndarray) -> tuple[float, float, float]:
+    """(cut, share of accepted urls below it, share of rejected ones at it or above): the cut at which the two are as equal as can be, from sorted scores."""
     cuts = np.unique(np.concatenate([yes, no]))
     lost = np.searchsorted(yes, cuts, "left") / len(yes)
     let = 1 - np.searchsorted(no, cuts, "left") / len(no)
@@ -120,7 +118,20 @@ def fit(labelled: DataFrame, sample: int = 20_000):
     below = no[no < cuts[best]].max(initial=-np.inf)
     # the middle of the gap where the classes are apart: then no rejected url is at the cut or above it, and no accepted one below it
     apart = np.isfinite(below) and lost[best] == let[best] == 0
-    return models, float((below + cuts[best]) / 2 if apart else cuts[best])
+    return float((below + cuts[best]) / 2 if apart else cuts[best]), float(lost[best]), float(let[best])
+
+
+def fit(labelled: DataFrame, sample: int = 20_000):
+    """labelled (url, good) -> models, threshold, and the two error rates on held-out urls; (None, 0.0, 0.0, 0.0) if a class is missing. A fifth of the sample is kept for
+    the threshold. A label's url counts once, however often it comes."""
+    got = []
+    for good in (True, False):
+        rows = labelled.filter(F.col("good") == good).select("url").distinct().select("url", F.xxhash64("url").alias("h")).orderBy("h", "url").limit(sample).collect()
+        got.append(([r.url for r in rows if r.h % 5], [r.url for r in rows if r.h % 5 == 0]))
+    if not all(train for train, _ in got):
+        return None, 0.0, 0.0, 0.0
+    models = tuple(MarkovModel(train) for train, _ in got)
+    return models, *calibrate(*(np.sort(score(models, held or train)) for train, held in got))
 
 
 def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, sample: int = 20_000) -> DataFrame:
@@ -131,8 +142,8 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, samp
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     x = x.withColumn("rule", rule).withColumn("said", said)
     known = labelled if labelled is not None else x.filter(F.col("said").isNotNull()).select("url", (F.col("said") == "allow").alias("good"))
-    models, threshold = fit(known, sample)
-    shared = spark.sparkContext.broadcast(models)  # fixed tables: 2 classes * 3 * (ORDER + 1) * SLOTS floats
+    models, threshold, _, _ = fit(known, sample)
+    shared = spark.sparkContext.broadcast(models)  # tables of 2 * sample urls
 
     @F.pandas_udf("double")
     def scored(urls: pd.Series) -> pd.Series:
