@@ -4,15 +4,21 @@ A document's set: the distinct hashes of its shingles (words of the lower-cased
 Each permutation gives two signature values, the least and the greatest hash, so half as many hash evaluations fill a signature; 20 bands of
 4 values miss a pair at similarity 0.85 with probability 4e-7.
 
-Equal sets are one class, which stands for all its documents. Classes that agree in a band are candidates. The candidate graph is held as
-stars (a link from each member of a bucket to the bucket's smallest), whose connected components are the groups in which links have to be confirmed. A group
-is dealt into blocks of at most ``block`` classes, and pairs of blocks are tasks: each compares full sets, one class with all candidates of
-other parts of the pair that aren't connected yet, so near copies connect in a few passes and no pairs are listed. Every link between classes is
-either confirmed or lies inside one component already. The confirmed links' components give the result.
+Equal sets are one class, which stands for all its documents; a representative's text (found by doc_id and text hash) gives its full set. Classes that agree in a band
+are candidates, and links are confirmed on full sets in two rounds:
+
+1. Each class is compared with the smallest class of each of its buckets. A bucket's head meets its members in tasks of at most 256, so most
+   near copies connect here, with a comparison each.
+2. Buckets whose members aren't all connected yet are the candidates that are left. Their classes' groups (components over buckets) are dealt into blocks of at most ``block``
+   classes, and pairs of blocks are tasks: one class at a time is compared with all candidates of other parts of the pair that aren't connected yet. No pairs are listed.
+
+Every link between classes is either confirmed or lies inside one component already. The confirmed links' components give the result. Rows of hot buckets and
+classes (over 1/1024 of all rows each) are joined by broadcast of those buckets, 1024 at most.
 
 Edge cases: documents without words or with null text have empty sets and are linked with nothing; equal rows are one class; a doc_id that comes with several texts
 is several documents, each with its own row; a null doc_id is a document whose component is the smallest non-null doc_id (null without one); an empty table gives an empty result;
-other columns aren't looked at.
+other columns aren't looked at. keep_one_each keeps of each component one row: the smallest doc_id (null last), then the smallest text hash; of rows without
+words it keeps each doc_id and text once.
 """
 
 from __future__ import annotations
@@ -23,13 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packframe.llm.common import cut, parts, table
+from packframe.llm.common import cut, join_hot, parts, table
 from packframe.llm.graph import components
 from packframe.llm.units import mix, texts_of, word_hashes
 
 U = np.uint64
 BANDS, ROWS = 20, 4
-NO_ID = -(1 << 63)  # stands for a null doc_id
+NO_ID = -(1 << 63)  # stands for a null doc_id where a join and a grouping share a shuffle
+FAN = 256  # members that meet a bucket's head in one task
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
@@ -95,7 +102,7 @@ def _signatures(size: int, bands: int, rows: int):
                 ends = np.zeros(len(n) + 1, np.int32)
                 ends[some + 1] = bands
                 listed = pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), _long(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(d, len(n)), pa.array(n.astype(np.int64)), _long(_set_hash(sets, off)), listed], ["doc_id", "n_shingles", "class", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(d, len(n)), batch.column("key").slice(d, len(n)), pa.array(n.astype(np.int64)), _long(_set_hash(sets, off)), listed], ["doc_id", "key", "n_shingles", "class", "bands"])
 
     return run
 
@@ -105,17 +112,55 @@ def _sets(size: int):
         for batch in batches:
             data, offsets = texts_of(batch.column("text"))
             for d, sets, off in shingle_sets(data, offsets, size):
-                part = batch.slice(d, len(off) - 1)
-                good = pc.equal(part.column("class"), _long(_set_hash(sets, off)))  # a doc_id may come with several texts
                 packed = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer((off * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(sets))])
-                yield pa.RecordBatch.from_arrays([part.column("class"), part.column("comp"), part.column("blk"), part.column("n_blk"), packed.cast(pa.binary())], ["class", "comp", "blk", "n_blk", "items"]).filter(good)
+                yield pa.RecordBatch.from_arrays([_long(_set_hash(sets, off)), packed.cast(pa.binary())], ["class", "items"])
 
     return run
 
 
-def link(sets: list[np.ndarray], side: np.ndarray, percent: int, bands: int, rows: int) -> list[tuple[int, int]]:
+def similar(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the others are linked with one."""
+    sizes = np.array([len(o) for o in others])
+    take = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, take), len(one) - 1)
+    common = np.add.reduceat((one[at] == take).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * common >= percent * (sizes + len(one) - common)
+
+
+def _with_heads(percent: int):
+    """Rows sorted by (head, salt, class is not the head): each head's set, then its members'."""
+
+    def run(batches):
+        now, own = None, None
+        for batch in batches:
+            out_a, out_b = [], []
+            heads, salts, names = (batch.column(c).to_pylist() for c in ("head", "salt", "class"))
+            items = batch.column("items")
+            group: list[int] = []
+
+            def done(group, names=names, items=items, out_a=out_a, out_b=out_b):
+                if group and own is not None:
+                    good = similar(own, [np.frombuffer(items[i].as_py(), np.uint64) for i in group], percent)
+                    out_a.extend(names[i] for i, ok in zip(group, good.tolist(), strict=True) if ok)
+                    out_b.extend([now[0]] * int(good.sum()))
+
+            for i, key in enumerate(zip(heads, salts, strict=True)):
+                if key != now:
+                    done(group)
+                    now, own, group = key, None, []
+                if names[i] == heads[i]:
+                    own = np.frombuffer(items[i].as_py(), np.uint64)
+                else:
+                    group.append(i)
+            done(group)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def link(sets: list[np.ndarray], side: np.ndarray, percent: int, bands: int, rows: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join the sets as all pairs of different sides would (all pairs, if there is one side): one set at a time, against those
-    that agree with it in a band and aren't connected to it yet."""
+    that agree with it in a band and aren't connected to it yet. Sets of equal label are connected from the start."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     off = np.concatenate([[0], np.cumsum(sizes)])
@@ -125,7 +170,7 @@ def link(sets: list[np.ndarray], side: np.ndarray, percent: int, bands: int, row
     for b in range(bands):
         order = np.argsort(keys[:, b], kind="stable")
         where.append((order, keys[order, b]))
-    part = np.arange(n)
+    part = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1]
     two = len(np.unique(side)) > 1
     out = []
     for i in range(n - 1):
@@ -138,11 +183,7 @@ def link(sets: list[np.ndarray], side: np.ndarray, percent: int, bands: int, row
         near = near[np.minimum(sizes[near], sizes[i]) * 100 >= percent * np.maximum(sizes[near], sizes[i])]
         if not len(near):
             continue
-        # |near & i| by one search of the near sets' members in set i
-        take = np.concatenate([flat[off[j] : off[j + 1]] for j in near])
-        at = np.minimum(np.searchsorted(sets[i], take), sizes[i] - 1)
-        common = np.add.reduceat((sets[i][at] == take).astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
-        for j in near[100 * common >= percent * (sizes[near] + sizes[i] - common)]:
+        for j in near[similar(sets[i], [sets[j] for j in near], percent)]:
             if part[j] != part[i]:
                 out.append((i, int(j)))
                 part[part == part[j]] = part[i]
@@ -157,7 +198,7 @@ def _links(percent: int, bands: int, rows: int):
 
         def done(group):
             names = [r[1] for r in group]
-            got = link([np.frombuffer(r[3], np.uint64) for r in group], np.array([r[2] for r in group]), percent, bands, rows) if len(group) > 1 else []
+            got = link([np.frombuffer(r[3], np.uint64) for r in group], np.array([r[2] for r in group]), percent, bands, rows, np.array([r[4] for r in group])) if len(group) > 1 else []
             return [(names[i], names[j]) for i, j in got]
 
         def table_of(found):
@@ -166,43 +207,91 @@ def _links(percent: int, bands: int, rows: int):
 
         for batch in batches:
             found = []
-            cols = [batch.column(c).to_pylist() for c in ("comp", "lo", "hi", "class", "blk", "items")]
-            for comp, lo, hi, name, blk, items in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("comp", "lo", "hi", "class", "blk", "items", "label")]
+            for comp, lo, hi, name, blk, items, label in zip(*cols, strict=True):
                 if (comp, lo, hi) != held_key:
                     found += done(held)
                     held, held_key = [], (comp, lo, hi)
                 if not held or held[-1][1] != name:
-                    held.append((comp, name, blk, items))
+                    held.append((comp, name, blk, items, label))
             yield table_of(found)
         yield table_of(done(held))
 
     return run
 
 
+def _classes(sig: DataFrame) -> DataFrame:
+    """Each class once: its first document (rep), size, number of rows and bands."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    return sig.filter("n_shingles > 0").groupBy("class").agg(F.min(order).alias("rep"), F.first("n_shingles").alias("size"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+
+
+def _set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(class, items) of the wanted classes, from their representatives' texts."""
+    rep = classes.join(wanted, "class").select("class", F.col("rep")["doc_id"].alias("r_doc"), F.col("rep")["key"].alias("r_key"))
+    own = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text"))
+    texts = own.join(rep, own["doc_id"].eqNullSafe(rep["r_doc"]) & (own["key"] == rep["r_key"])).select("text")  # equal rows give a set again, which the readers bear
+    return cut(texts.mapInArrow(_sets(size), "class long, items binary"), "shingle-sets")
+
+
+def _links_to_heads(member: DataFrame, heads: DataFrame, sets: DataFrame, percent: int, total: int, n: int) -> DataFrame:
+    """Round 1: confirmed links (a, b) of classes with their buckets' heads."""
+    salts = F.ceil(F.col("n") / FAN).cast("int")
+    met = join_hot(member, heads.withColumn("salts", salts), "bucket", "n", total)
+    fits = F.least("size", "head_size") * 100 >= percent * F.greatest("size", "head_size")
+    met = met.filter((F.col("class") != F.col("head")) & fits).groupBy("class", "head").agg(F.min(F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")).alias("salt"))
+    met = cut(met, "head-pairs")
+    copies = met.select("head", F.col("head").alias("class"), "salt").distinct()
+    both = met.unionByName(copies).join(sets, "class")
+    both = both.repartition(n, "head", "salt").sortWithinPartitions("head", "salt", F.col("class") != F.col("head"))
+    return cut(both.select("head", "salt", "class", "items").mapInArrow(_with_heads(percent), "a long, b long"), "head-links")
+
+
+def _links_in_groups(member: DataFrame, label: DataFrame, sets: DataFrame, percent: int, bands: int, rows: int, block: int, n: int) -> DataFrame | None:
+    """Round 2: confirmed links (a, b) among classes of buckets that have members of different labels; None without such buckets."""
+    told = member.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    mixed = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("class").alias("head"), F.count("*").alias("n")).filter("low < high")
+    left = cut(join_hot(told.select("bucket", "class", "label"), mixed.select("bucket", "head", "n"), "bucket", "n", max(1, told.count())).select("class", "label", "head"), "open-members")
+    if left.isEmpty():
+        return None
+    group = components(left.select(F.col("class").alias("a"), F.col("head").alias("b")))
+    near = cut(group.join(left.select(F.col("class").alias("node"), "label").distinct(), "node"), "candidate-groups")
+    blocks = near.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blk"))
+    placed = near.join(blocks, "root").select(F.col("node").alias("class"), F.col("root").alias("comp"), "label", "n_blk", F.pmod(F.xxhash64("node"), F.col("n_blk")).cast("int").alias("blk"))
+    pairs = placed.join(sets, "class").select("*", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)).alias("other"))
+    pairs = pairs.select("comp", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "class", "blk", "label", "items")
+    pairs = pairs.repartition(n, "comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "class")
+    return cut(pairs.mapInArrow(_links(percent, bands, rows), "a long, b long"), "confirmed-links")
+
+
+def _labelled(docs: DataFrame, size: int, percent: int, bands: int, rows: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n_shingles, class) of each row of docs, and (class, n, lead) of each class: the first document of its component."""
+    sig = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_signatures(size, bands, rows), "doc_id long, key long, n_shingles long, class long, bands array<long>")
+    sig = cut(sig, "signatures")
+    classes = cut(_classes(sig), "classes")
+    member = classes.select("class", "size", F.explode("bands").alias("bucket"))
+    heads = member.groupBy("bucket").agg(F.min(F.struct("class", "size")).alias("h"), F.count("*").alias("n")).filter("n > 1")
+    heads = cut(heads.select("bucket", F.col("h.class").alias("head"), F.col("h.size").alias("head_size"), "n"), "bucket-heads")
+    total = max(1, heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    member = cut(join_hot(member, heads.select("bucket", "n"), "bucket", "n", total).drop("n"), "bucket-members")
+    n = parts(docs, 6.0)
+    sets = _set_table(docs, classes, member.select("class").distinct(), size)
+    links = _links_to_heads(member, heads, sets, percent, total, n)
+    same = components(links)
+    more = _links_in_groups(member, same.select(F.col("node").alias("class"), F.col("root").alias("label")), sets, percent, bands, rows, block, n)
+    same = same if more is None else components(links.unionByName(more))
+    found = same.join(classes.select(F.col("class").alias("node"), "rep"), "node")
+    lead = found.groupBy("root").agg(F.min("rep").alias("lead"))
+    lead = found.join(lead, "root").select(F.col("node").alias("class"), "lead")
+    return sig.drop("bands"), cut(classes.select("class", "rep", "n").join(lead, "class", "left").select("class", "n", F.coalesce("lead", "rep").alias("lead")), "class-leads")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs: documents are linked if 100 * |A & B| >= percent * |A | B|."""
-    own = docs.select("doc_id", "text")
-    sig = cut(own.mapInArrow(_signatures(size, bands, rows), "doc_id long, n_shingles long, class long, bands array<long>"), "signatures")
-    classes = cut(sig.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    member = classes.select("class", F.explode("bands").alias("bucket"))
-    heads = member.groupBy("bucket").agg(F.min("class").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    near = components(member.join(heads, "bucket").select(F.col("class").alias("a"), F.col("head").alias("b")))
-    near = cut(near, "candidate-groups")
-    blocks = near.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blk"))
-    placed = near.join(blocks, "root").select(F.col("node").alias("class"), F.col("root").alias("comp"), "n_blk", F.pmod(F.xxhash64("node"), F.col("n_blk")).cast("int").alias("blk"))
-    wanted = placed.join(classes.select("class", "rep"), "class").withColumnRenamed("rep", "doc_id")
-    sets = own.join(wanted.filter("doc_id is not null"), "doc_id").select("class", "comp", "blk", "n_blk", "text")
-    sets = sets.mapInArrow(_sets(size), "class long, comp long, blk int, n_blk int, items binary")
-    pairs = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)).alias("other"))
-    pairs = pairs.select("comp", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "class", "blk", "items")
-    pairs = pairs.repartition(parts(docs, 6.0), "comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "class")
-    links = cut(pairs.mapInArrow(_links(percent, bands, rows), "a long, b long"), "confirmed-links")
-    found = components(links).join(classes.select(F.col("class").alias("node"), "rep"), "node")
-    label = found.groupBy("root").agg(F.min("rep").alias("least"))
-    label = found.join(label, "root").select(F.col("node").alias("class"), "least")
-    alone = classes.select("class", "rep").join(label, "class", "left").select("class", F.coalesce("least", "rep").alias("component_id"))
-    x = sig.select("doc_id", "n_shingles", "class").join(alone, "class", "left")
-    x = x.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    sig, leads = _labelled(docs, size, percent, bands, rows, block)
+    some = sig.filter("n_shingles > 0")
+    x = join_hot(some, leads, "class", "n", max(1, some.count())).select("doc_id", "n_shingles", F.col("lead")["doc_id"].alias("component_id"))
+    x = x.unionByName(sig.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return x.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -210,9 +299,13 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
-def keep_one_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without near copies: of each component the document with the smallest doc_id stays, once."""
-    keep = near_duplicates(docs, **options).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("near_key")).distinct()
-    x = docs.withColumn("near_key", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("near_tie", F.xxhash64("text"))
-    # both steps want rows of a near_key together, so the texts are moved once
-    return x.join(keep, "near_key", "left_semi").dropDuplicates(["near_key", "near_tie"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_one_each(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = 1024) -> DataFrame:
+    """docs without near copies: of each component one row stays, the first by doc_id (null last) and text hash; same columns."""
+    sig, leads = _labelled(docs, size, percent, bands, rows, block)
+    keep = leads.select(F.col("lead")["doc_id"].alias("n_doc"), F.col("lead")["key"].alias("n_key"))
+    keep = keep.unionByName(sig.filter("n_shingles = 0").select(F.col("doc_id").alias("n_doc"), F.col("key").alias("n_key")))
+    keep = keep.withColumn("n_doc", F.coalesce("n_doc", F.lit(NO_ID))).distinct()
+    x = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.coalesce("doc_id", F.lit(NO_ID)).alias("n_doc"), F.xxhash64("text").alias("n_key"))
+    # both steps want rows of a document and text together, so the texts are moved once
+    x = x.join(keep, ["n_doc", "n_key"], "left_semi").dropDuplicates(["n_doc", "n_key"])
+    return x.select(*[F.col("d")[c].alias(c) for c in docs.columns])
