@@ -7,7 +7,7 @@ from packframe.llm.decontaminate import op2_decontaminate
 from packframe.llm.lines import op10_dedup_lines
 from packframe.llm.lm import op8_score_lm
 from packframe.llm.minhash import op3_minhash_dedup
-from packframe.llm.mixing import op4_mix_sources
+from packframe.llm.mixing import OP4_SQL, mix_shards, op4_mix_sources
 from packframe.llm.quality import op7_quality_rules
 from packframe.llm.sharding import op6_shard_documents
 from packframe.llm.suffix_dedup import op1_suffix_dedup
@@ -26,6 +26,7 @@ QUERIES = {
         op8_score_lm,
         op9_format_chat,
         op10_dedup_lines,
+        mix_shards,
     )
 }
-ORACLES = {"op9_format_chat": OP9_SQL}
+ORACLES = {"op4_mix_sources": OP4_SQL, "op9_format_chat": OP9_SQL}
