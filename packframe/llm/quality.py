@@ -146,8 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> BoostedTree
     return fit_trees(np.array([r.x for r in rows]), y, np.array([MONOTONE.get(f, 0) for f in FEATURES]))
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 20_000) -> DataFrame:
-    """docs with a column q: the counts, base_failed, score (probability of good quality) and kept."""
+def _scored(docs: DataFrame, labels: DataFrame, threshold: float, sample: int):
+    """The judgement of a text as a column: the counts, base_failed, score (probability of good quality) and kept."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(fit(docs, labels, sample))  # at most 60 trees of 15 nodes
 
@@ -158,17 +158,25 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: in
         out["score"] = 1.0 if shared.value is None or not len(out) else 1 / (1 + np.exp(-shared.value.margin(np.stack(out["features"].to_numpy()))))
         return out
 
-    x = docs.withColumn("q", scored("text"))
-    q: Column = F.col("q")
-    failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
-    counts = [q[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return x.withColumn("q", F.struct(*counts, failed.alias("base_failed"), q["score"].alias("score"), (~failed & (q["score"] >= threshold)).alias("kept")))
+    def verdict(q: Column) -> Column:
+        failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
+        counts = [q[n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+        return F.struct(*counts, failed.alias("base_failed"), q["score"].alias("score"), (~failed & (q["score"] >= threshold)).alias("kept"))
+
+    return scored, verdict
+
+
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 20_000) -> DataFrame:
+    """Two structs for each row of docs: d, its columns, and q, its judgement."""
+    scored, verdict = _scored(docs, labels, threshold, sample)
+    x = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), scored("text").alias("q"))
+    return x.select("d", verdict(F.col("q")).alias("q"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select("doc_id", "q.*")
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select("d.doc_id", "q.*")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without those that are judged bad; same columns. Needs columns doc_id and text, and none called q."""
-    return judge(docs, labels, **options).filter("q.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without those that are judged bad; same columns, whatever their names."""
+    return judge(docs, labels, **options).filter("q.kept").select(*[F.col("d")[c].alias(c) for c in docs.columns])

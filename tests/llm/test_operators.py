@@ -143,6 +143,19 @@ def test_decontamination_recall_and_exactness(spark, docs, none):
     assert left.columns == docs.columns and 0 < left.count() < docs.count()
 
 
+def test_decontamination_judges_rows_by_their_text(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    far = " ".join(f"v{i}" for i in range(9000))
+    bench = spark.createDataFrame([(1, item), (2, far), (3, None), (4, "alone here"), (5, item)], "item_id long, text string")
+    clean, dirty = "a clean text " * 9, "before " + item.replace("w7 ", "") + " after"
+    made = [(1, clean, 5), (1, dirty, 6), (None, clean, 7), (None, dirty, 8), (2, None, 9), (3, "", 10), (4, far.replace("v5 ", "x "), 11), (5, far[:20000], 12), (6, dirty, 13), (6, dirty, 14), (7, "not alone there", 15), (8, "all alone here", 16)]
+    df = spark.createDataFrame(made, "doc_id long, text string, leak_doc_id long")
+    kept = decontaminate.drop_leaking(df, bench)
+    assert kept.columns == df.columns and sorted(r.leak_doc_id for r in kept.collect()) == [5, 7, 9, 10, 12, 15]
+    found = Counter((r.doc_id, r.item_id, r.edits, r.first_word) for r in decontaminate.leaks(df, bench).collect())
+    assert found == Counter({(1, 1, 1, 0): 1, (1, 5, 1, 0): 1, (None, 1, 1, 0): 1, (None, 5, 1, 0): 1, (4, 2, 1, 0): 1, (6, 1, 1, 0): 2, (6, 5, 1, 0): 2, (8, 4, 0, 1): 1})
+
+
 def test_mixing(spark, docs, none):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{SMALL}/documents.parquet')")
@@ -152,14 +165,40 @@ def test_mixing(spark, docs, none):
     at = [[d[0] for d in rel.description].index(c) for c in cols]
     fix = lambda v: tuple(round(x, 6) if isinstance(x, float) else x for x in v)
     assert sorted(fix(r[c] for c in cols) for r in got) == sorted(fix(r[i] for i in at) for r in rel.fetchall())
-    assert all(r.taken <= 3 * r.size for r in got) and {r.shard for r in got if r.taken} <= set(range(16))
-    sizes = {r.doc_id: r.size for r in mixing.plan(docs).collect()}
+    assert all(r.taken <= 3 * r.size for r in got)
+    planned = mixing.assign(docs, block_docs=8, shards=5).collect()
+    sizes = {r.doc_id: r.size for r in planned}
     assert sizes[9001] == sizes[9002] == sizes[9003] == 0
+    by_source = defaultdict(list)
+    for r in planned:
+        by_source[r.source].append(r)
+    for rows in by_source.values():  # the source's target is met to the word
+        assert sum(r.taken for r in rows) == int(rows[0].target + 0.5)
+    shards = Counter(d.shard for r in planned for d in r.drawn)
+    assert set(shards) == set(range(5)) and max(shards.values()) < 2.5 * min(shards.values())
+    assert all(sorted({d["pass"] for d in r.drawn}) == list(range(len(r.drawn))) for r in planned if r.drawn)  # no draw comes twice, none is left out
     mixed = mixing.mix_documents(docs)
     assert mixed.columns == docs.columns
-    taken = sum(r.taken for r in mixing.plan(docs).collect())
-    assert sum(len(brute.words(r.text)) for r in mixed.collect()) == taken
-    assert mixing.plan(none).count() == 0
+    out = mixed.collect()
+    assert sum(len(brute.words(r.text)) for r in out) == sum(r.taken for r in mixing.assign(docs).collect())
+    assert mixing.assign(none).count() == 0 and mixing.mix_documents(none).count() == 0
+
+
+def test_mixing_of_rows_without_ids_and_with_the_same(spark):
+    made = [(None, f"a null id and text {i} " * (1 + i % 3), "s1", 0) for i in range(40)] + [(7, "the same row", s, 3) for s in ("s1", "s1", "s2", None)] + [(7, "another text", "s2", 3), (8, "", "s3", 0), (9, None, None, 0)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string, n_chars long")
+    rows = mixing.assign(df, block_docs=4).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in rows) == Counter((d, s, len(brute.words(t))) for d, t, s, _ in made)
+    out = mixing.mix_documents(df, block_docs=4).collect()
+    taken = defaultdict(int)
+    for r in rows:
+        taken[r.source] += r.taken
+    got = defaultdict(int)
+    for r in out:
+        got[r.source] += len(brute.words(r.text))
+        assert (r.doc_id, r.source) in {(d, s) for d, _, s, _ in made} and any((t or "").startswith(r.text) for d, t, s, _ in made if (d, s) == (r.doc_id, r.source))
+        assert r.n_chars in (0, 3) or r.n_chars == len(r.text)
+    assert got == {s: n for s, n in taken.items() if n}
 
 
 def test_hypergeometric_law_and_tree(spark):
@@ -223,9 +262,57 @@ def test_url_cut_is_the_calibrated_one(spark, monkeypatch):
     assert abs(urls.fit(labelled)[1] - 0.3) < 1e-9
 
 
+def test_url_model_is_a_law_and_equals_the_plain_one():
+    train = [f"http://a{i % 7}.example.org/{'xyz'[i % 3]}/{i * i}" for i in range(80)] + ["", "é"]
+    model = urls.MarkovModel(train)
+    seen = [Counter() for _ in range(urls.ORDER + 1)]
+    for u in train:
+        s = [0] * urls.ORDER + [min(b, urls.ALPHABET - 1) for b in u.encode()]
+        for i in range(urls.ORDER, len(s)):
+            for k in range(urls.ORDER + 1):
+                seen[k][tuple(s[i - k : i]), s[i]] += 1
+
+    def plain(context, x):
+        p = 1 / urls.ALPHABET
+        for k in range(urls.ORDER + 1):
+            own = {y: n for (c, y), n in seen[k].items() if c == tuple(context[len(context) - k :])}
+            if own:
+                p = (own.get(x, 0) + len(own) * p) / (sum(own.values()) + len(own))
+        return p
+
+    for u in ("http://a3.example.org/x/49", "zzz", "http://é"):
+        contexts, symbols = urls._contexts(*urls._codes([u]))
+        s = [0] * urls.ORDER + symbols.tolist()
+        want = [plain(s[i : i + urls.ORDER], s[i + urls.ORDER]) for i in range(len(symbols))]
+        assert np.allclose(model.prob(contexts, symbols), want, rtol=1e-12, atol=0)
+        for i in range(len(symbols)):
+            every = model.prob([np.full(urls.ALPHABET, c[i]) for c in contexts], np.arange(urls.ALPHABET))
+            assert abs(every.sum() - 1) < 1e-9 and every.min() > 0
+    assert np.isfinite(urls.score((model, urls.MarkovModel(["http://b"])), ["", "x" * 5000, None, "\x00\x7f"])).all()
+
+
+def test_url_scores_are_finite_and_rules_equal_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{SMALL}/pages.parquet')")
+    got = urls.op5_filter_urls(spark, SMALL).collect()
+    assert all(np.isfinite(r.score) for r in got)
+    rules = sorted(urls.RULES, key=lambda r: -len(r[1]))
+    fits = [(k, r, f"(host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '/{r.split('/', 1)[1]}')") for k, r in rules]
+    case = lambda i: "CASE " + " ".join(f"WHEN {f[2]} THEN '{f[i]}'" for f in fits) + " END"
+    sql = f"""WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    h AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(regexp_extract(rest, '^[^/?#]*(.*)$', 1), '^[^?#]*') AS path FROM r)
+    SELECT page_id, host, path, {case(1)} AS rule, {case(0)} AS said FROM h"""
+    want = {r[0]: r[1:] for r in con.execute(sql).fetchall()}
+    assert {r.page_id: (r.host, r.path, r.rule) for r in got} == {k: v[:3] for k, v in want.items()}
+    assert all(r.verdict == want[r.page_id][3] for r in got if r.rule)
+    made = [(f"https://{kind}.example.org/{word}/{i * 7919 % 1000}", kind == "lib") for kind, word in (("lib", "book"), ("win", "spin")) for i in range(400)]
+    _, cut, lost, let = urls.fit(spark.createDataFrame(made, "url string, good boolean"))
+    assert lost <= 0.05 and let <= 0.05 and np.isfinite(cut)
+
+
 def test_quality(spark, docs, rows, none):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
-    got = {(r.doc_id, r.q.n_words): r.q for r in quality.judge(docs, labels).collect()}
+    got = {(r.d.doc_id, r.q.n_words): r.q for r in quality.judge(docs, labels).collect()}
     for d, t in rows:
         w, text = brute.words(t, False), t or ""
         grams = Counter(zip(w, w[1:], w[2:]))
@@ -242,6 +329,46 @@ def test_quality(spark, docs, rows, none):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_stages_bear_clashing_names_and_shared_ids(spark):
+    base = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    made = base + [(None, base[0][1]), (None, base[1][1] + " more"), (None, None), (5, "another text of the same id"), base[3], (base[4][0], base[5][1])]
+    names = ("q", "near_key", "near_tie", "removed", "line_doc_id", "leak_doc_id", "d", "n_doc", "n_key", "m_key", "m_row", "row", "class", "key")
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *([r] * len(names))) for r, (i, t) in enumerate(made)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    labels, bench = spark.read.parquet(f"{SMALL}/labels.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    whole = {r.row: r for r in df.collect()}
+    good = {r.q.kept for r in quality.judge(df, labels).collect()}
+    assert good == {True, False}
+    for out in (quality.keep_good(df, labels), minhash.keep_one_each(df), decontaminate.drop_leaking(df, bench)):
+        assert out.columns == df.columns and (rows := out.collect()) and all(r == whole[r.row] for r in rows)
+    for out in (lines.drop_lines(df), mixing.mix_documents(df)):
+        assert out.columns == df.columns and (rows := out.collect()) and all([r[n] for n in names] == [r.row] * len(names) and r.doc_id == whole[r.row].doc_id for r in rows)
+    assert sharding.assign(df).count() == len(made)
+
+
+def test_near_duplicates_of_null_and_shared_ids(spark):
+    w = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(w), " ".join(w[:-1] + ["x"]), " ".join(f"u{i}" for i in range(30))
+    made = [(5, a), (None, b), (None, c), (None, c + " y"), (7, "x " + " ".join(w[::-1])), (7, a), (8, ""), (None, None)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 3, 85).collect())
+    assert got == Counter([(5, 58, 5), (None, 58, 5), (None, 28, None), (None, 29, None), (7, 59, 7), (7, 58, 5), (8, 0, 8), (None, 0, None)])
+    kept = Counter((r.doc_id, r.text) for r in minhash.keep_one_each(df, 3, 85).collect())
+    assert kept[5, a] == kept[8, ""] == kept[None, None] == 1 and kept[None, c] + kept[None, c + " y"] == 1 and sum(kept.values()) == 5
+
+
+def test_near_duplicates_in_rounds(spark):
+    """Groups with chains, so that heads alone don't connect them, over several blocks and tasks."""
+    made, g = [], random.Random(2)
+    for k in range(6):
+        w = [f"{k}w{i}" for i in range(50)]
+        for j in range(40):
+            w = w.copy()
+            w[g.randrange(50)] = f"{k}n{j}"
+            made.append((k * 100 + j, " ".join(w)))
+    got = minhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), 3, 85, block=4).collect()
+    assert sorted(tuple(r)[:3] for r in got) == brute.near(made, 3, 85)
+
+
 def test_trees_learn_and_obey_their_signs():
     g = np.random.default_rng(3)
     x = g.normal(size=(2000, 3))
