@@ -15,7 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 
-def _arrow(f: Callable, kind: str):
+def arrow_function(f: Callable, kind: str):
+    """A function of one or two values as an Arrow function; null in, null out."""
     to = to_arrow_type(DataType.fromDDL(kind))
 
     def one(a: pa.Array) -> pa.Array:
@@ -24,7 +25,8 @@ def _arrow(f: Callable, kind: str):
     def two(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([None if x is None or y is None else _plain(f(x, y)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], to)
 
-    return F.arrow_udf(one if len(inspect.signature(f).parameters) == 1 else two, kind)
+    needed = [p for p in inspect.signature(f).parameters.values() if p.default is p.empty]
+    return F.arrow_udf(two if len(needed) == 2 else one, kind)
 
 
 def _plain(x):
@@ -34,7 +36,7 @@ def _plain(x):
 
 def binary_function(f: Callable, kind: str = "binary") -> Callable[..., Column]:
     """A function of one or two values as a column function, over Arrow batches; null in, null out."""
-    return lambda *cols: _arrow(f, kind)(*cols)
+    return lambda *cols: arrow_function(f, kind)(*cols)
 
 
 def counts_of(column: pa.Array) -> np.ndarray:

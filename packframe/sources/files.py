@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from fnmatch import fnmatch
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,29 @@ def files_from_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), path.alias("path"), F.octet_length("text").cast("long").alias("size"), F.encode("text", "UTF-8").alias("content"))
 
 
+def _relative(root: str):
+    base = re.escape(root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/")
+    return F.replace(F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", ""), "^.*?" + base, ""), F.lit("\\"), F.lit("/"))
+
+
+def _empty_files(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
+    """Files without a byte, which Spark's file index leaves out: from a listing of names on the driver, such as that index makes too."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, each = [], where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    while each.hasNext():
+        status = each.next()
+        name = status.getPath().getName()
+        if not status.getLen() and not name.startswith((".", "_")) and (glob is None or fnmatch(name, glob)):
+            found.append((status.getPath().toString(),))
+    return spark.createDataFrame(found, "path string").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+
+
 def files_from_dir(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Regular files under root, with paths relative to it (forward slashes); content is read only if it is used."""
+    """Regular files under root, empty ones as well, with paths relative to it (forward slashes); content is read only if it is used."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     reader = reader.option("pathGlobFilter", glob) if glob else reader
-    base = re.escape(root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/")
-    rel = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", ""), "^.*?" + base, "")
-    return reader.load(root).select(F.xxhash64("path").alias("id"), F.replace(rel, F.lit("\\"), F.lit("/")).alias("path"), F.col("length").alias("size"), "content")
+    every = reader.load(root).select("path", "length", "content").unionByName(_empty_files(spark, root, glob))
+    return every.select(F.xxhash64("path").alias("id"), _relative(root).alias("path"), F.col("length").alias("size"), "content")
 
 
 def files_from_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
