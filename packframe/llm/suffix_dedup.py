@@ -12,8 +12,9 @@ exchange (see units.py) find, for every such string, the smallest doc_id that ha
    Neighbours whose common extension is SPAN are one string; their bytes are compared, so a hash collision is found (the bucket is then
    sorted by its bytes). The answer is the smallest doc_id for each window of each slice.
 
-Windows of widespread minimisers are sent one by one and dealt by their own hash, so a passage that a third of all documents
-have in different surroundings doesn't meet in one bucket.
+Windows of widespread minimisers (over WIDE slices, and over EACH for each unit that has them) are sent one by one and dealt by their own hash, so a passage that a third of all
+documents have in different surroundings doesn't meet in one bucket. Such a window is a slice of its own: equal ones are merged by hash and bytes as
+all equal slices are, and since no other window shares their key there is nothing left to sort. Results are the same by either way (tested).
 
 Edge cases: null and empty texts have no bytes; texts under SPAN bytes lose nothing; rows with equal doc_id don't count against each other; a null
 doc_id counts as the largest; very long texts are handled in segments; an empty table gives an empty result; other columns aren't looked at.
@@ -409,7 +410,7 @@ def _finish(buckets: int, with_text: bool):
         np.add.at(edge, at[gone], 1)
         np.add.at(edge, at[gone] + SPAN, -1)
         covered = np.cumsum(edge)[: len(u.data)] > 0
-        ids, size, removed, spans, digest, where = u.rows["doc_id"].to_pylist(), [], [], [], [], []
+        ids, size, removed, spans, digest, where = u.doc_ids(), [], [], [], [], []
         for lo, hi in zip(u.offsets[:-1], u.offsets[1:], strict=True):
             mask = covered[lo:hi]
             size.append(int(hi - lo))
@@ -418,7 +419,7 @@ def _finish(buckets: int, with_text: bool):
             spans.append(len(turn) // 2)
             where.append([{"lo": int(a), "hi": int(b)} for a, b in turn.reshape(-1, 2)])
             digest.append(hashlib.sha256(u.data[lo:hi][~mask].tobytes() if removed[-1] else u.data[lo:hi].tobytes()).hexdigest())
-        return pa.table({n: pa.array(v, t) for (n, t), v in zip(_RESULT_ARROW, (ids, size, removed, spans, digest, where), strict=True)})
+        return pa.table({n: v if isinstance(v, pa.Array) else pa.array(v, t) for (n, t), v in zip(_RESULT_ARROW, (ids, size, removed, spans, digest, where), strict=True)})
 
     return run
 

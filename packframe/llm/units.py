@@ -1,11 +1,13 @@
 """Units: groups of whole documents that several passes see alike, and the exchange of keys between them.
 
-``unit_table`` deals documents to units by a hash of doc_id; a unit holds about ``mb`` MB of text. Operators that must relate every position or token
+``unit_table`` deals documents to units by a hash of doc_id (of the text, without one); a unit holds about ``mb`` MB of text. The documents that a task has for a unit travel
+as one compressed message, so the shuffle of the text is about half its size. Operators that must relate every position or token
 of the corpus work in rounds: a unit sends, to each bucket of a key space, one packed message with its distinct keys (so whatever repeats
 inside a unit is aggregated before the shuffle); a bucket merges the messages of all units and answers each with a message aligned with what it
 sent; and the unit, recomputed from the same rows, reads the answers. All passes name the same exchange of the text, which Spark runs once
 (reused exchange). Nothing is gathered by document or by key alone: a message is bounded by the unit and a bucket is dealt by hashed keys, so a key that occurs
-in every document arrives once from each unit.
+in every document arrives once from each unit. With u units and b buckets there are u * b messages: the size of a unit grows with the root of the input, up to ``most`` MB,
+to keep them few and large.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packframe.llm.common import parts
+from packframe.llm.common import input_bytes, parts
 
 C1, C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -31,30 +33,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def unit_table(docs: DataFrame, mb: float = 6.0, *more) -> tuple[DataFrame, int]:
-    """(unit, doc_id, tie, body) for each row; body: the text's UTF-8 bytes, empty for null. And the number of units."""
-    n = parts(docs, mb)
-    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    x = docs.select((F.pmod(F.xxhash64("doc_id"), F.lit(n))).cast("int").alias("unit"), "doc_id", F.xxhash64("text").alias("tie"), body.alias("body"), *more)
-    return x, n
+def unit_table(docs: DataFrame, mb: float = 6.0, most: float = 24.0, train=None) -> tuple[DataFrame, int]:
+    """(unit, docs): packed documents (ids, hashes of the texts, training flags, lengths, UTF-8 bytes; nothing for null). And the number of units."""
+    size = input_bytes(docs) / 1e6
+    n = parts(docs, min(most, max(mb, mb * (size / 500) ** 0.5)))
+    unit = F.pmod(F.coalesce(F.when(F.col("doc_id").isNull(), F.xxhash64("text")), F.xxhash64("doc_id")), F.lit(n)).cast("int")
+    slim = docs.select(unit.alias("unit"), "doc_id", F.xxhash64("text").alias("tie"), (F.lit(True) if train is None else train).alias("train"), "text")
+    return slim.mapInArrow(_packed_documents, "unit int, docs binary"), n
+
+
+def _packed_documents(batches, hold: int = 48 << 20):
+    """The documents of about hold bytes at a time, a message for each unit."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        rows = rows.take(pc.sort_indices(rows["unit"])).combine_chunks()
+        unit = rows["unit"].to_numpy()
+        none = rows["doc_id"].is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+        ids, tie, train = rows["doc_id"].fill_null(0).to_numpy(), rows["tie"].to_numpy(), rows["train"].to_numpy(zero_copy_only=False).astype(np.uint8)
+        data, offsets = texts_of(rows["text"])
+        edge = np.concatenate([np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])), [len(unit)]]) if len(unit) else np.zeros(1, np.int64)
+        out = [pack(none[a:b], ids[a:b], tie[a:b], train[a:b], np.diff(offsets[a : b + 1]), data[offsets[a] : offsets[b]]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(unit[edge[:-1]], pa.int32()), pa.array(out, pa.binary())], ["unit", "docs"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= hold:
+            yield packed(held)
+            held, n = [], 0
+    if held:
+        yield packed(held)
 
 
 class Unit:
-    """A unit's documents in a fixed order: ids (null: the largest long), bytes end to end, and offsets."""
+    """A unit's documents in a fixed order: ids (null: the largest long), whether there is none, training flags, bytes end to end, and offsets."""
 
     def __init__(self, rows: pa.Table):
-        rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("tie", "ascending")]))
-        self.rows = rows
-        self.ids = rows["doc_id"].fill_null(np.iinfo(np.int64).max).to_numpy().astype(np.int64)
-        body = rows["body"].cast(pa.large_binary()).combine_chunks()
-        body = body if isinstance(body, pa.LargeBinaryArray) else pa.concat_arrays(body.chunks) if body.num_chunks else pa.array([], pa.large_binary())
-        _, offsets, data = body.buffers()
-        self.offsets = np.frombuffer(offsets, np.int64)[body.offset : body.offset + len(body) + 1] if len(body) else np.zeros(1, np.int64)
-        self.data = np.frombuffer(data, np.uint8)[: self.offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        parts_ = [unpack(m) for m in rows["docs"].to_pylist()]
+        none, ids, tie, train, size = (np.concatenate([p[i] for p in parts_]) for i in range(5))
+        ids = np.where(none == 1, np.iinfo(np.int64).max, ids)
+        order = np.lexsort((tie, ids))
+        self.none, self.ids, self.train = none[order].astype(bool), ids[order], train[order].astype(bool)
+        self.offsets = np.concatenate([[0], np.cumsum(size[order])])
+        every, start = np.concatenate([p[5] for p in parts_]), np.cumsum(size) - size
+        self.data = np.concatenate([every[start[i] : start[i] + size[i]] for i in order]) if len(order) else every
 
     def __len__(self) -> int:
         return len(self.ids)
 
+    def doc_ids(self) -> pa.Array:
+        return pa.array(self.ids, pa.int64(), mask=self.none)
+
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed message."""
@@ -76,6 +107,21 @@ def unpack(message: bytes) -> list[np.ndarray]:
     return out
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """Non-negative integers as their bytes, lowest first, all first bytes before all second ones and so on, as many as the greatest needs: high bytes that are
+    alike pack well."""
+    x = np.ascontiguousarray(x).astype(np.uint64)
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return np.concatenate([np.array([width], np.uint8), np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).ravel()])
+
+
+def unplanes(raw: np.ndarray) -> np.ndarray:
+    width = int(raw[0])
+    out = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
+    out[:, :width] = raw[1:].reshape(width, -1).T
+    return out.view(np.uint64).ravel()
+
+
 def bucket_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     """Buckets of keys below 2**bits, ascending with the key."""
     top = keys >> np.uint64(max(0, bits - 32))

@@ -64,19 +64,24 @@ def near(rows, size, percent):
     return sorted((d, len(s), least[p] if s else d) for (d, _), s, p in zip(rows, sets, part))
 
 
-def lm(rows, strength):
-    texts, single, pair, context = [], Counter(), Counter(), Counter()
+def lm(rows, strength, prune=2):
+    texts, single, pair, context, triple = [], Counter(), Counter(), Counter(), Counter()
     for i, t in rows:
         w, held = [*words(t), "</s>"], zlib.crc32(str(i).encode()) % 7 == 2
         texts.append((i, held, w))
         if not held:
+            before = ["<s>", *w]
             single.update(w)
-            pair.update(zip(["<s>", *w], w))
-            context.update(["<s>", *w][: len(w)])
+            pair.update(zip(before, w))
+            context.update(before[: len(w)])
+            triple.update(zip(before, w, w[1:]))
     n, v, out = sum(single.values()), len(single), []
     for i, held, w in texts:
         p = [(single[x] + 1) / (n + v + 1) for x in w]
         q = [pair[a, b] / (context[a] + strength) + strength / (context[a] + strength) * u for a, b, u in zip(["<s>", *w], w, p)]
+        for j, (a, b, c) in enumerate(zip(["<s>", *w], w, w[1:]), 1):
+            if pair[a, b] >= prune:
+                q[j] = triple[a, b, c] / (pair[a, b] + strength) + strength / (pair[a, b] + strength) * q[j]
         out.append((i, held, len(w), sum(single[x] > 0 for x in w), n, sum(map(math.log10, p)), sum(map(math.log10, q))))
     return sorted(out)
 

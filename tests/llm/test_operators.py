@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -228,6 +229,33 @@ def test_sharding(docs, rows, none):
     assert sharding.assign(none).count() == 0
 
 
+def test_sharding_against_a_plain_ring(spark):
+    import struct
+
+    import xxhash
+
+    ids = rng.sample(range(-(10**12), 10**12), 400)
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.assign(spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string"), 7, 16).collect()}
+    nodes = sharding.ring(7, 16)
+    arcs = defaultdict(list)
+    for i in ids:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42)
+        after = [a for a, (place, _) in enumerate(nodes) if place >= h >> (64 - sharding.RING_BITS)]
+        arcs[after[0] if after else 0].append((h, i))
+    room, used, want, late = [400 // 7 + (s < 400 % 7) for s in range(7)], [0] * 7, {}, []
+
+    def put(i, s):
+        want[i] = (s, used[s])
+        used[s], room[s] = used[s] + 1, room[s] - 1
+
+    for a, (_, s) in enumerate(nodes):
+        for _, i in sorted(arcs[a]):
+            put(i, s) if room[s] else late.append((a, i))
+    for a, i in late:
+        put(i, next(s for k in range(1, len(nodes)) if room[s := nodes[(a + k) % len(nodes)][1]]))
+    assert got == want
+
+
 def test_placing_moves_little():
     nodes = sharding.ring(8, 64)
     counts = [rng.randrange(20, 60) for _ in nodes]
@@ -312,7 +340,7 @@ def test_url_scores_are_finite_and_rules_equal_sql(spark):
 
 def test_quality(spark, docs, rows, none):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
-    got = {(r.d.doc_id, r.q.n_words): r.q for r in quality.judge(docs, labels).collect()}
+    got = {(r.d.doc_id, r.d.text): r.q for r in quality.judge(docs, labels).collect()}
     for d, t in rows:
         w, text = brute.words(t, False), t or ""
         grams = Counter(zip(w, w[1:], w[2:]))
@@ -322,9 +350,23 @@ def test_quality(spark, docs, rows, none):
             if brute.WORD.search(line):
                 dup += line in seen
                 seen.add(line)
-        q = got[d, len(w)]
+        q = got[d, t]
         assert (q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words) == (sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(inside))
         assert q.base_failed == (len(w) < 50 or 100 * len(inside) > 50 * len(w)) and not (q.kept and q.base_failed)
+    trees = quality.fit(docs, labels)
+    for d, t in rows:
+        text = t or ""
+        w, lines_ = brute.words(t, False), [x for x in text.split("\n") if brute.WORD.search(x)]
+        n, size, k = len(w), max(1, len(text.encode())), max(1, len(w))
+        q = got[d, t]
+        share = lambda keep: sum(len(c.encode()) for c in text if keep(c)) / size
+        x = [n, sum(map(len, w)) / k, q.n_symbols / k, (len(lines_) - len(set(lines_))) / max(1, len(lines_)), q.n_repeat_words / k, len(set(w)) / k, share(lambda c: "A" <= c <= "Z"), share(lambda c: "0" <= c <= "9"), text.count("!") / k, n / max(1, len(lines_)), sum(len(v.encode()) <= 3 for v in w) / k, sum(len(v.encode()) > 20 for v in w) / k]
+        margin = trees.base
+        for at in trees.roots:
+            while trees.left[at] != at:
+                at = trees.left[at] if x[trees.feature[at]] <= trees.threshold[at] else trees.right[at]
+            margin += trees.value[at]
+        assert abs(q.score - 1 / (1 + np.exp(-margin))) < 1e-9 and q.kept == (not q.base_failed and q.score >= 0.5)
     assert quality.judge(none, labels).count() == 0 and quality.judge(docs, labels.filter("false")).filter("q.kept").count() > 0
     assert quality.keep_good(docs, labels).columns == docs.columns
 
@@ -395,7 +437,7 @@ def test_language_model(docs, rows, none):
 
 
 def test_elias_fano():
-    for n, bits in ((0, 20), (1, 20), (500, 12), (500, 48), (3000, 20)):
+    for n, bits in ((0, 20), (1, 20), (500, 12), (500, 48), (3000, 20), (700, 64)):
         values = np.sort(np.array([rng.randrange(1 << bits) for _ in range(n)], np.uint64))
         low, words, n, shift = lm.EliasFano.encode(values, bits)
         ef = lm.EliasFano(low, words, n, shift)
@@ -403,6 +445,20 @@ def test_elias_fano():
         at = ef.successor(ask)
         assert at.tolist() == np.searchsorted(values, ask, "left").tolist()
         assert ef.holds(ask, at).tolist() == np.isin(ask, values).tolist()
+        assert not n or ef.get(np.arange(n)).tolist() == values.tolist()
+
+
+def test_trie_finds_what_it_holds_and_nothing_else():
+    grams = sorted({(rng.randrange(1 << 63), rng.randrange(50)) for _ in range(300)} | {(c, rng.randrange(90)) for c in (5, 6, 1 << 62) for _ in range(60)})
+    context, word = (np.array(x, np.uint64) for x in zip(*grams))
+    count = np.array([rng.randrange(1, 9) for _ in grams])
+    trie = lm.Trie.build(context, word, count, np.full(len(grams), 100), 50.0)
+    ask = grams + [(c, w) for c in (5, 6, 7, 1 << 62, grams[0][0]) for w in range(120)]
+    got = trie.log10(*(np.array(x, np.uint64) for x in zip(*ask)))
+    held = dict(zip(grams, count.tolist()))
+    for g, code in zip(ask, got.tolist()):
+        assert (code == 65535) == (g not in held)
+        assert code == 65535 or abs(10 ** (-lm.STEP * code) - held[g] / 150) < 1e-3 * held[g] / 150
 
 
 def test_chat(spark):
@@ -549,8 +605,25 @@ def test_pipeline(spark):
     got = p.run(spark, SMALL).collect()
     crc = lambda t: zlib.crc32(t.encode())
     assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((r.doc_id, crc(r.text)) for r in docs.collect())
-    good = {r.doc_id for r in quality.keep_good(first, spark.read.parquet(f"{SMALL}/labels.parquet")).collect()}
-    rows = [(r.doc_id, r.text) for r in first.collect() if r.doc_id in good]
-    one = {c for _, _, c in brute.near(rows, 5, 80)}
-    assert {r.doc_id for r in got} <= one
+    # the stages again, plainly: near copies by brute force, edit distances of every item in every document, the mix by SQL
+    good = {(r.doc_id, r.text) for r in quality.keep_good(first, spark.read.parquet(f"{SMALL}/labels.parquet")).collect()}
+    rows = [(r.doc_id, r.text, r.source) for r in first.collect() if (r.doc_id, r.text) in good]
+    one = {c for _, _, c in brute.near([r[:2] for r in rows], 5, 80)}
+    rows = [r for r in rows if r[0] in one]
+    names: dict[str, int] = {}
+    number = lambda t: np.array([names.setdefault(w, len(names)) for w in brute.words(t)], np.int64)
+    items = [number(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    texts = [number(r[1]) for r in rows]
+    away = edit_distances([i for i in items for _ in texts], [t for _ in items for t in texts], inside=True)[0].reshape(len(items), len(texts))
+    rows = [r for k, r in enumerate(rows) if all(away[j, k] > len(i) * 20 // 100 for j, i in enumerate(items))]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    want, whole = Counter(), {r[0]: r[1] for r in rows}
+    for doc, size, taken in con.execute(f"select doc_id, size, taken from ({mixing.OP4_SQL})").fetchall():
+        for _ in range(taken // size if size else 0):
+            want[doc, crc(whole[doc])] += 1
+        if size and taken % size:
+            want[doc, crc("".join(re.findall(r"^[\x20\x09-\x0D]*|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", whole[doc])[: taken % size + 1]))] += 1
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == want
     assert hashlib.md5(repr(sorted(tuple(r) for r in got)).encode()).digest() == hashlib.md5(repr(sorted(tuple(r) for r in p.run(spark, SMALL).collect())).encode()).digest()
