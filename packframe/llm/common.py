@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packframe.sources.shared import fresh_path, remove
+
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,24 +24,30 @@ def n_words(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("packframe.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="packframe-")
-        spark.conf.set("packframe.shared.dir", found)
-    return found.rstrip("/")
+_cuts: list[str] = []  # tables written and not yet discarded
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet into the shared folder and read back: the lineage ends there,
     a lost executor costs nothing that was written, and later jobs read only the columns they use."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    _cuts.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    return len(_cuts)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the tables cut since the mark, but for the last ``keep``. For callers who know that nothing reads them any more."""
+    upto = len(_cuts) - keep
+    for path in _cuts[since:upto]:
+        remove(spark, path)
+    del _cuts[since:upto]
+
+
 def join_hot(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """rows joined with facts, which have each key once, with its count of rows out of total. Keys with over 1/1024 of all rows (so 1024 at most)
     are broadcast: their rows stay where they are, and no task gets all rows of a hot key."""
@@ -52,8 +57,9 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate for df, from the files' sizes; where it has none, the bytes of df's texts are counted."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Bytes of the tables that df reads (of their files, or of literals); where one isn't known, the bytes of df's texts are counted."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     if size < 1 << 50:
         return size
     return df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 2

@@ -281,8 +281,8 @@ def _labelled(docs: DataFrame, size: int, percent: int, bands: int, rows: int, b
     more = _links_in_groups(member, same.select(F.col("node").alias("class"), F.col("root").alias("label")), sets, percent, bands, rows, block, n)
     same = same if more is None else components(links.unionByName(more))
     found = same.join(classes.select(F.col("class").alias("node"), "rep"), "node")
-    lead = found.groupBy("root").agg(F.min("rep").alias("lead"))
-    lead = found.join(lead, "root").select(F.col("node").alias("class"), "lead")
+    lead = found.groupBy("root").agg(F.min("rep").alias("lead"), F.count("*").alias("n"))
+    lead = join_hot(found, lead, "root", "n", max(1, same.count())).select(F.col("node").alias("class"), "lead")
     return sig.drop("bands"), cut(classes.select("class", "rep", "n").join(lead, "class", "left").select("class", "n", F.coalesce("lead", "rep").alias("lead")), "class-leads")
 
 
