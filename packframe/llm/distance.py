@@ -107,22 +107,25 @@ def within(a: str, b: str, limit: int) -> bool:
 
 
 BLOCK = np.uint64(63)
-
-
-def _together(patterns: list[np.ndarray], texts: list[np.ndarray], symbols: int) -> np.ndarray:
-    """Edit distances of pairs whose patterns fill the same number of 64-bit blocks (codes below symbols, nothing empty): the columns of all pairs' matrices as
-    bit vectors of vertical differences, with the horizontal difference carried from block to block (Myers 1999, Hyyro 2003)."""
-    n = np.array([len(t) for t in texts])
-    order = np.argsort(-n, kind="stable")
-    n, m = n[order], np.array([len(patterns[i]) for i in order])
-    pairs, blocks, one = len(order), -(-int(m.max()) // 64), np.uint64(1)
-    eq = np.zeros((pairs, symbols, blocks), np.uint64)
+CLASSES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)  # blocks of patterns that are computed together
+
+
+def _together(flat: np.ndarray, m: np.ndarray, n: np.ndarray, symbols: int) -> np.ndarray:
+    """Edit distances of pairs whose patterns fill about the same number of 64-bit blocks, the longest text first: the columns of all pairs' matrices as
+    bit vectors of vertical differences, with the horizontal difference carried from block to block (Myers 1999, Hyyro 2003).
+    flat: codes below symbols, each pair's pattern (m of them) and then its text (n)."""
+    pairs, blocks, one = len(m), -(-int(m.max()) // 64), np.uint64(1)
+    row = np.repeat(np.arange(pairs), m + n)
+    place = np.arange(len(flat)) - (np.cumsum(m + n) - m - n)[row]
+    inner = place < m[row]
+    eq = np.zeros(pairs * symbols * blocks, np.uint64)
+    p, r = place[inner], row[inner]
+    np.bitwise_or.at(eq, (r * symbols + flat[inner]) * blocks + (p >> 6), one << (p & 63).astype(np.uint64))
+    eq = eq.reshape(pairs, symbols, blocks)
     text = np.zeros((pairs, int(n[0])), np.int64)
-    for row, i in enumerate(order):
-        text[row, : n[row]] = texts[i]
-        at = np.arange(m[row])
-        np.bitwise_or.at(eq, (row, patterns[i], at >> 6), one << (at & 63).astype(np.uint64))
-    last = ((m - 1) & 63).astype(np.uint64)
+    text[row[~inner], (place - m[row])[~inner]] = flat[~inner]
+    last, block = ((m - 1) & 63).astype(np.uint64), (m - 1) >> 6
+    ends = [np.flatnonzero(block == b) for b in range(blocks)]
     vp, vn, score = np.full((blocks, pairs), ~np.uint64(0)), np.zeros((blocks, pairs), np.uint64), m.astype(np.int64)
     live = np.searchsorted(-n, -np.arange(n[0]), "left")  # texts longer than j
     for j in range(int(n[0])):
@@ -135,14 +138,13 @@ def _together(patterns: list[np.ndarray], texts: list[np.ndarray], symbols: int)
             e = e | down
             xh = (((e & p) + p) ^ p) | e
             hp, hn = v | ~(xh | p), p & xh
-            if b == blocks - 1:
-                score[:k] += (hp >> last[:k] & one).astype(np.int64) - (hn >> last[:k] & one).astype(np.int64)
+            if len(ends[b]):
+                own = ends[b][: np.searchsorted(ends[b], k)]
+                score[own] += (hp[own] >> last[own] & one).astype(np.int64) - (hn[own] >> last[own] & one).astype(np.int64)
             hp, up = hp << one | up, hp >> BLOCK
             hn, down = hn << one | down, hn >> BLOCK
             vp[b, :k], vn[b, :k] = hn | ~(xv | hp), hp & xv
-    out = np.empty(pairs, np.int64)
-    out[order] = score
-    return out
+    return score
 
 
 def all_within(left: list[str], right: list[str], limits: list[int], long: int = 2048, cells: int = 1 << 21) -> list[bool]:
@@ -160,19 +162,21 @@ def all_within(left: list[str], right: list[str], limits: list[int], long: int =
             out[i] = within(a, b, limit)
         else:
             codes = [np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (x, y)]
-            rest.setdefault(-(-len(x) // 64), []).append((i, *codes))
+            blocks = -(-len(x) // 64)
+            rest.setdefault(next(c for c in CLASSES if c >= blocks), []).append((i, *codes))
     for blocks, some in sorted(rest.items()):
-        if len(some) < 24 * blocks:  # too few to be worth the steps for all columns and blocks
+        if len(some) < 6 * blocks:  # too few to be worth the steps for all columns and blocks
             for i, *_ in some:
                 out[i] = within(left[i], right[i], limits[i])
             continue
         some.sort(key=lambda r: -len(r[2]))
         at = 0
         while at < len(some):
-            names = np.unique(np.concatenate([np.concatenate(r[1:]) for r in some[at : at + 4096]]))
-            step = max(1, cells // (blocks * (len(names) + 1)))
-            part = some[at : at + min(4096, step)]
-            got = _together([np.searchsorted(names, r[1]) for r in part], [np.searchsorted(names, r[2]) for r in part], len(names))
+            part = some[at : at + 4096]
+            names = np.unique(np.concatenate([x for r in part for x in r[1:]]))
+            part = part[: max(1, cells // (blocks * len(names)))]
+            flat = np.searchsorted(names, np.concatenate([x for r in part for x in r[1:]]))
+            got = _together(flat, np.array([len(r[1]) for r in part]), np.array([len(r[2]) for r in part]), len(names))
             for (i, *_), d in zip(part, got.tolist(), strict=True):
                 out[i] = d <= limits[i]
             at += len(part)

@@ -8,7 +8,7 @@ parts, and a bucket finds the pairs within the block's radius. All distinct line
 near SimHash's. Candidates are verified: the edit distance of the normalised lines must be at most 20 % of the longer one. Of each connected group the first
 occurrence stays (by doc_id, then the text's hash, then line); every other line goes. Pairs that are 80 % alike beyond the two limits are missed.
 
-Candidates are verified in two rounds, so that m lines close to each other don't make m squared pairs: first each line against one partner in each bucket (the one with the
+Candidates are verified in two rounds, so that m lines close to each other don't make m squared pairs: first each line against one partner (the one with the
 least hash, so a group's lines meet the same partner); then, among lines that have a partner, every candidate pair that isn't connected yet. Equal lines are one from the start
 (aggregated before the shuffle). Rows of hot lines (over 1/1024 of all lines each) are answered by a broadcast of those lines, 1024 at most, and aren't shuffled.
 
@@ -36,8 +36,8 @@ from packframe.llm.units import mix, pack, slices, texts_of, unpack, word_hashes
 U = np.uint64
 LAST = np.iinfo(np.int64).max
 LIMIT, SECOND = 12, 22  # 93 % of pairs that are 80 % alike differ in fewer bits (measured on sf0.1)
-STEPS = 4
-PAIRS = 1 << 19
+STEPS = 16
+PAIRS = 1 << 16  # checked at a time; their arrays stay in the cache
 
 
 def _normal_table() -> np.ndarray:
@@ -178,20 +178,24 @@ def near_pairs(sim: np.ndarray, length: np.ndarray, k: int, j: int, blocks: int,
         mine = np.flatnonzero(to >= 0)
         cell = to[mine] * kinds + kind[mine]
         begin, end = at[cell - STEPS - 1], at[cell + 1]
-        size = end - begin
-        ends = np.cumsum(size)
+        size = (end - begin).astype(np.int32)
+        ends = np.cumsum(size, dtype=np.int64)
+        shift, own = (begin - ends + size).astype(np.int32), sim[mine]
         done = 0
         while done < len(mine):
             upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS, "right")))
-            n = size[done:upto]
-            b = np.repeat(begin[done:upto] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            x = np.repeat(sim[mine[done:upto]], n) ^ sim[b]
+            n, first = size[done:upto], int(ends[done - 1]) if done else 0
+            b = np.repeat(shift[done:upto], n)
+            b += np.arange(first, first + len(b), dtype=np.int32)
+            x = np.repeat(own[done:upto], n)
+            x ^= sim[b]
             some = np.flatnonzero(np.bitwise_count(x) < limit)
-            a, b, x = np.repeat(mine[done:upto], n)[some], b[some], x[some]
-            good = ((length[b] < length[a]) | (length[b] == length[a]) & (b < a)) & (length[a] - length[b] <= (100 - percent) * length[a] // 100)
-            for e in range(k):
-                good &= np.bitwise_count(_block(x, *spans[e][:2])) > spans[e][2]
-            yield order[a[good]], order[b[good]]
+            if len(some):
+                a, b, x = mine[done:upto][np.searchsorted(ends[done:upto], some + first, "right")], b[some].astype(np.int64), x[some]
+                good = ((length[b] < length[a]) | (length[b] == length[a]) & (b < a)) & (length[a] - length[b] <= (100 - percent) * length[a] // 100)
+                for e in range(k):
+                    good &= np.bitwise_count(_block(x, *spans[e][:2])) > spans[e][2]
+                yield order[a[good]], order[b[good]]
             done = upto
 
 
@@ -234,8 +238,7 @@ def _deal(blocks: int, limit: int, bits: int, rows: int = 1 << 18):
 
 
 def _compare(blocks: int, limit: int, second: int, percent: int, first: bool):
-    """Candidate pairs of a bucket as (a, b, salt): in the first round each line with its partner of least hash, else all pairs of different labels.
-    salt numbers every 256 pairs of the same b, so that a line with many partners isn't met in one task when they are verified."""
+    """Candidate pairs of a bucket: in the first round each line (a) with its partner of least hash (b), else all pairs of different labels, the greater first."""
 
     def run(key, rows):
         k, j = divmod(key[0].as_py() >> 32, limit)
@@ -252,14 +255,9 @@ def _compare(blocks: int, limit: int, second: int, percent: int, first: bool):
                 found.append((own[a[apart]], own[b[apart]]))
         if first:
             some = best < LAST
-            found.append((own[some], best[some]))
+            return pa.table({"a": pa.array(own[some]), "b": pa.array(best[some])})
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        a, b = np.maximum(a, b), np.minimum(a, b)
-        order = np.lexsort((a, b))
-        a, b = a[order], b[order]
-        start = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else b
-        rank = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
-        return pa.table({"a": pa.array(a), "b": pa.array(b), "salt": pa.array((rank >> 8).astype(np.int32))})
+        return pa.table({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
 
     return run
 
@@ -300,15 +298,22 @@ def _texts(docs: DataFrame, kinds: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(texts.groupBy("hash").agg(F.min("line").alias("line")), "candidate-lines")  # equal rows give a line twice
 
 
-def _links(docs: DataFrame, kinds: DataFrame, dealt: DataFrame, compare, percent: int, n: int) -> tuple[DataFrame, DataFrame]:
+FAN = 256  # partners of a line that are verified in one task
+
+
+def _links(docs: DataFrame, kinds: DataFrame, dealt: DataFrame, compare, percent: int, n: int, first: bool) -> tuple[DataFrame, DataFrame]:
     """The candidate pairs of one round (a, b), and those that the edit distance confirms."""
-    pairs = dealt.groupBy("bucket").applyInArrow(compare, "a long, b long, salt int").groupBy("a", "b").agg(F.min("salt").alias("salt"))
-    pairs = cut(pairs, "line-candidates")
+    pairs = dealt.groupBy("bucket").applyInArrow(compare, "a long, b long")
+    pairs = pairs.groupBy("a").agg(F.min("b").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) if first else pairs
+    pairs = cut(pairs.distinct(), "line-candidates")
     texts = _texts(docs, kinds, pairs)
-    left = texts.select(F.col("hash").alias("a"), F.col("line").alias("ta"))
-    salts = pairs.groupBy("b").agg(F.max("salt").alias("salts"))
-    right = texts.withColumnRenamed("hash", "b").join(salts, "b").select("b", F.col("line").alias("tb"), F.explode(F.sequence(F.lit(0), "salts")).alias("salt"))
-    sided = pairs.join(left, "a").join(right, ["b", "salt"]).select("a", "b", "ta", "tb").repartition(n)  # few bytes, much work
+    # a line with over 1/65536 of all pairs (so 65536 lines at most) is copied for every FAN of its partners, which are numbered by hash
+    many = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("salts", F.when(F.col("n") * 65536 > pairs.count(), F.ceil(F.col("n") / FAN)).otherwise(1).cast("int"))
+    hot = F.broadcast(many.filter("salts > 1").select("b", "salts"))
+    left = pairs.join(hot, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")), F.lit(0)).cast("int").alias("salt"))
+    left = left.join(texts.select(F.col("hash").alias("a"), F.col("line").alias("ta")), "a")
+    right = texts.withColumnRenamed("hash", "b").join(many, "b").select("b", F.col("line").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    sided = left.join(right, ["b", "salt"]).select("a", "b", "ta", "tb").repartition(n)  # few bytes, much work
     return pairs, cut(sided.mapInArrow(_verify(percent), "a long, b long"), "line-links")
 
 
@@ -323,15 +328,15 @@ def _removed(docs: DataFrame, min_words: int, percent: int, blocks: int, limit:
     bits = min(6, (lines >> 15).bit_length())  # lines of a bucket; more buckets than the parts' values allow there can't be
     deal = lambda x: x.select("hash", "sim", "length", "more", "label").mapInArrow(_deal(blocks, limit, bits), "bucket long, message binary")
     compare = lambda first: _compare(blocks, limit, second, percent, first)
-    tried, links = _links(docs, kinds, deal(kinds.withColumn("label", F.col("hash"))), compare(True), percent, n)
+    tried, links = _links(docs, kinds, deal(kinds.withColumn("label", F.col("hash"))), compare(True), percent, n, True)
     near = tried.select(F.col("a").alias("hash")).unionByName(tried.select(F.col("b").alias("hash"))).distinct()
     root = components(links).select(F.col("node").alias("hash"), "root")
     again = kinds.join(near, "hash").join(root, "hash", "left").withColumn("label", F.coalesce("root", "hash"))
-    late, more = _links(docs, kinds, deal(again), compare(False), percent, n)
+    _, more = _links(docs, kinds, deal(again), compare(False), percent, n, False)
     same = components(links.unionByName(more)) if not more.isEmpty() else root.withColumnRenamed("hash", "node")
     member = same.join(kinds.select(F.col("hash").alias("node"), "first"), "node")
-    lead = member.groupBy("root").agg(F.min("first").alias("lead"))
-    member = member.join(lead, "root").select(F.col("node").alias("hash"), "lead")
+    lead = member.groupBy("root").agg(F.min("first").alias("lead"), F.count("*").alias("n"))
+    member = join_hot(member, lead, "root", "n", max(1, same.count())).select(F.col("node").alias("hash"), "lead")
     # only lines that occur again or are linked can go
     known = cut(kinds.join(member, "hash", "left").filter("n > 1 or lead is not null").select("hash", "n", F.coalesce("lead", "first").alias("lead")), "line-groups")
     gone = join_hot(each.select("row", "number", "hash"), known, "hash", "n", total).filter((F.col("row") != F.col("lead")["row"]) | (F.col("number") != F.col("lead")["number"]))
