@@ -86,9 +86,14 @@ def bwt_roundtrip(spark, sf_dir):
     return _trip(spark, sf_dir, lambda b: codecs.unbwt(*codecs.bwt(b)))
 
 
-@query()
+@query(f"""WITH {BYTES}, o AS (SELECT id, pos, b, lag(pos) OVER w AS p, lead(pos) OVER w AS nx FROM b WINDOW w AS (PARTITION BY id, b ORDER BY pos)),
+gap AS (SELECT id, pos, unnest(range(p + 1, pos)) AS q FROM o WHERE pos > p + 1),
+again AS (SELECT gap.id, gap.pos, count(*) AS move FROM gap JOIN o ON o.id = gap.id AND o.pos = gap.q WHERE o.nx IS NULL OR o.nx > gap.pos GROUP BY gap.id, gap.pos),
+first AS (SELECT f.id, f.pos, f.b + count(g.b) AS move FROM o f LEFT JOIN o g ON g.id = f.id AND g.p IS NULL AND g.pos < f.pos AND g.b > f.b WHERE f.p IS NULL GROUP BY f.id, f.pos, f.b)
+SELECT move::INT AS move, count(*) AS n FROM (SELECT move FROM again UNION ALL SELECT move FROM first UNION ALL SELECT 0 FROM o WHERE pos = p + 1) GROUP BY move""")
 def mtf_ranks(spark, sf_dir):
-    """How often each rank occurs over all documents."""
+    """How often each rank occurs over all documents. A rank is the number of different bytes since the byte's last occurrence; at its first, what
+    the table's order and the bytes before it make of it."""
     x = _files(spark, sf_dir).select(F.posexplode(fb.histogram(fb.binary_function(codecs.mtf)(F.col("content")))).alias("move", "k")).filter("k > 0")
     return x.groupBy("move").agg(F.sum("k").alias("n"))
 
@@ -302,7 +307,24 @@ def gf_tables(spark, sf_dir):
     return spark.sql("WITH RECURSIVE t(i, v) MAX RECURSION LEVEL 300 AS (SELECT 0, 1 UNION ALL SELECT i + 1, CASE WHEN v * 2 >= 256 THEN (v * 2) ^ 285 ELSE v * 2 END FROM t WHERE i < 254) SELECT i, v FROM t")
 
 
-@query()
+#: Powers and logarithms as lists (log of 0: null), and a product of two bytes by them.
+_FIELD = """e AS (SELECT 0 AS i, 1 AS v UNION ALL SELECT i + 1, CASE WHEN v * 2 >= 256 THEN xor(v * 2, 285) ELSE v * 2 END FROM e WHERE i < 254),
+f AS (SELECT list(v ORDER BY i) AS ex, list_prepend(NULL, list(i ORDER BY v)) AS lg FROM e)"""
+_TIMES = "coalesce(f.ex[(f.lg[({0})::INT + 1] + f.lg[({1})::INT + 1]) % 255 + 1], 0)"
+#: Forty bytes that xor adds up, as five 64-bit words; and their hexadecimal digits in order.
+_PACKED = ", ".join(f"bit_or(CASE WHEN j // 8 = {w} THEN v::UBIGINT << (8 * (j % 8))::UBIGINT ELSE 0::UBIGINT END) AS w{w}" for w in range(5))
+_ADDED = ", ".join(f"bit_xor(w{w}) AS w{w}" for w in range(5))
+_HEX = " || ".join(f"printf('%02x', ((w{j // 8} >> {8 * (j % 8)}::UBIGINT) & 255::UBIGINT)::INT)" for j in range(40))
+
+
+@query(f"""WITH RECURSIVE {_FIELD}, {BYTES},
+g AS (SELECT 0 AS k, list_prepend(1, list_transform(range(0, 40), lambda x: 0)) AS c UNION ALL
+  SELECT k + 1, list_transform(range(1, 42), lambda n: xor(c[n], CASE WHEN n > 1 THEN {_TIMES.format("c[n - 1]", "f.ex[k + 1]")} ELSE 0 END)::INT) FROM g, f WHERE k < 40),
+r AS (SELECT 214 AS i, c[2:41] AS rest, c FROM g WHERE k = 40 UNION ALL
+  SELECT i - 1, list_transform(range(1, 41), lambda n: xor(coalesce(rest[n + 1], 0), {_TIMES.format("rest[1]", "c[n + 1]")})::INT), c FROM r, f WHERE i > 0),
+t AS (SELECT i, s.b, j, {_TIMES.format("rest[j + 1]", "s.b")} AS v FROM r, f, range(1, 256) AS s(b), range(0, 40) AS n(j)),
+u AS (SELECT i, b, {_PACKED} FROM t GROUP BY i, b)
+SELECT id, pos // 215 AS block, {_HEX} AS parity FROM (SELECT id, pos // 215 * 215 AS pos, {_ADDED} FROM (SELECT b.id, b.pos, {", ".join(f"coalesce(w{w}, 0::UBIGINT) AS w{w}" for w in range(5))} FROM b LEFT JOIN u ON u.i = b.pos % 215 AND u.b = b.b) GROUP BY id, pos // 215)""")
 def rs_parity(spark, sf_dir):
     """Parity bytes (medium level) of each block of each document."""
 
@@ -313,21 +335,23 @@ def rs_parity(spark, sf_dir):
         return [w.tobytes().hex() for w in ecc.parity(data, 40)]
 
     x = _files(spark, sf_dir).select("id", F.posexplode(fb.binary_function(parity, "array<string>")(F.col("content"))).alias("block", "parity"))
-    return x
+    return x.select("id", F.col("block").cast("long").alias("block"), "parity")
 
 
-@query("SELECT doc_id AS id, ceil(strlen(text) / 215.0)::BIGINT AS clean_blocks, 0::BIGINT AS dirty_blocks FROM documents")
+@query(f"""WITH RECURSIVE {_FIELD}, {BYTES},
+t AS (SELECT p.i, s.b, j, f.ex[(f.lg[s.b + 1] + j * (254 - p.i)) % 255 + 1] AS v FROM f, range(0, 255) AS p(i), range(1, 256) AS s(b), range(0, 40) AS n(j)),
+u AS (SELECT i, b, {_PACKED} FROM t GROUP BY i, b)
+SELECT id, block, {_HEX} AS syndromes FROM (SELECT id, pos // 255 AS block, {_ADDED} FROM (SELECT b.id, b.pos, {", ".join(f"coalesce(w{w}, 0::UBIGINT) AS w{w}" for w in range(5))} FROM b LEFT JOIN u ON u.i = b.pos % 255 AND u.b = b.b) GROUP BY id, pos // 255)""")
 def rs_syndromes(spark, sf_dir):
-    """Blocks whose syndromes are all zero after encoding."""
+    """Syndromes of each document's bytes, taken as received words of 255 symbols: they are no code words, so hardly any is zero."""
 
-    def clean(b):
-        coded = ecc.encode(b)
-        n = int.from_bytes(coded[10:12], "big")
-        syn = ecc.syndromes(np.frombuffer(coded, np.uint8, 255 * n, 12).reshape(255, n).T.astype(np.int64), 40)
-        return [int((~syn.any(1)).sum()), int(syn.any(1).sum())]
+    def syndromes(b):
+        words = np.zeros((-(-len(b) // ecc.N), ecc.N), np.uint8)
+        words.ravel()[: len(b)] = np.frombuffer(b, np.uint8)
+        return [w.astype(np.uint8).tobytes().hex() for w in ecc.syndromes(words, 40)]
 
-    x = _files(spark, sf_dir).select("id", fb.binary_function(clean, "array<bigint>")(F.col("content")).alias("c"))
-    return x.select("id", F.col("c")[0].alias("clean_blocks"), F.col("c")[1].alias("dirty_blocks"))
+    x = _files(spark, sf_dir).select("id", F.posexplode(fb.binary_function(syndromes, "array<string>")(F.col("content"))).alias("block", "syndromes"))
+    return x.select("id", F.col("block").cast("long").alias("block"), "syndromes")
 
 
 def _damaged(b: bytes) -> bytes:
