@@ -309,3 +309,14 @@ def keep_one_each(docs: DataFrame, size: int = 5, percent: int = 80, bands: int
     # both steps want rows of a document and text together, so the texts are moved once
     x = x.join(keep, ["n_doc", "n_key"], "left_semi").dropDuplicates(["n_doc", "n_key"])
     return x.select(*[F.col("d")[c].alias(c) for c in docs.columns])
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+x AS (SELECT r, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.r AS a, b.r AS b FROM x a JOIN x b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+sides AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach AS (SELECT r AS a, r AS b FROM s UNION SELECT reach.a, sides.b FROM reach JOIN sides ON sides.a = reach.b),
+least AS (SELECT reach.a, min(s.doc_id) AS component_id FROM reach JOIN s ON s.r = reach.b GROUP BY reach.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least.component_id, s.doc_id IS NOT DISTINCT FROM least.component_id AS kept FROM s JOIN least ON least.a = s.r"""

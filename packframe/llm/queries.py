@@ -6,11 +6,11 @@ from packframe.llm.chat import OP9_SQL, op9_format_chat
 from packframe.llm.decontaminate import op2_decontaminate
 from packframe.llm.lines import op10_dedup_lines
 from packframe.llm.lm import op8_score_lm
-from packframe.llm.minhash import op3_minhash_dedup
+from packframe.llm.minhash import OP3_SQL, op3_minhash_dedup
 from packframe.llm.mixing import OP4_SQL, mix_shards, op4_mix_sources
 from packframe.llm.quality import op7_quality_rules
 from packframe.llm.sharding import op6_shard_documents
-from packframe.llm.suffix_dedup import op1_suffix_dedup
+from packframe.llm.suffix_dedup import OP1_SQL, op1_suffix_dedup
 from packframe.llm.urls import op5_filter_urls
 
 QUERIES = {
@@ -29,4 +29,4 @@ QUERIES = {
         mix_shards,
     )
 }
-ORACLES = {"op4_mix_sources": OP4_SQL, "op9_format_chat": OP9_SQL}
+ORACLES = {"op1_suffix_dedup": OP1_SQL, "op3_minhash_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op9_format_chat": OP9_SQL}

@@ -9,7 +9,7 @@ Only counts per arc (shards * vnodes rows, a bound set by the parameters) are ga
 a few ranges of ranks with a shard and the first slot. Ranks are counted in two levels, ring cells of about ``cell_rows`` rows and rows within a cell,
 so no task holds a whole arc. Every row has its own point, so equal texts don't heat a shard.
 
-Edge cases: a null or empty text has size 16 and CRC 0; a null doc_id hashes as a value of its own (many of them share a cell); repeated
+Edge cases: a null or empty text has size 16 and CRC 0; rows without a doc_id are placed by their text; repeated
 rows are separate rows, ordered by text hash; empty table, empty result; other columns are not looked at.
 """
 
@@ -80,7 +80,7 @@ def place(counts: list[int], owners: list[int], room: list[int]) -> list[tuple[i
 def assign(docs: DataFrame, shards: int = 40, vnodes: int = 64, cell_rows: int = 4096) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for each row of docs."""
     text = F.coalesce("text", F.lit(""))
-    slim = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("text_key"))
+    slim = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.coalesce(F.when(F.col("doc_id").isNull(), F.xxhash64("text")), F.xxhash64("doc_id")).alias("h"), F.xxhash64("text").alias("text_key"))
     slim = cut(slim, "shard-rows")
     nodes = ring(shards, vnodes)
     n = slim.count()

@@ -442,3 +442,16 @@ def dedup_substrings(docs: DataFrame, mb: float = 6.0) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("spans")
+
+
+OP1_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, encode(coalesce(text, '')) AS t, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, k, pos, array_slice(t, pos + 1, pos + 50) AS s FROM (SELECT r, k, t, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS pos FROM d)),
+m AS (SELECT s, min(k) AS least FROM w GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT r, pos FROM w JOIN m USING (s) WHERE least < k),
+b AS (SELECT r, unnest(range(0, length(h) // 2)) AS pos, unnest(regexp_extract_all(h, '..')) AS x FROM d),
+c AS (SELECT b.r, b.pos, b.x, max(CASE WHEN hit.pos IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY b.r ORDER BY b.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM b LEFT JOIN hit USING (r, pos)),
+e AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY r ORDER BY pos), 0) = 0 THEN 1 ELSE 0 END AS begins FROM c)
+SELECT any_value(d.doc_id) AS doc_id, (any_value(length(h)) // 2)::BIGINT AS n_bytes, coalesce(sum(gone), 0)::BIGINT AS n_removed, coalesce(sum(begins), 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(string_agg(x, '' ORDER BY pos) FILTER (gone = 0), ''))) AS kept_sha256
+FROM d LEFT JOIN e USING (r) GROUP BY r"""

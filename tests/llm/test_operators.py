@@ -55,6 +55,15 @@ def test_suffix_dedup_dealt_by_windows(spark):
     assert sorted(tuple(r) for r in got) == brute.suffix(made)
 
 
+def test_sql_of_the_dedups_is_the_plain_version(rows):
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert sorted(con.execute(suffix_dedup.OP1_SQL).fetchall()) == brute.suffix(rows)
+    got = con.execute(minhash.OP3_SQL).fetchall()
+    assert sorted(r[:3] for r in got) == brute.near(rows, 3, 85) and all(k == (d == c) for d, _, c, k in got)
+
+
 def test_suffix_sort_orders_and_survives_collisions(monkeypatch):
     text = np.array([[rng.randrange(97, 99) for _ in range(suffix_dedup.WIDTH)] + [suffix_dedup.W] for _ in range(20)], np.uint8)
     row, col = np.repeat(np.arange(20), suffix_dedup.W), np.tile(np.arange(suffix_dedup.W), 20)
