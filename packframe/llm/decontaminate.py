@@ -85,17 +85,23 @@ class Items:
         """(windows, walks * repeats) keys: each a hash of the words at a sample's positions of a walk, the number of the sample and the window's length.
         Windows are m words from start; those outside [lo, hi) count as a word of their own."""
         out = np.empty((len(start), self.walks * len(self.samples)), np.uint64)
-        for length in np.unique(m):
-            every = np.flatnonzero(m == length)
-            steps = (3 * int(length) + 1) // 2
-            at = (self.samples >> U(32)) * U(steps) >> U(32)
-            for some in np.array_split(every, -(-len(every) * steps // CELLS)):
-                for walk in range(self.walks):
-                    seen = embed(words, start[some], int(length), lo[some], hi[some], walk, steps)
-                    acc = np.broadcast_to(mix(np.arange(len(at), dtype=np.uint64) + U(walk * len(at) + 1) + (U(length) << U(32))), (len(some), len(at))).copy()
-                    for b in range(at.shape[1]):
-                        acc = mix(acc * U(0x9E3779B97F4A7C15) + seen[:, at[:, b].astype(np.int64)])
-                    out[some, walk * len(at) : (walk + 1) * len(at)] = acc
+        lengths, which = np.unique(m, return_inverse=True)
+        steps = (3 * lengths + 1) // 2
+        places = ((self.samples >> U(32))[None] * steps.astype(np.uint64)[:, None, None] >> U(32)).astype(np.int64)  # (length, repeat, bit)
+        order, done = np.argsort(which, kind="stable"), 0
+        while done < len(order):  # windows of like length together, as many as fit
+            upto = done + 1
+            while upto < len(order) and (upto - done) * int(steps[which[order[upto]]]) < CELLS:
+                upto += min(1024, len(order) - upto)
+            some = order[done:upto]
+            rows, own = np.arange(len(some))[:, None], which[some]
+            for walk in range(self.walks):
+                seen = embed(words, start[some], m[some], lo[some], hi[some], walk, int(steps[own].max()))
+                acc = mix(np.arange(len(self.samples), dtype=np.uint64)[None] + U(walk * len(self.samples) + 1) + (m[some].astype(np.uint64) << U(32))[:, None])
+                for b in range(places.shape[2]):
+                    acc = mix(acc * U(0x9E3779B97F4A7C15) + seen[rows, places[own, :, b]])
+                out[some, walk * len(self.samples) : (walk + 1) * len(self.samples)] = acc
+            done = upto
         return out
 
     def candidates(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,16 +119,17 @@ class Items:
 CELLS = 1 << 22
 
 
-def embed(words: np.ndarray, start: np.ndarray, m: int, lo: np.ndarray, hi: np.ndarray, walk: int, steps: int) -> np.ndarray:
+def embed(words: np.ndarray, start: np.ndarray, m: np.ndarray, lo: np.ndarray, hi: np.ndarray, walk: int, steps: int) -> np.ndarray:
     """The first steps of a walk over m words from each start: the word at each step (0 past the end, 1 outside [lo, hi)). Of 3 m steps, the first half is sampled,
     in which few walks have ended."""
-    at, out = np.zeros(len(start), np.int64), np.empty((len(start), steps), np.uint64)
+    place, out = start.copy(), np.empty((len(start), steps), np.uint64)
+    end = start + m
     for s in range(steps):
-        place = start + at
-        w = words[np.clip(place, 0, len(words) - 1)]
-        w = np.where(at >= m, U(0), np.where((place < lo) | (place >= hi), U(1), w))
+        w = words.take(place, mode="clip")
+        w[(place < lo) | (place >= hi)] = 1
+        w[place >= end] = 0
         out[:, s] = w
-        at += ((w ^ U((s + 1 + (walk << 20)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * U(0xBF58476D1CE4E5B9) >> U(63)).astype(np.int64)
+        place += ((w ^ U((s + 1 + (walk << 20)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * U(0xBF58476D1CE4E5B9) >> U(63)).astype(np.int64)
     return out
 
 
@@ -183,7 +190,7 @@ def _found(items: Items, column):
     """(row, item, edits, first word) of a column of texts."""
     data, offsets = texts_of(column)
     found = []
-    for d, e, h, doc in word_hashes(data, offsets, segment=1 << 20) if items.ids else ():
+    for d, e, h, doc in word_hashes(data, offsets, segment=2_000_000) if items.ids else ():
         past = np.cumsum(np.bincount(doc - d, minlength=e - d))
         found += [(o + d, i, x, s) for o, i, x, s in find_leaks(items, h, doc - d, np.concatenate([[0], past[:-1]]), past)]
     return (np.array(c, np.int64) for c in (zip(*found, strict=True) if found else ((), (), (), ())))
