@@ -434,7 +434,7 @@ def test_trees_learn_and_obey_their_signs():
 
 
 def test_language_model(docs, rows, none):
-    got = sorted(tuple(r) for r in lm.score_documents(docs, 0.1, strength=50.0).collect())
+    got = sorted(tuple(r) for r in lm.score_documents(docs, 0.1, strength=50.0, prune=2).collect())
     want = brute.lm(rows, 50.0)
     key = lambda r: r[:5]
     assert sorted(map(key, got)) == sorted(map(key, want))
