@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from packframe.llm.common import cut, discard, join_hot, mark
 
 
+def _shape(at: DataFrame):
+    """The number of links, the most links of a node to smaller ones, and whether a node that has one is linked to by a greater one: stars have at most one, and none is."""
+    up, down = at.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), at.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    per = up.unionByName(down).groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.agg(F.coalesce(F.sum("up"), F.lit(0)), F.coalesce(F.max("up"), F.lit(0)), F.coalesce(F.max(F.when(F.col("up") > 0, F.col("down"))), F.lit(0))).first()
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """links (a long, b long) -> (node, root): for every node that has a link, the smallest node it is linked to, directly or not.
 
@@ -16,7 +23,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     spark, start = links.sparkSession, mark()
     at = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     for _ in range(rounds):
-        n = max(1, at.count())
+        n, most, chained = _shape(at)
+        if most <= 1 and not chained:
+            break
         # large star: each node's larger neighbours are linked to its smallest
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
@@ -28,10 +37,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         at = cut(small.filter("a <> b").distinct(), "small-star")
         discard(spark, start, keep=1)
-        # done when the links are stars: each node links to one other, and no root links on
-        n, nodes = at.agg(F.count("*"), F.count_distinct("a")).first()
-        if n == nodes and at.select("b").distinct().join(at.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
-            break
     else:
         raise RuntimeError(f"no end after {rounds} rounds")
     return at.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -336,7 +336,7 @@ def _removed(docs: DataFrame, min_words: int, percent: int, blocks: int, limit:
     same = components(links.unionByName(more)) if not more.isEmpty() else root.withColumnRenamed("hash", "node")
     member = same.join(kinds.select(F.col("hash").alias("node"), "first"), "node")
     lead = member.groupBy("root").agg(F.min("first").alias("lead"), F.count("*").alias("n"))
-    member = join_hot(member, lead, "root", "n", max(1, same.count())).select(F.col("node").alias("hash"), "lead")
+    member = join_hot(member, lead, "root", "n", max(1, lines)).select(F.col("node").alias("hash"), "lead")
     # only lines that occur again or are linked can go
     known = cut(kinds.join(member, "hash", "left").filter("n > 1 or lead is not null").select("hash", "n", F.coalesce("lead", "first").alias("lead")), "line-groups")
     gone = join_hot(each.select("row", "number", "hash"), known, "hash", "n", total).filter((F.col("row") != F.col("lead")["row"]) | (F.col("number") != F.col("lead")["number"]))

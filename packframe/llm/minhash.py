@@ -247,11 +247,11 @@ def _links_to_heads(member: DataFrame, heads: DataFrame, sets: DataFrame, percen
     return cut(both.select("head", "salt", "class", "items").mapInArrow(_with_heads(percent), "a long, b long"), "head-links")
 
 
-def _links_in_groups(member: DataFrame, label: DataFrame, sets: DataFrame, percent: int, bands: int, rows: int, block: int, n: int) -> DataFrame | None:
+def _links_in_groups(member: DataFrame, label: DataFrame, sets: DataFrame, percent: int, bands: int, rows: int, block: int, total: int, n: int) -> DataFrame | None:
     """Round 2: confirmed links (a, b) among classes of buckets that have members of different labels; None without such buckets."""
     told = member.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
     mixed = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("class").alias("head"), F.count("*").alias("n")).filter("low < high")
-    left = cut(join_hot(told.select("bucket", "class", "label"), mixed.select("bucket", "head", "n"), "bucket", "n", max(1, told.count())).select("class", "label", "head"), "open-members")
+    left = cut(join_hot(told.select("bucket", "class", "label"), mixed.select("bucket", "head", "n"), "bucket", "n", total).select("class", "label", "head"), "open-members")
     if left.isEmpty():
         return None
     group = components(left.select(F.col("class").alias("a"), F.col("head").alias("b")))
@@ -278,11 +278,11 @@ def _labelled(docs: DataFrame, size: int, percent: int, bands: int, rows: int, b
     sets = _set_table(docs, classes, member.select("class").distinct(), size)
     links = _links_to_heads(member, heads, sets, percent, total, n)
     same = components(links)
-    more = _links_in_groups(member, same.select(F.col("node").alias("class"), F.col("root").alias("label")), sets, percent, bands, rows, block, n)
+    more = _links_in_groups(member, same.select(F.col("node").alias("class"), F.col("root").alias("label")), sets, percent, bands, rows, block, total, n)
     same = same if more is None else components(links.unionByName(more))
     found = same.join(classes.select(F.col("class").alias("node"), "rep"), "node")
     lead = found.groupBy("root").agg(F.min("rep").alias("lead"), F.count("*").alias("n"))
-    lead = join_hot(found, lead, "root", "n", max(1, same.count())).select(F.col("node").alias("class"), "lead")
+    lead = join_hot(found, lead, "root", "n", total).select(F.col("node").alias("class"), "lead")
     return sig.drop("bands"), cut(classes.select("class", "rep", "n").join(lead, "class", "left").select("class", "n", F.coalesce("lead", "rep").alias("lead")), "class-leads")
 
 
