@@ -123,7 +123,7 @@ def _scan(min_words: int):
     """A row for each line that takes part, and one for each document, whose number is - 1 - its number of lines."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _some_mb(whole)):
             data, offsets = texts_of(batch.column("text"))
             doc, number, own, sim, n, length, more = line_hashes(data, offsets, min_words)
             none = np.zeros(len(n), np.int64)
@@ -135,6 +135,16 @@ def _scan(min_words: int):
     return run
 
 
+def _some_mb(batch: pa.RecordBatch, size: int = 4 << 20):
+    """The batch in slices of about size bytes of text, for the arrays over all bytes to stay small."""
+    _, offsets = texts_of(batch.column("text"))
+    lo = 0
+    while lo < len(batch):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _block(sim: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return sim >> U(lo) & U((1 << (hi - lo)) - 1)
 
