@@ -16,6 +16,9 @@ Windows of widespread minimisers (over WIDE slices, and over EACH for each unit
 documents have in different surroundings doesn't meet in one bucket. Such a window is a slice of its own: equal ones are merged by hash and bytes as
 all equal slices are, and since no other window shares their key there is nothing left to sort. Results are the same by either way (tested).
 
+A unit has MOST MB of the input's files at most, and the bytes of slices are laid out ROWS at a time, in units and (some whole families of a minimiser at a
+time) in buckets: what a task holds is some tens of bytes for each byte of a unit.
+
 Edge cases: null and empty texts have no bytes; texts under SPAN bytes lose nothing; rows with equal doc_id don't count against each other; a null
 doc_id counts as the largest; very long texts are handled in segments; an empty table gives an empty result; other columns aren't looked at.
 """
@@ -34,6 +37,8 @@ from packframe.llm.units import MESSAGE, Unit, answer, bucket_of, messages, mix,
 SPAN, K = 50, 26
 W = SPAN - K + 1
 SEG = 1 << 18
+ROWS = 1 << 14  # slices whose bytes are laid out at a time
+MOST = 12.0  # MB of a unit at most: two tasks of an executor hold one each
 BITS = 48
 WIDE, EACH = 4096, 4  # a minimiser with more slices than WIDE, and than EACH for each unit that has it, is dealt window by window
 WIDTH = SPAN + W - 1  # bytes of the longest slice
@@ -113,6 +118,8 @@ class Cut:
 
     def __init__(self, rows: pa.Table):
         self.unit = u = Unit(rows)
+        self.text = np.concatenate([u.data, np.zeros(WIDTH, np.uint8)])  # any slice may be read to its greatest width
+        u.data = self.text[:-WIDTH]
         self.first, self.count, self.key = slices_of(u.data, u.offsets)
         self.doc = np.searchsorted(u.offsets, self.first, "right") - 1
         self.keys, self.which = np.unique(self.key, return_inverse=True)
@@ -131,14 +138,14 @@ class Cut:
         n = np.bincount(self.which, minlength=len(self.keys))
         many = np.flatnonzero(n[self.which] > EACH)
         if len(many):
-            own = np.concatenate([_row_hash(_rows(self.unit.data, self.first[many[lo : lo + SEG]], self.count[many[lo : lo + SEG]])) for lo in range(0, len(many), SEG)])
+            own = _slice_hashes(self.text, self.first[many], self.count[many])
             pairs = np.unique(np.stack([self.which[many].astype(np.uint64), own], 1), axis=0)[:, 0].astype(np.int64)
             which, kinds = np.unique(pairs, return_counts=True)
             n[which] = kinds
         return np.minimum(n, 255).astype(np.uint8)
 
     def items(self, codes: np.ndarray, buckets: int):
-        """The distinct strings to send, by bucket, and where each occurs: (rows of WIDTH bytes and a count of windows, keys, smallest
+        """The distinct strings to send, by bucket, and where each occurs: (an occurrence's first window, number of windows, keys, smallest
         doc_ids, buckets), (window positions, number of windows, item) of each occurrence."""
         u = self.unit
         code = codes[self.which]
@@ -149,45 +156,51 @@ class Cut:
             # one occurrence a window
             reps = self.count[wide]
             at = np.repeat(self.first[wide] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-            own = np.zeros(len(at), np.uint64)
-            for lo in range(0, len(at), SEG):
-                rows = _rows(u.data, at[lo : lo + SEG], np.ones(len(at[lo : lo + SEG]), np.int64))
-                own[lo : lo + SEG] = _row_hash(rows)
-            first, count, key = np.concatenate([first, at]), np.concatenate([count, np.ones(len(at), np.int64)]), np.concatenate([key, own])
+            one = np.ones(len(at), np.int64)
+            first, count, key = np.concatenate([first, at]), np.concatenate([count, one]), np.concatenate([key, _slice_hashes(self.text, at, one)])
         if not len(first):
             none = np.zeros(0, np.int64)
-            return (np.zeros((0, WIDTH + 1), np.uint8), none.astype(np.uint64), none, none), (none, none, none)
+            return (none, none, none.astype(np.uint64), none, none), (none, none, none)
         # distinct strings: by hash, checked by their bytes; whatever differs from its hash's first stays an item of its own
-        ids = u.ids[np.searchsorted(u.offsets, first, "right") - 1]
-        digest = np.concatenate([_row_hash(_rows(u.data, first[lo : lo + SEG], count[lo : lo + SEG])) for lo in range(0, len(first), SEG)]) ^ (key * C)
+        digest = _slice_hashes(self.text, first, count) ^ (key * C)
         _, rep, item = np.unique(digest, return_index=True, return_inverse=True)
-        rows = _rows(u.data, first[rep], count[rep])
-        odd = [np.flatnonzero((_rows(u.data, first[lo : lo + SEG], count[lo : lo + SEG]) != rows[item[lo : lo + SEG]]).any(1)) + lo for lo in range(0, len(first), SEG)]
+        del digest
+        odd = []
+        for lo in range(0, len(first), ROWS):
+            mine = rep[item[lo : lo + ROWS]]
+            odd.append(np.flatnonzero((_rows(self.text, first[lo : lo + ROWS], count[lo : lo + ROWS]) != _rows(self.text, first[mine], count[mine])).any(1)) + lo)
         odd = np.concatenate(odd)
         if len(odd):
             item[odd] = len(rep) + np.arange(len(odd))
             rep = np.concatenate([rep, odd])
-            rows = _rows(u.data, first[rep], count[rep])
         least = np.full(len(rep), np.iinfo(np.int64).max)
-        np.minimum.at(least, item, ids)
+        np.minimum.at(least, item, u.ids[np.searchsorted(u.offsets, first, "right") - 1])
         bucket = bucket_of(key[rep], BITS, buckets)
         order = np.lexsort((key[rep], bucket))
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        return (rows[order], key[rep][order], least[order], bucket[order]), (first, count, back[item])
+        rep = rep[order]
+        return (first[rep], count[rep], key[rep], least[order], bucket[order]), (first, count, back[item])
 
 
 C = U(0xD6E8FEB86659FD93)
 _COEF = mix(np.arange(1, WIDTH + 2, dtype=np.uint64))
 
 
-def _rows(data: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """WIDTH bytes from each start, zero after its slice, and the number of windows."""
-    cols = np.arange(WIDTH)
-    at = first[:, None] + cols
-    out = np.zeros((len(first), WIDTH + 1), np.uint8)
-    np.copyto(out[:, :WIDTH], data[np.minimum(at, len(data) - 1)], where=cols < (count + SPAN - 1)[:, None])
-    out[:, WIDTH] = count
+def _rows(text: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """WIDTH bytes from each start, zero after its slice, and the number of windows. The text has WIDTH bytes more than its documents."""
+    every, cols, out = np.lib.stride_tricks.sliding_window_view(text, WIDTH), np.arange(WIDTH, dtype=np.uint8), np.empty((len(first), WIDTH + 1), np.uint8)
+    for lo in range(0, len(first), ROWS):
+        own, n = out[lo : lo + ROWS], count[lo : lo + ROWS].astype(np.uint8)
+        np.multiply(every[first[lo : lo + ROWS]], cols < (n + np.uint8(SPAN - 1))[:, None], out=own[:, :WIDTH])
+        own[:, WIDTH] = n
+    return out
+
+
+def _slice_hashes(text: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    out = np.empty(len(first), np.uint64)
+    for lo in range(0, len(first), ROWS):
+        out[lo : lo + ROWS] = _row_hash(_rows(text, first[lo : lo + ROWS], count[lo : lo + ROWS]))
     return out
 
 
@@ -239,8 +252,8 @@ def _send_items(buckets: int):
             return messages([])
         unit, c = key[0].as_py(), Cut(rows)
         codes = _codes(list(zip(told["bucket"].to_pylist(), told["message"].to_pylist(), strict=True)))
-        (strings, keys, least, bucket), _ = c.items(codes, buckets)
-        out = [(b, unit, 2, pack(strings[lo:hi].ravel(), _six(keys[lo:hi]), least[lo:hi])) for b, lo, hi in slices(bucket, buckets)]
+        (first, count, keys, least, bucket), _ = c.items(codes, buckets)
+        out = [(b, unit, 2, pack(_rows(c.text, first[lo:hi], count[lo:hi]).ravel(), _six(keys[lo:hi]), least[lo:hi])) for b, lo, hi in slices(bucket, buckets)]
         return messages([*out, (unit % buckets, unit, 1, pack(codes))])  # the codes come back with the answers
 
     return run
@@ -328,53 +341,73 @@ def _reply_items(got):
             yield u, 1, m
     if not parts:
         return
-    sizes = [len(least) for *_, least in parts]
-    strings = np.concatenate([s.reshape(-1, WIDTH + 1) for _, s, _, _ in parts])
+    units, sizes = [u for u, *_ in parts], [len(least) for *_, least in parts]
+    strings = np.concatenate([s for _, s, _, _ in parts]).reshape(-1, WIDTH + 1)
     keys = np.concatenate([_eight(k) for _, _, k, _ in parts])
     least = np.concatenate([x for *_, x in parts])
+    del parts
     windows = strings[:, WIDTH].astype(np.int64)
-    best = windowed_least(strings, keys, least, windows)
-    ends = np.concatenate([[0], np.cumsum(windows)])
+    best, start = _least_of_slices(strings, keys, least)
     at = 0
-    for (u, *_), n in zip(parts, sizes, strict=True):
-        yield u, 2, pack(best[ends[at] : ends[at + n]])
+    for u, n in zip(units, sizes, strict=True):
+        yield u, 2, pack(best[_runs(start[at : at + n], windows[at : at + n])])
         at += n
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, size of them, end to end."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def windowed_least(strings: np.ndarray, keys: np.ndarray, least: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """For each window of each slice, the smallest doc_id that has it."""
+    best, start = _least_of_slices(strings, keys, least)
+    return best[_runs(start, windows)]
+
+
+def _least_of_slices(strings: np.ndarray, keys: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest doc_id that has a window, for all windows of the distinct slices; and where each slice's windows start there."""
     # equal slices of different units first: one row each
-    order = np.lexsort((_row_hash(strings), keys))
-    s, k = strings[order], keys[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]).any(1)])
+    digest = np.concatenate([_row_hash(strings[lo : lo + ROWS]) for lo in range(0, len(strings), ROWS)])
+    order = np.lexsort((digest, keys))
+    k, new = keys[order], np.ones(len(order), bool)
+    new[1:] = (k[1:] != k[:-1]) | (digest[order[1:]] != digest[order[:-1]])
+    alike = np.flatnonzero(~new)
+    for lo in range(0, len(alike), ROWS):
+        i = alike[lo : lo + ROWS]
+        new[i] = (strings[order[i]] != strings[order[i - 1]]).any(1)
     rep = np.flatnonzero(new)
     slot = np.empty(len(order), np.int64)
     slot[order] = np.cumsum(new) - 1
     low = np.minimum.reduceat(least[order], rep)
-    s, k = s[rep], k[rep]
-    n = s[:, WIDTH].astype(np.int64)
+    k, rep = k[rep], order[rep]
+    n = strings[rep, WIDTH].astype(np.int64)
     start = np.cumsum(n) - n
     out = np.repeat(low, n)
-    # slices that share their minimiser with another one
-    family = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-    busy = np.flatnonzero(np.bincount(family)[family] > 1)
-    if len(busy):
-        row = np.repeat(busy, n[busy])
-        col = np.arange(len(row)) - np.repeat(np.cumsum(n[busy]) - n[busy], n[busy])
+    # slices that share their minimiser with another one, some whole families at a time
+    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    size = np.diff(np.append(head, len(k)))
+    head, size = head[size > 1], size[size > 1]
+    ends = np.cumsum(size)
+    done = 0
+    while done < len(head):
+        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + ROWS, "right")))
+        busy = _runs(head[done:upto], size[done:upto])
+        family = np.repeat(np.arange(upto - done), size[done:upto])
+        done = upto
+        s, many = strings[rep[busy]], n[busy]
+        row, col = np.repeat(np.arange(len(busy)), many), _runs(np.zeros(len(busy), np.int64), many)
         # where the minimiser stands in the slice: windows can be equal only with it at the same distance
-        dist = np.repeat(_minimiser_at(s[busy]), n[busy]) - col
-        sub = family[row] * (WIDTH + 1) + dist
+        sub = family[row] * (WIDTH + 1) + _minimiser_at(s)[row] - col
         by = np.argsort(sub, kind="stable")
         row, col, sub = row[by], col[by], sub[by]
-        order, same = sort_suffixes(s, sub, row, col)
-        head = np.concatenate([[True], ~same])
-        cell = (start[row] + col)[order]
-        first = np.flatnonzero(head)
-        mins = np.minimum.reduceat(low[row[order]], first)
-        out[cell] = mins[np.cumsum(head) - 1]
-    ends = np.cumsum(windows)
-    at = np.repeat(start[slot] - (ends - windows), windows) + np.arange(ends[-1])
-    return out[at]
+        by, same = sort_suffixes(s, sub, row, col)
+        turn = np.concatenate([[True], ~same])
+        own = busy[row[by]]
+        mins = np.minimum.reduceat(low[own], np.flatnonzero(turn))
+        out[start[own] + col[by]] = mins[np.cumsum(turn) - 1]
+    return out, start[slot]
 
 
 def _minimiser_at(strings: np.ndarray) -> np.ndarray:
@@ -399,17 +432,24 @@ def _finish(buckets: int, with_text: bool):
         u = c.unit
         back = list(zip(told["kind"].to_pylist(), told["bucket"].to_pylist(), told["message"].to_pylist(), strict=True))
         codes = np.concatenate([unpack(m)[0] for k, _, m in back if k == 1] or [np.zeros(0, np.uint8)])
-        (strings, _, _, _), (first, count, item) = c.items(codes, buckets)
-        best = np.concatenate([unpack(m)[0] for k, _, m in sorted(back) if k == 2] or [np.zeros(0, np.int64)])
-        n = strings[:, WIDTH].astype(np.int64)
+        (_, n, *_), (first, count, item) = c.items(codes, buckets)
+        best, filled = np.empty(n.sum(), np.int64), 0
+        for k, _, m in sorted(back):
+            if k == 2:
+                (got,) = unpack(m)
+                best[filled : filled + len(got)] = got
+                filled += len(got)
+        if filled != len(best):
+            raise RuntimeError(f"{filled} answers for {len(best)} windows")
         base = np.cumsum(n) - n
-        steps = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        at = np.repeat(first, count) + steps
-        gone = best[np.repeat(base[item], count) + steps] < u.ids[np.searchsorted(u.offsets, at, "right") - 1]
-        edge = np.zeros(len(u.data) + SPAN + 1, np.int32)
-        np.add.at(edge, at[gone], 1)
-        np.add.at(edge, at[gone] + SPAN, -1)
-        covered = np.cumsum(edge)[: len(u.data)] > 0
+        edge = np.zeros(len(u.data) + SPAN + 1, np.int8)  # a window occurs once, and at most SPAN cover a byte
+        for lo in range(0, len(first), ROWS):
+            own = count[lo : lo + ROWS]
+            at = _runs(first[lo : lo + ROWS], own)
+            at = at[best[_runs(base[item[lo : lo + ROWS]], own)] < u.ids[np.searchsorted(u.offsets, at, "right") - 1]]
+            edge[at] += 1
+            edge[at + SPAN] -= 1
+        covered = np.cumsum(edge, dtype=np.int8)[: len(u.data)] > 0
         ids, size, removed, spans, digest, where = u.doc_ids(), [], [], [], [], []
         for lo, hi in zip(u.offsets[:-1], u.offsets[1:], strict=True):
             mask = covered[lo:hi]
@@ -432,7 +472,7 @@ _RESULT_ARROW = (
 
 def dedup_substrings(docs: DataFrame, mb: float = 6.0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte ranges, for each row of docs."""
-    units, buckets = unit_table(docs, mb)
+    units, buckets = unit_table(docs, mb, MOST)
     by_unit = units.groupBy("unit")
     codes = answer(by_unit.applyInArrow(_send_keys(buckets), MESSAGE), _reply_keys)
     items = by_unit.cogroup(codes.groupBy("unit")).applyInArrow(_send_items(buckets), MESSAGE)

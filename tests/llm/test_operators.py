@@ -1,15 +1,17 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from packframe.llm import chat, decontaminate, distance, graph, lines, lm, minhash, mixing, quality, sharding, suffix_dedup, urls
+from packframe.llm import chat, decontaminate, distance, graph, lines, lm, minhash, mixing, quality, sharding, suffix_dedup, units, urls
 from packframe.llm.distance import edit_distances
 from tests.conftest import SMALL
 from tests.llm import brute
@@ -77,6 +79,43 @@ def test_suffix_sort_orders_and_survives_collisions(monkeypatch):
     assert [raw[i] for i in order] == sorted(raw)
 
 
+def test_suffix_dedup_memory_of_a_unit_and_a_bucket():
+    """Two units that share all their text, slice by slice or but for a byte: no step holds more than 80 bytes for a byte of text (it was 194)."""
+    size, draw = 1_000_000, np.random.default_rng(5)
+    texts = [draw.integers(97, 123, size // 50, dtype=np.uint8).tobytes() for _ in range(50)]
+    near = [t[:-1] if i % 2 else t[:700] + b"!" + t[700:] for i, t in enumerate(texts)]
+
+    def unit(ids, own):
+        zero = np.zeros(len(own), np.int64)
+        packed = units.pack(zero.astype(np.uint8), np.array(ids), zero, zero.astype(np.uint8), np.array([len(t) for t in own]), np.frombuffer(b"".join(own), np.uint8))
+        return pa.table({"docs": pa.array([packed], pa.binary())})
+
+    def told(pairs):
+        return pa.table({"bucket": pa.array([0] * len(pairs), pa.int32()), "kind": pa.array([k for k, _ in pairs], pa.int32()), "message": pa.array([m for _, m in pairs], pa.binary())})
+
+    def step(f):
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        out = f()
+        assert tracemalloc.get_traced_memory()[1] - before < 80 * size
+        return out
+
+    both = [unit(range(50), texts), unit(range(50, 100), near)]
+    key = [(pa.scalar(u),) for u in range(2)]
+    tracemalloc.start()
+    try:
+        keys = [step(lambda: suffix_dedup._send_keys(1)(key[u], both[u])) for u in range(2)]
+        codes = {u: m for u, _, m in suffix_dedup._reply_keys([(u, 0, t["message"][0].as_py()) for u, t in enumerate(keys)])}
+        items = [step(lambda: suffix_dedup._send_items(1)(key[u], both[u], told([(1, codes[u])]))) for u in range(2)]
+        got = [(u, k, m) for u, t in enumerate(items) for k, m in zip(t["kind"].to_pylist(), t["message"].to_pylist())]
+        back = step(lambda: list(suffix_dedup._reply_items(got)))
+        out = [step(lambda: suffix_dedup._finish(1, False)(key[u], both[u], told([(k, m) for v, k, m in back if v == u]))) for u in range(2)]
+    finally:
+        tracemalloc.stop()
+    assert out[0]["n_removed"].to_pylist() == [0] * 50
+    assert out[1]["n_removed"].to_pylist() == [len(t) - (i % 2 == 0) for i, t in enumerate(near)]
+
+
 @pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
 def test_near_duplicates(docs, rows, none, size, percent):
     got = minhash.near_duplicates(docs, size, percent, block=8).collect()
