@@ -8,8 +8,8 @@ parts, and a bucket finds the pairs within the block's radius. All distinct line
 near SimHash's. Candidates are verified: the edit distance of the normalised lines must be at most 20 % of the longer one. Of each connected group the first
 occurrence stays (by doc_id, then the text's hash, then line); every other line goes. Pairs that are 80 % alike beyond the two limits are missed.
 
-Candidates are verified in two rounds, so that m lines close to each other don't make m squared pairs: first each line against one partner (the one with the
-least hash, so a group's lines meet the same partner); then, among lines that have a partner, every candidate pair that isn't connected yet. Equal lines are one from the start
+Candidates are verified in two rounds, so that m lines close to each other don't make m squared pairs: first each line against two partners (the one with the
+least hash, so a group's lines meet the same partner, and the nearest by its SimHashes); then, among lines that have a partner, every candidate pair that isn't connected yet. Equal lines are one from the start
 (aggregated before the shuffle). Rows of hot lines (over 1/1024 of all lines each) are answered by a broadcast of those lines, 1024 at most, and aren't shuffled.
 
 A row of docs is known by a number of its own, so rows that share a doc_id, or have none, have each their own lines.
@@ -248,24 +248,30 @@ def _deal(blocks: int, limit: int, bits: int, rows: int = 1 << 18):
 
 
 def _compare(blocks: int, limit: int, second: int, percent: int, first: bool):
-    """Candidate pairs of a bucket: in the first round each line (a) with its partner of least hash (b), else all pairs of different labels, the greater first."""
+    """Candidate pairs of a bucket: in the first round each line (a) with its partner of least hash (b) and its nearest one, by the bits that differ; else all pairs
+    of different labels, the greater first."""
 
     def run(key, rows):
         k, j = divmod(key[0].as_py() >> 32, limit)
         own, sim, length, more, label = (np.concatenate(x) for x in zip(*(unpack(m) for m in rows["message"].to_pylist()), strict=True))
-        found, best = [(own[:0], own[:0])], np.full(len(own), LAST)
+        found, best, nearest = [(own[:0], own[:0])], np.full(len(own), LAST), np.full(len(own), LAST)
+        by = np.argsort(own)
+        rank = np.empty(len(own), np.int64)
+        rank[by] = np.arange(len(own))
         for a, b in near_pairs(sim, length, k, j, blocks, limit, percent):
             near = np.bitwise_count(more[a] ^ more[b]) < second
             a, b = a[near], b[near]
             if first:
-                np.minimum.at(best, a, own[b])
-                np.minimum.at(best, b, own[a])
+                bits = (np.bitwise_count(sim[a] ^ sim[b]).astype(np.int64) + np.bitwise_count(more[a] ^ more[b])) << 40
+                for x, y in ((a, b), (b, a)):
+                    np.minimum.at(best, x, own[y])
+                    np.minimum.at(nearest, x, bits | rank[y])
             else:
                 apart = label[a] != label[b]
                 found.append((own[a[apart]], own[b[apart]]))
         if first:
             some = best < LAST
-            return pa.table({"a": pa.array(own[some]), "b": pa.array(best[some])})
+            return pa.table({"a": pa.array(own[some]), "b": pa.array(best[some]), "bits": pa.array(nearest[some] >> 40), "near": pa.array(own[by[nearest[some] & ((1 << 40) - 1)]])})
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
 
@@ -313,8 +319,10 @@ FAN = 256  # partners of a line that are verified in one task
 
 def _links(docs: DataFrame, kinds: DataFrame, dealt: DataFrame, compare, percent: int, n: int, first: bool) -> tuple[DataFrame, DataFrame]:
     """The candidate pairs of one round (a, b), and those that the edit distance confirms."""
-    pairs = dealt.groupBy("bucket").applyInArrow(compare, "a long, b long")
-    pairs = pairs.groupBy("a").agg(F.min("b").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) if first else pairs
+    pairs = dealt.groupBy("bucket").applyInArrow(compare, "a long, b long, bits long, near long" if first else "a long, b long")
+    if first:
+        best = pairs.groupBy("a").agg(F.min("b").alias("b"), F.min(F.struct("bits", "near"))["near"].alias("near"))
+        pairs = best.select("a", F.explode(F.array("b", "near")).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = cut(pairs.distinct(), "line-candidates")
     texts = _texts(docs, kinds, pairs)
     # a line with over 1/65536 of all pairs (so 65536 lines at most) is copied for every FAN of its partners, which are numbered by hash

@@ -608,6 +608,17 @@ def test_fuzzy_lines(spark, docs, none):
     assert lines.drop_lines(none).count() == 0
 
 
+def test_lines_meet_their_nearest_partner_first():
+    """The line of least hash is 8 and 7 bits from the others, which are 1 bit apart: the first round names both partners, so fewer pairs are left to the second."""
+    own, sim = np.array([50, 10, 60]), np.array([0, 0xFF, 1], np.uint64)
+    message = units.pack(own, sim, np.full(3, 40, np.int32), np.zeros(3, np.uint64), own)
+    got = []
+    for bucket in (k * lines.LIMIT + j << 32 for k in range(4) for j in range(3)):
+        got += lines._compare(4, lines.LIMIT, lines.SECOND, 80, True)((pa.scalar(bucket),), pa.table({"message": pa.array([message])})).to_pylist()
+    assert {a: min(r["b"] for r in got if r["a"] == a) for a in (10, 50, 60)} == {10: 50, 50: 10, 60: 10}
+    assert {a: min((r["bits"], r["near"]) for r in got if r["a"] == a) for a in (10, 50, 60)} == {10: (7, 60), 50: (1, 60), 60: (1, 50)}
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     one, two = "the unique line that nobody else has at all ever", "a line that is in both of these two texts here"
     _check_lines(spark, [(1, two + "\n" + one), (1, "more text of another kind that stands alone\n" + two), (None, one), (None, two + " again"), (None, "x")])
