@@ -4,8 +4,8 @@ A document's set: the distinct hashes of its shingles (words of the lower-cased
 Each permutation gives two signature values, the least and the greatest hash, so half as many hash evaluations fill a signature; 20 bands of
 4 values miss a pair at similarity 0.85 with probability 4e-7.
 
-Equal sets are one class, which stands for all its documents; a representative's text (found by doc_id and text hash) gives its full set. Classes that agree in a band
-are candidates, and links are confirmed on full sets in two rounds:
+Equal sets are one class, which stands for all its documents; a representative's text (found by doc_id and text hash) gives its full set where it is compared: texts that
+nobody compares aren't shuffled, and the others take less than their sets. Classes that agree in a band are candidates, and links are confirmed on full sets in two rounds:
 
 1. Each class is compared with the smallest class of each of its buckets. A bucket's head meets its members in tasks of at most 256, so most
    near copies connect here, with a comparison each.
@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packframe.llm.common import cut, join_hot, parts, table
+from packframe.llm.common import cut, join_hot, parts, sieve, table
 from packframe.llm.graph import components
 from packframe.llm.units import mix, texts_of, word_hashes
 
@@ -107,15 +107,10 @@ def _signatures(size: int, bands: int, rows: int):
     return run
 
 
-def _sets(size: int):
-    def run(batches):
-        for batch in batches:
-            data, offsets = texts_of(batch.column("text"))
-            for d, sets, off in shingle_sets(data, offsets, size):
-                packed = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer((off * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(sets))])
-                yield pa.RecordBatch.from_arrays([_long(_set_hash(sets, off)), packed.cast(pa.binary())], ["class", "items"])
-
-    return run
+def _sets(column, size: int):
+    """Yield each text's number and set, a run of documents at a time."""
+    for d, sets, off in shingle_sets(*texts_of(column), size):
+        yield range(d, d + len(off) - 1), [sets[lo:hi] for lo, hi in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
 
 def similar(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
@@ -127,32 +122,32 @@ def similar(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarr
     return 100 * common >= percent * (sizes + len(one) - common)
 
 
-def _with_heads(percent: int):
-    """Rows sorted by (head, salt, class is not the head): each head's set, then its members'."""
+def _with_heads(percent: int, size: int):
+    """Rows sorted by (head, salt, class is not the head): each head's text, then its members'."""
 
     def run(batches):
         now, own = None, None
         for batch in batches:
             out_a, out_b = [], []
             heads, salts, names = (batch.column(c).to_pylist() for c in ("head", "salt", "class"))
-            items = batch.column("items")
-            group: list[int] = []
 
-            def done(group, names=names, items=items, out_a=out_a, out_b=out_b):
+            def done(group, names=names, out_a=out_a, out_b=out_b):
                 if group and own is not None:
-                    good = similar(own, [np.frombuffer(items[i].as_py(), np.uint64) for i in group], percent)
-                    out_a.extend(names[i] for i, ok in zip(group, good.tolist(), strict=True) if ok)
+                    good = similar(own, [s for _, s in group], percent)
+                    out_a.extend(names[i] for (i, _), ok in zip(group, good.tolist(), strict=True) if ok)
                     out_b.extend([now[0]] * int(good.sum()))
 
-            for i, key in enumerate(zip(heads, salts, strict=True)):
-                if key != now:
-                    done(group)
-                    now, own, group = key, None, []
-                if names[i] == heads[i]:
-                    own = np.frombuffer(items[i].as_py(), np.uint64)
-                else:
-                    group.append(i)
-            done(group)
+            for at, sets in _sets(batch.column("text"), size):
+                group: list[tuple[int, np.ndarray]] = []
+                for i, items in zip(at, sets, strict=True):
+                    if (heads[i], salts[i]) != now:
+                        done(group)
+                        now, own, group = (heads[i], salts[i]), None, []
+                    if names[i] == heads[i]:
+                        own = items.copy()
+                    else:
+                        group.append((i, items))
+                done(group)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return run
@@ -190,7 +185,7 @@ def link(sets: list[np.ndarray], side: np.ndarray, percent: int, bands: int, row
     return out
 
 
-def _links(percent: int, bands: int, rows: int):
+def _links(percent: int, bands: int, rows: int, size: int):
     """Rows sorted by (comp, lo, hi); one such group at a time is held, two blocks at most."""
 
     def run(batches):
@@ -198,7 +193,7 @@ def _links(percent: int, bands: int, rows: int):
 
         def done(group):
             names = [r[1] for r in group]
-            got = link([np.frombuffer(r[3], np.uint64) for r in group], np.array([r[2] for r in group]), percent, bands, rows, np.array([r[4] for r in group])) if len(group) > 1 else []
+            got = link([r[3] for r in group], np.array([r[2] for r in group]), percent, bands, rows, np.array([r[4] for r in group])) if len(group) > 1 else []
             return [(names[i], names[j]) for i, j in got]
 
         def table_of(found):
@@ -207,13 +202,14 @@ def _links(percent: int, bands: int, rows: int):
 
         for batch in batches:
             found = []
-            cols = [batch.column(c).to_pylist() for c in ("comp", "lo", "hi", "class", "blk", "items", "label")]
-            for comp, lo, hi, name, blk, items, label in zip(*cols, strict=True):
-                if (comp, lo, hi) != held_key:
-                    found += done(held)
-                    held, held_key = [], (comp, lo, hi)
-                if not held or held[-1][1] != name:
-                    held.append((comp, name, blk, items, label))
+            comps, los, his, names, blks, labels = (batch.column(c).to_pylist() for c in ("comp", "lo", "hi", "class", "blk", "label"))
+            for at, sets in _sets(batch.column("text"), size):
+                for i, items in zip(at, sets, strict=True):
+                    if (comps[i], los[i], his[i]) != held_key:
+                        found += done(held)
+                        held, held_key = [], (comps[i], los[i], his[i])
+                    if not held or held[-1][1] != names[i]:
+                        held.append((comps[i], names[i], blks[i], items.copy(), labels[i]))
             yield table_of(found)
         yield table_of(done(held))
 
@@ -226,15 +222,16 @@ def _classes(sig: DataFrame) -> DataFrame:
     return sig.filter("n_shingles > 0").groupBy("class").agg(F.min(order).alias("rep"), F.first("n_shingles").alias("size"), F.count("*").alias("n"), F.first("bands").alias("bands"))
 
 
-def _set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(class, items) of the wanted classes, from their representatives' texts."""
-    rep = classes.join(wanted, "class").select("class", F.col("rep")["doc_id"].alias("r_doc"), F.col("rep")["key"].alias("r_key"))
+def _with_texts(docs: DataFrame, reps: DataFrame, to: DataFrame, total: int) -> DataFrame:
+    """The rows of to, by class, with their representatives' texts. Only about those texts are shuffled; to has total classes at most."""
+    to = cut(to.join(reps, "class"), "texts-wanted")
     own = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text"))
-    texts = own.join(rep, own["doc_id"].eqNullSafe(rep["r_doc"]) & (own["key"] == rep["r_key"])).select("text")  # equal rows give a set again, which the readers bear
-    return cut(texts.mapInArrow(_sets(size), "class long, items binary"), "shingle-sets")
+    own = sieve(own, to.select(F.col("r_doc").alias("doc_id"), F.col("r_key").alias("key")), ["doc_id", "key"], total)
+    # equal rows give a text again, which the readers bear
+    return own.join(to, own["doc_id"].eqNullSafe(to["r_doc"]) & (own["key"] == to["r_key"])).drop("doc_id", "key", "r_doc", "r_key")
 
 
-def _links_to_heads(member: DataFrame, heads: DataFrame, sets: DataFrame, percent: int, total: int, n: int) -> DataFrame:
+def _links_to_heads(docs: DataFrame, reps: DataFrame, member: DataFrame, heads: DataFrame, percent: int, total: int, n: int, shingle: int) -> DataFrame:
     """Round 1: confirmed links (a, b) of classes with their buckets' heads."""
     salts = F.ceil(F.col("n") / FAN).cast("int")
     met = join_hot(member, heads.withColumn("salts", salts), "bucket", "n", total)
@@ -242,12 +239,12 @@ def _links_to_heads(member: DataFrame, heads: DataFrame, sets: DataFrame, percen
     met = met.filter((F.col("class") != F.col("head")) & fits).groupBy("class", "head").agg(F.min(F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")).alias("salt"))
     met = cut(met, "head-pairs")
     copies = met.select("head", F.col("head").alias("class"), "salt").distinct()
-    both = met.unionByName(copies).join(sets, "class")
+    both = _with_texts(docs, reps, met.unionByName(copies), total)
     both = both.repartition(n, "head", "salt").sortWithinPartitions("head", "salt", F.col("class") != F.col("head"))
-    return cut(both.select("head", "salt", "class", "items").mapInArrow(_with_heads(percent), "a long, b long"), "head-links")
+    return cut(both.select("head", "salt", "class", "text").mapInArrow(_with_heads(percent, shingle), "a long, b long"), "head-links")
 
 
-def _links_in_groups(member: DataFrame, label: DataFrame, sets: DataFrame, percent: int, bands: int, rows: int, block: int, total: int, n: int) -> DataFrame | None:
+def _links_in_groups(docs: DataFrame, reps: DataFrame, member: DataFrame, label: DataFrame, percent: int, bands: int, rows: int, block: int, total: int, n: int, shingle: int) -> DataFrame | None:
     """Round 2: confirmed links (a, b) among classes of buckets that have members of different labels; None without such buckets."""
     told = member.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
     mixed = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("class").alias("head"), F.count("*").alias("n")).filter("low < high")
@@ -258,10 +255,10 @@ def _links_in_groups(member: DataFrame, label: DataFrame, sets: DataFrame, perce
     near = cut(group.join(left.select(F.col("class").alias("node"), "label").distinct(), "node"), "candidate-groups")
     blocks = near.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blk"))
     placed = near.join(blocks, "root").select(F.col("node").alias("class"), F.col("root").alias("comp"), "label", "n_blk", F.pmod(F.xxhash64("node"), F.col("n_blk")).cast("int").alias("blk"))
-    pairs = placed.join(sets, "class").select("*", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)).alias("other"))
-    pairs = pairs.select("comp", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "class", "blk", "label", "items")
+    pairs = _with_texts(docs, reps, placed, total).select("*", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)).alias("other"))
+    pairs = pairs.select("comp", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "class", "blk", "label", "text")
     pairs = pairs.repartition(n, "comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi", "class")
-    return cut(pairs.mapInArrow(_links(percent, bands, rows), "a long, b long"), "confirmed-links")
+    return cut(pairs.mapInArrow(_links(percent, bands, rows, shingle), "a long, b long"), "confirmed-links")
 
 
 def _labelled(docs: DataFrame, size: int, percent: int, bands: int, rows: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -273,12 +270,12 @@ def _labelled(docs: DataFrame, size: int, percent: int, bands: int, rows: int, b
     heads = member.groupBy("bucket").agg(F.min(F.struct("class", "size")).alias("h"), F.count("*").alias("n")).filter("n > 1")
     heads = cut(heads.select("bucket", F.col("h.class").alias("head"), F.col("h.size").alias("head_size"), "n"), "bucket-heads")
     total = max(1, heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    member = cut(join_hot(member, heads.select("bucket", "n"), "bucket", "n", total).drop("n"), "bucket-members")
+    member = cut(join_hot(sieve(member, heads, ["bucket"], total // 2), heads.select("bucket", "n"), "bucket", "n", total).drop("n"), "bucket-members")
     n = parts(docs, 6.0)
-    sets = _set_table(docs, classes, member.select("class").distinct(), size)
-    links = _links_to_heads(member, heads, sets, percent, total, n)
+    reps = classes.select("class", F.col("rep")["doc_id"].alias("r_doc"), F.col("rep")["key"].alias("r_key"))
+    links = _links_to_heads(docs, reps, member, heads, percent, total, n, size)
     same = components(links)
-    more = _links_in_groups(member, same.select(F.col("node").alias("class"), F.col("root").alias("label")), sets, percent, bands, rows, block, total, n)
+    more = _links_in_groups(docs, reps, member, same.select(F.col("node").alias("class"), F.col("root").alias("label")), percent, bands, rows, block, total, n, size)
     same = same if more is None else components(links.unionByName(more))
     found = same.join(classes.select(F.col("class").alias("node"), "rep"), "node")
     lead = found.groupBy("root").agg(F.min("rep").alias("lead"), F.count("*").alias("n"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from packframe.llm import chat, decontaminate, distance, graph, lines, lm, minhash, mixing, quality, sharding, suffix_dedup, units, urls
+from packframe.llm import chat, common, decontaminate, distance, graph, lines, lm, minhash, mixing, quality, sharding, suffix_dedup, units, urls
 from packframe.llm.distance import edit_distances
 from tests.conftest import SMALL
 from tests.llm import brute
@@ -459,6 +459,32 @@ def test_near_duplicates_in_rounds(spark):
     assert sorted(tuple(r)[:3] for r in got) == brute.near(made, 3, 85)
 
 
+def test_near_duplicates_shuffle_only_the_texts_they_compare(spark):
+    g = random.Random(5)
+    made = [(i, " ".join(str(g.randrange(10**9)) for _ in range(3000))) for i in range(100)]
+    made += [(1000 + i, t + " more") for i, t in made[:5]] + [(None, made[7][1] + " more")]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    written = lambda: (lambda x: sum(x.apply(i).shuffleWriteBytes() for i in range(x.size())))(stages())
+    before, held = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = minhash.near_duplicates(df, 3, 85).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert sorted((tuple(r)[:3] for r in got), key=str) == sorted([(i, 2998, i) for i in range(100)] + [(1000 + i, 2999, i) for i in range(5)] + [(None, 2999, 7)], key=str)
+    assert written() - before < 0.8 * sum(len(t) for _, t in made)
+
+
+def test_sieve_lets_all_wanted_rows_pass(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("doc_id"), (F.col("id") % 13).alias("key"))
+    found = rows.filter("key = 3 or doc_id is null")
+    for n in (1, 4000):
+        got, want = Counter(tuple(r) for r in common.sieve(rows, found, ["doc_id", "key"], n).collect()), Counter(tuple(r) for r in found.collect())
+        assert want <= got and got.total() < 1.1 * want.total()
+    assert common.sieve(rows, rows.filter("false"), ["key"], 0).count() == 0
+
+
 def test_trees_learn_and_obey_their_signs():
     g = np.random.default_rng(3)
     x = g.normal(size=(2000, 3))
