@@ -106,6 +106,27 @@ def within(a: str, b: str, limit: int) -> bool:
     return d <= limit
 
 
+REACH = 6
+
+
+def at_most(a: str, b: str, limit: int) -> int:
+    """A number of edits that make a into b, not always the least: words are aligned from the left, each time with the nearest equal ones ahead, and what lies between is
+    replaced. Beyond limit, or where no word ahead is equal, some number above limit."""
+    x, y = a.split(" "), b.split(" ")
+    i = j = cost = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        ahead = ((s, d - s) for d in range(1, 2 * REACH + 1) for s in range(max(0, d - REACH), min(d, REACH) + 1))
+        s, t = next(((s, t) for s, t in ahead if i + s < len(x) and j + t < len(y) and x[i + s] == y[j + t]), (len(x) - i, len(y) - j))
+        cost += max(sum(map(len, x[i : i + s])) + s, sum(map(len, y[j : j + t])) + t)  # a word and its space
+        if cost > limit:
+            return cost
+        i, j = i + s, j + t
+    return cost + max(sum(map(len, x[i:])) + len(x) - i, sum(map(len, y[j:])) + len(y) - j)
+
+
 BLOCK = np.uint64(63)
 CLASSES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)  # blocks of patterns that are computed together
 
@@ -148,7 +169,7 @@ def _together(flat: np.ndarray, m: np.ndarray, n: np.ndarray, symbols: int) -> n
 
 
 def all_within(left: list[str], right: list[str], limits: list[int], long: int = 2048, cells: int = 1 << 21) -> list[bool]:
-    """within() for many pairs: what is left of short ones, after their common start and end, is computed together."""
+    """within() for many pairs: near copies are seen word by word; what is left of the others, if they are short, is computed together after their common start and end."""
     out: list[bool | None] = [None] * len(left)
     rest: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
     for i, (a, b, limit) in enumerate(zip(left, right, limits, strict=True)):
@@ -158,6 +179,8 @@ def all_within(left: list[str], right: list[str], limits: list[int], long: int =
         x, y = sorted((x[: len(x) - end], y[: len(y) - end]), key=len)
         if len(y) <= limit or len(y) - len(x) > limit or not x:
             out[i] = len(y) <= limit  # y is the longer one: so many substitutions and insertions do
+        elif at_most(x, y, limit) <= limit:
+            out[i] = True
         elif len(y) > long:
             out[i] = within(a, b, limit)
         else:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packframe.llm.common import cut, join_hot, parts, table
+from packframe.llm.common import cut, join_hot, parts, sieve, table
 from packframe.llm.distance import all_within
 from packframe.llm.graph import components
 from packframe.llm.units import mix, pack, slices, texts_of, unpack, word_hashes
@@ -305,34 +305,38 @@ def _pick():
 
 
 def _texts(docs: DataFrame, kinds: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(hash, line) of the lines in pairs, from the rows where they occur first."""
+    """(hash, line) of the lines in pairs, from the rows where they occur first; other rows aren't shuffled."""
     wanted = pairs.select(F.col("a").alias("hash")).unionByName(pairs.select(F.col("b").alias("hash"))).distinct()
     wanted = kinds.join(wanted, "hash").select(F.col("first")["doc_id"].alias("w_doc"), F.col("first")["key"].alias("w_key"), F.struct("hash", F.col("first")["number"].alias("number")).alias("w"))
-    wanted = wanted.groupBy("w_doc", "w_key").agg(F.collect_list("w").alias("wanted"))
+    wanted = cut(wanted.groupBy("w_doc", "w_key").agg(F.collect_list("w").alias("wanted")), "wanted-lines")
     own = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text"))
+    own = sieve(own, wanted.select(F.col("w_doc").alias("doc_id"), F.col("w_key").alias("key")), ["doc_id", "key"], wanted.count())
     texts = own.join(wanted, own["doc_id"].eqNullSafe(wanted["w_doc"]) & (own["key"] == wanted["w_key"])).select("text", "wanted").mapInArrow(_pick(), "hash long, line string")
     return cut(texts.groupBy("hash").agg(F.min("line").alias("line")), "candidate-lines")  # equal rows give a line twice
 
 
 FAN = 256  # partners of a line that are verified in one task
+CHECKS = 1024  # pairs that are verified in one task at least, if there are so many: those of like length are computed together
 
 
-def _links(docs: DataFrame, kinds: DataFrame, dealt: DataFrame, compare, percent: int, n: int, first: bool) -> tuple[DataFrame, DataFrame]:
-    """The candidate pairs of one round (a, b), and those that the edit distance confirms."""
+def _links(docs: DataFrame, kinds: DataFrame, dealt: DataFrame, compare, percent: int, n: int, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The candidate pairs of one round (a, b), those that the edit distance confirms, and the lines' texts: the first round's, which the second is given, as its lines are among them."""
+    first = texts is None
     pairs = dealt.groupBy("bucket").applyInArrow(compare, "a long, b long, bits long, near long" if first else "a long, b long")
     if first:
         best = pairs.groupBy("a").agg(F.min("b").alias("b"), F.min(F.struct("bits", "near"))["near"].alias("near"))
         pairs = best.select("a", F.explode(F.array("b", "near")).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = cut(pairs.distinct(), "line-candidates")
-    texts = _texts(docs, kinds, pairs)
+    size = pairs.count()
+    texts = _texts(docs, kinds, pairs) if first else texts
     # a line with over 1/65536 of all pairs (so 65536 lines at most) is copied for every FAN of its partners, which are numbered by hash
-    many = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("salts", F.when(F.col("n") * 65536 > pairs.count(), F.ceil(F.col("n") / FAN)).otherwise(1).cast("int"))
+    many = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("salts", F.when(F.col("n") * 65536 > size, F.ceil(F.col("n") / FAN)).otherwise(1).cast("int"))
     hot = F.broadcast(many.filter("salts > 1").select("b", "salts"))
     left = pairs.join(hot, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")), F.lit(0)).cast("int").alias("salt"))
     left = left.join(texts.select(F.col("hash").alias("a"), F.col("line").alias("ta")), "a")
     right = texts.withColumnRenamed("hash", "b").join(many, "b").select("b", F.col("line").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    sided = left.join(right, ["b", "salt"]).select("a", "b", "ta", "tb").repartition(n)  # few bytes, much work
-    return pairs, cut(sided.mapInArrow(_verify(percent), "a long, b long"), "line-links")
+    sided = left.join(right, ["b", "salt"]).select("a", "b", "ta", "tb").repartition(min(n, size // CHECKS + 1))  # few bytes, much work
+    return pairs, cut(sided.mapInArrow(_verify(percent), "a long, b long"), "line-links"), texts
 
 
 def _removed(docs: DataFrame, min_words: int, percent: int, blocks: int, limit: int, second: int) -> tuple[DataFrame, DataFrame]:
@@ -346,11 +350,11 @@ def _removed(docs: DataFrame, min_words: int, percent: int, blocks: int, limit:
     bits = min(6, (lines >> 15).bit_length())  # lines of a bucket; more buckets than the parts' values allow there can't be
     deal = lambda x: x.select("hash", "sim", "length", "more", "label").mapInArrow(_deal(blocks, limit, bits), "bucket long, message binary")
     compare = lambda first: _compare(blocks, limit, second, percent, first)
-    tried, links = _links(docs, kinds, deal(kinds.withColumn("label", F.col("hash"))), compare(True), percent, n, True)
+    tried, links, texts = _links(docs, kinds, deal(kinds.withColumn("label", F.col("hash"))), compare(True), percent, n)
     near = tried.select(F.col("a").alias("hash")).unionByName(tried.select(F.col("b").alias("hash"))).distinct()
     root = components(links).select(F.col("node").alias("hash"), "root")
     again = kinds.join(near, "hash").join(root, "hash", "left").withColumn("label", F.coalesce("root", "hash"))
-    _, more = _links(docs, kinds, deal(again), compare(False), percent, n, False)
+    _, more, _ = _links(docs, kinds, deal(again), compare(False), percent, n, texts)
     same = components(links.unionByName(more)) if not more.isEmpty() else root.withColumnRenamed("hash", "node")
     member = same.join(kinds.select(F.col("hash").alias("node"), "first"), "node")
     lead = member.groupBy("root").agg(F.min("first").alias("lead"), F.count("*").alias("n"))

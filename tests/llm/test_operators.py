@@ -168,6 +168,25 @@ def test_within_is_the_edit_distance():
         assert distance._banded(p, t, max(d, len(t) - len(p)), span=3) == d
 
 
+def test_word_alignment_bounds_the_edit_distance(monkeypatch):
+    """It never says less than the edit distance; near copies are confirmed by it alone."""
+    g, near = random.Random(9), []
+    for _ in range(300):
+        a = [g.choice(("a", "bb", "cab", "", "dab", "x y")) for _ in range(g.randrange(0, 14))]
+        b = [w if g.random() < 0.7 else g.choice(("a", "e", "fgh")) for w in a if g.random() < 0.9] if g.random() < 0.8 else a[::-1]
+        a, b = " ".join(a), " ".join(b)
+        exact = int(edit_distances([np.frombuffer(a.encode(), np.uint8)], [np.frombuffer(b.encode(), np.uint8)])[0][0])
+        for limit in (0, 3, 10**6):
+            assert (found := distance.at_most(a, b, limit)) >= exact or found > limit
+        assert distance.all_within([a] * 2, [b] * 2, [exact, exact - 1]) == [True, False]
+    for k in range(40):
+        w = [f"{g.randrange(10**6)}" for _ in range(60)]
+        x = w[:10] + ["new", "words"] + w[10:30] + ["other"] + w[31:50] + w[52:]
+        near.append((" ".join(w), " ".join(x), 60))
+    monkeypatch.setattr(distance, "_together", None)
+    assert all(distance.all_within(*map(list, zip(*near, strict=True))))
+
+
 def test_decontamination_recall_and_exactness(spark, docs, none):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
