@@ -36,8 +36,10 @@ from packframe.llm.units import mix, pack, slices, texts_of, unpack, word_hashes
 U = np.uint64
 LAST = np.iinfo(np.int64).max
 LIMIT, SECOND = 12, 22  # 93 % of pairs that are 80 % alike differ in fewer bits (measured on sf0.1)
-STEPS = 16
-PAIRS = 1 << 16  # checked at a time; their arrays stay in the cache
+STEPS = 4
+PAIRS = 1 << 15  # checked at a time; their arrays stay in the cache
+DIRECT = 8  # partners of a value that are compared without a list of pairs
+SEGMENT = 1 << 17  # bytes of text hashed at a time, as above
 
 
 def _normal_table() -> np.ndarray:
@@ -50,7 +52,7 @@ def _normal_table() -> np.ndarray:
 
 
 NORMAL = _normal_table()
-SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+SILENT = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32, *range(0x80, 0xC0)])  # spaces, and bytes after a character's first
 
 
 def normal_words(line: str) -> list[bytes]:
@@ -62,11 +64,12 @@ LANE = 255
 
 
 def _distinct(h: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Whether each word is its line's first of its kind."""
+    """One word of each kind of a line."""
     key = mix(h ^ (line.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15))
-    order = np.argsort(key, kind="stable")
-    out = np.empty(len(key), bool)
-    out[order] = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    order = np.argsort(key)  # which of equal words comes first makes no difference
+    key = key[order]
+    out = np.ones(len(key), bool)
+    out[order[1:][key[1:] == key[:-1]]] = False
     return out
 
 
@@ -77,13 +80,15 @@ def simhash(features: np.ndarray, head: np.ndarray) -> np.ndarray:
     first = np.cumsum(pieces) - pieces
     at = np.repeat(head, pieces) + (np.arange(pieces.sum()) - np.repeat(first, pieces)) * LANE
     votes = np.empty((len(at), 8), np.uint64)
-    raw = features.view(np.uint8).reshape(-1, 8)
+    raw = np.ascontiguousarray(features.view(np.uint8).reshape(-1, 8).T)
     for c in range(8):
-        votes[:, c] = np.add.reduceat(_LANES[raw[:, c]], at)
-    count = votes.view(np.uint8)
+        votes[:, c] = np.add.reduceat(_LANES[raw[c]], at)
+    count, half = votes.view(np.uint8), size >> 1
     if len(at) > len(head):
         count = np.add.reduceat(count, first, axis=0, dtype=np.int32)
-    return np.packbits(count.astype(np.int32) * 2 > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    else:
+        half = half.astype(np.uint8)
+    return np.packbits(count > half[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def line_hashes(data: np.ndarray, offsets: np.ndarray, min_words: int):
@@ -93,17 +98,17 @@ def line_hashes(data: np.ndarray, offsets: np.ndarray, min_words: int):
     n_lines = np.bincount(owner, minlength=len(offsets) - 1) + (np.diff(offsets) > 0)
     starts = np.sort(np.concatenate([offsets[:-1][np.diff(offsets) > 0], (breaks + 1)[breaks + 1 < offsets[owner + 1]]]))
     edges = np.append(starts, len(data))
-    plain = NORMAL[data]
-    chars = np.concatenate([[0], np.cumsum(((plain & 0xC0) != 0x80) & ~SPACES[plain])])
+    plain = np.frombuffer(data.tobytes().translate(NORMAL.tobytes()), np.uint8)
+    chars = edges - np.searchsorted(np.flatnonzero(np.frombuffer(plain.tobytes().translate(SILENT.tobytes()), bool)), edges)  # before each edge
     out = []
-    for d, e, h, line in word_hashes(plain, edges, fold=False) if len(starts) else ():
-        many = np.bincount(line - d, minlength=e - d) >= min_words
-        keep = many[line - d]
-        h, line = h[keep], line[keep]
-        if not len(h):
+    for d, e, h, line in word_hashes(plain, edges, fold=False, segment=SEGMENT) if len(starts) else ():
+        size = np.bincount(line - d, minlength=e - d)
+        many = np.flatnonzero(size >= min_words)
+        if not len(many):
             continue
-        head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-        size = np.diff(np.append(head, len(h)))
+        keep = np.repeat(size >= min_words, size)
+        h, line, size = h[keep], line[keep], size[many]
+        head = np.cumsum(size) - size
         own = mix(np.add.reduceat(mix(h + (np.arange(len(h)) - np.repeat(head, size)).astype(np.uint64) * U(0x9E3779B97F4A7C15)), head) + size.astype(np.uint64))
         pairs = np.append(mix(h[:-1] * U(0xD6E8FEB86659FD93) + h[1:]), U(0))
         pairs[head + size - 1] = h[head + size - 1]  # the last word has no pair
@@ -113,7 +118,7 @@ def line_hashes(data: np.ndarray, offsets: np.ndarray, min_words: int):
     which, own, sim, size, more = (np.concatenate([o[i] for o in out] or [np.zeros(0, t)]) for i, t in enumerate((np.int64, U, U, np.int64, U)))
     doc = np.searchsorted(offsets, starts[which], "right") - 1
     first = np.searchsorted(breaks, offsets[:-1], "left")
-    return doc, np.searchsorted(breaks, starts[which], "left") - first[doc], own, sim, n_lines, chars[edges[which + 1]] - chars[edges[which]] + size - 1, more
+    return doc, np.searchsorted(breaks, starts[which], "left") - first[doc], own, sim, n_lines, chars[which + 1] - chars[which] + size - 1, more
 
 
 SCAN = "row long, doc_id long, key long, number int, hash long, sim long, length int, more long"
@@ -135,9 +140,9 @@ def _scan(min_words: int):
     return run
 
 
-def _some_mb(batch: pa.RecordBatch, size: int = 4 << 20):
+def _some_mb(batch: pa.RecordBatch, size: int = 4 << 20, column: str = "text"):
     """The batch in slices of about size bytes of text, for the arrays over all bytes to stay small."""
-    _, offsets = texts_of(batch.column("text"))
+    _, offsets = texts_of(batch.column(column))
     lo = 0
     while lo < len(batch):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
@@ -172,41 +177,89 @@ def near_pairs(sim: np.ndarray, length: np.ndarray, k: int, j: int, blocks: int,
     its radius and part j the first of it that agrees. So all (k, j) together yield each pair once."""
     spans = _spans(blocks, limit)
     lo, hi, radius, parts_ = spans[k]
-    # finer length classes than percent: a partner no longer than a line is in the line's class or one of STEPS before it, or one more by rounding
-    kind = np.floor(np.log(np.maximum(length, 1)) * (STEPS / np.log(100 / max(1, min(percent, 99))))).astype(np.int64) + STEPS + 1
+    # finer length classes than percent: a partner is in the line's class or one of STEPS before or after it, or one more by rounding
+    length = length.astype(np.int64)
+    kind = np.floor(np.log(np.maximum(length, 1)) * (STEPS / np.log(100 / max(1, min(percent, 99))))).astype(np.int64)
+    if len(kind):  # the shortest and the longest few are one class each, for a small table
+        least, most = np.partition(kind, (few := len(kind) // 64, len(kind) - 1 - few))[[few, len(kind) - 1 - few]]
+        kind = np.clip(kind, least, most) - least
     kinds = int(kind.max(initial=0)) + 1
     value = _block(sim, lo, hi).astype(np.int64)
-    names, value = np.unique(value, return_inverse=True)
-    order = np.lexsort((length, kind, value))
-    sim, length, kind, value = sim[order], length[order].astype(np.int64), kind[order], value[order]
-    at = np.zeros(len(names) * kinds + 1, np.int64)
-    np.cumsum(np.bincount(value * kinds + kind, minlength=len(names) * kinds), out=at[1:])
-    where = np.full(1 << (hi - lo), -1, np.int64)
+    order = np.argsort(value << 40 | length)
+    sim, length, kind, value = sim[order], length[order], kind[order], value[order]
+    names = np.flatnonzero(np.bincount(value, minlength=1 << (hi - lo)))
+    where = np.full(1 << (hi - lo), len(names), np.int64)
     where[names] = np.arange(len(names))
-    for m in _masks(lo, hi, radius, tuple(parts_), j):
-        to = where[names ^ m][value]
-        mine = np.flatnonzero(to >= 0)
-        cell = to[mine] * kinds + kind[mine]
-        begin, end = at[cell - STEPS - 1], at[cell + 1]
-        size = (end - begin).astype(np.int32)
-        ends = np.cumsum(size, dtype=np.int64)
-        shift, own = (begin - ends + size).astype(np.int32), sim[mine]
+    line = where[value]
+    at = np.zeros(len(names) * kinds + 1, np.int64)
+    np.cumsum(np.bincount(line * kinds + kind, minlength=len(names) * kinds), out=at[1:])
+    # the lines of a value whose lengths may do for a class: the first << 32 | their number
+    row, col = np.arange(len(names))[:, None] * kinds, np.arange(kinds)
+    window = np.zeros((len(names) + 1, kinds), np.int64)
+    begin = at[row + np.maximum(col - STEPS - 1, 0)]
+    window[:-1] = begin << 32 | at[row + np.minimum(col + STEPS + 2, kinds)] - begin
+    window = window.ravel()
+
+    def good(m, hits):
+        a, b = (np.concatenate(x) for x in zip(*hits, strict=True))
+        later = (length[b] > length[a]) | (length[b] == length[a]) & (b > a)
+        if m:
+            a, b, some = np.where(later, b, a), np.where(later, a, b), True
+        else:
+            some = ~later & (a != b)
+        some = some & (length[a] - length[b] <= (100 - percent) * length[a] // 100)
+        x = sim[a] ^ sim[b]
+        for e in range(k):
+            some &= np.bitwise_count(_block(x, *spans[e][:2])) > spans[e][2]
+        return order[a[some]], order[b[some]]
+
+    ahead = np.append(sim, np.zeros(DIRECT, U))
+    top = -1
+    for m in sorted(_masks(lo, hi, radius, tuple(parts_), j)):
+        if m.bit_length() != top:  # of two values that differ by m, the one without its highest bit asks
+            top = m.bit_length()
+            half = np.flatnonzero(value >> (top - 1) & 1 == 0) if m else np.arange(len(sim))
+            own, own_line, own_kind = sim[half], line[half], kind[half]
+        cell = (where[names ^ m] * kinds)[own_line]
+        cell += own_kind
+        size = window[cell]
+        first = size >> 32
+        size &= 0xFFFFFFFF
+        hits, n_hits = [], 0
+        for t in range(DIRECT):  # most windows are small: their lines are compared without a list of pairs
+            x = ahead[t:][first]
+            x ^= own
+            some = np.flatnonzero(np.bitwise_count(x) < limit)
+            some = some[size[some] > t]
+            if len(some):
+                hits.append((half[some], first[some] + t))
+                n_hits += len(some)
+                if n_hits > PAIRS:
+                    yield good(m, hits)
+                    hits, n_hits = [], 0
+        rest = np.flatnonzero(size > DIRECT)
+        size = size[rest] - DIRECT
+        ends = np.cumsum(size)
+        shift, mine, bits = first[rest] + DIRECT - ends + size, half[rest], own[rest]
         done = 0
-        while done < len(mine):
-            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS, "right")))
-            n, first = size[done:upto], int(ends[done - 1]) if done else 0
+        while done < len(rest):
+            begin = int(ends[done - 1]) if done else 0
+            upto = max(done + 1, int(np.searchsorted(ends, begin + PAIRS, "right")))
+            n = size[done:upto]
             b = np.repeat(shift[done:upto], n)
-            b += np.arange(first, first + len(b), dtype=np.int32)
-            x = np.repeat(own[done:upto], n)
+            b += np.arange(begin, begin + len(b))
+            x = np.repeat(bits[done:upto], n)
             x ^= sim[b]
             some = np.flatnonzero(np.bitwise_count(x) < limit)
             if len(some):
-                a, b, x = mine[done:upto][np.searchsorted(ends[done:upto], some + first, "right")], b[some].astype(np.int64), x[some]
-                good = ((length[b] < length[a]) | (length[b] == length[a]) & (b < a)) & (length[a] - length[b] <= (100 - percent) * length[a] // 100)
-                for e in range(k):
-                    good &= np.bitwise_count(_block(x, *spans[e][:2])) > spans[e][2]
-                yield order[a[good]], order[b[good]]
+                hits.append((mine[done:upto][np.searchsorted(ends[done:upto], some + begin, "right")], b[some]))
+                n_hits += len(some)
+                if n_hits > PAIRS:
+                    yield good(m, hits)
+                    hits, n_hits = [], 0
             done = upto
+        if hits:
+            yield good(m, hits)
 
 
 def close_pairs(sim: np.ndarray, k: int, blocks: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -225,18 +278,19 @@ def _deal(blocks: int, limit: int, bits: int, rows: int = 1 << 18):
     sides = [(k, j, part[0], min(part[1], part[0] + bits)) for k, span in enumerate(_spans(blocks, limit)) for j, part in enumerate(span[3])]
 
     def send(held):
-        own, sim, length, more, label = (np.concatenate(x) for x in zip(*held, strict=True))
-        out = []
+        held, out = [np.concatenate(x) for x in zip(*held, strict=True)], []
+        sim = held[1]
         for k, j, lo, hi in sides:
-            to = _block(sim, lo, hi).astype(np.int64)
-            order = np.lexsort((sim, to))
-            out += [((k * limit + j) << 32 | v, pack(*(x[order[a:b]] for x in (own, sim, length, more, label)))) for v, a, b in slices(to[order], 1 << (hi - lo))]
+            to = _block(sim, lo, hi).astype(np.uint16)
+            order = np.argsort(to, kind="stable")
+            cols = [x[order] for x in held]
+            out += [((k * limit + j) << 32 | v, pack(*(x[a:b] for x in cols))) for v, a, b in slices(to[order], 1 << (hi - lo))]
         return pa.RecordBatch.from_arrays([pa.array([f[0] for f in out], pa.int64()), pa.array([f[1] for f in out], pa.binary())], ["bucket", "message"])
 
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False).view(t) for c, t in (("hash", np.int64), ("sim", U), ("length", np.int32), ("more", U), ("label", np.int64))))
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False).view(t) for c, t in (("hash", np.int64), ("sim", U), ("length", np.int32), ("more", U), ("label", np.int64)) if c in batch.schema.names))
             n += len(batch)
             if n >= rows:
                 yield send(held)
@@ -248,12 +302,12 @@ def _deal(blocks: int, limit: int, bits: int, rows: int = 1 << 18):
 
 
 def _compare(blocks: int, limit: int, second: int, percent: int, first: bool):
-    """Candidate pairs of a bucket: in the first round each line (a) with its partner of least hash (b) and its nearest one, by the bits that differ; else all pairs
+    """Candidate pairs of a bucket (whose messages have labels in the second round only): in the first round each line (a) with its partner of least hash (b) and its nearest one, by the bits that differ; else all pairs
     of different labels, the greater first."""
 
     def run(key, rows):
         k, j = divmod(key[0].as_py() >> 32, limit)
-        own, sim, length, more, label = (np.concatenate(x) for x in zip(*(unpack(m) for m in rows["message"].to_pylist()), strict=True))
+        own, sim, length, more, *label = (np.concatenate(x) for x in zip(*(unpack(m) for m in rows["message"].to_pylist()), strict=True))
         found, best, nearest = [(own[:0], own[:0])], np.full(len(own), LAST), np.full(len(own), LAST)
         by = np.argsort(own)
         rank = np.empty(len(own), np.int64)
@@ -267,7 +321,7 @@ def _compare(blocks: int, limit: int, second: int, percent: int, first: bool):
                     np.minimum.at(best, x, own[y])
                     np.minimum.at(nearest, x, bits | rank[y])
             else:
-                apart = label[a] != label[b]
+                apart = label[0][a] != label[0][b]
                 found.append((own[a[apart]], own[b[apart]]))
         if first:
             some = best < LAST
@@ -280,7 +334,7 @@ def _compare(blocks: int, limit: int, second: int, percent: int, first: bool):
 
 def _verify(percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _some_mb(whole, column="ta")):
             a, b = ([x or "" for x in batch.column(c).to_pylist()] for c in ("ta", "tb"))
             good = all_within(a, b, [(100 - percent) * max(len(x), len(y)) // 100 for x, y in zip(a, b, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -316,7 +370,7 @@ def _texts(docs: DataFrame, kinds: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 FAN = 256  # partners of a line that are verified in one task
-CHECKS = 1024  # pairs that are verified in one task at least, if there are so many: those of like length are computed together
+CHECKS = 8192  # pairs that are verified in one task at least, if there are so many: those of like length are computed together
 
 
 def _links(docs: DataFrame, kinds: DataFrame, dealt: DataFrame, compare, percent: int, n: int, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -348,13 +402,13 @@ def _removed(docs: DataFrame, min_words: int, percent: int, blocks: int, limit:
     kinds = cut(each.groupBy("hash").agg(F.min(order).alias("first"), F.first("sim").alias("sim"), F.first("length").alias("length"), F.first("more").alias("more"), F.count("*").alias("n")), "distinct-lines")
     n, (total, lines) = parts(docs, 6.0), kinds.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bits = min(6, (lines >> 15).bit_length())  # lines of a bucket; more buckets than the parts' values allow there can't be
-    deal = lambda x: x.select("hash", "sim", "length", "more", "label").mapInArrow(_deal(blocks, limit, bits), "bucket long, message binary")
+    deal = lambda x, *label: x.select("hash", "sim", "length", "more", *label).mapInArrow(_deal(blocks, limit, bits), "bucket long, message binary")
     compare = lambda first: _compare(blocks, limit, second, percent, first)
-    tried, links, texts = _links(docs, kinds, deal(kinds.withColumn("label", F.col("hash"))), compare(True), percent, n)
+    tried, links, texts = _links(docs, kinds, deal(kinds), compare(True), percent, n)
     near = tried.select(F.col("a").alias("hash")).unionByName(tried.select(F.col("b").alias("hash"))).distinct()
     root = components(links).select(F.col("node").alias("hash"), "root")
     again = kinds.join(near, "hash").join(root, "hash", "left").withColumn("label", F.coalesce("root", "hash"))
-    _, more, _ = _links(docs, kinds, deal(again), compare(False), percent, n, texts)
+    _, more, _ = _links(docs, kinds, deal(again, "label"), compare(False), percent, n, texts)
     same = components(links.unionByName(more)) if not more.isEmpty() else root.withColumnRenamed("hash", "node")
     member = same.join(kinds.select(F.col("hash").alias("node"), "first"), "node")
     lead = member.groupBy("root").agg(F.min("first").alias("lead"), F.count("*").alias("n"))

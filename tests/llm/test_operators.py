@@ -187,6 +187,22 @@ def test_word_alignment_bounds_the_edit_distance(monkeypatch):
     assert all(distance.all_within(*map(list, zip(*near, strict=True))))
 
 
+def test_pairs_that_differ_are_refuted_together(monkeypatch):
+    """The work of refuted pairs, not only the answer: they aren't checked one by one, and word alignment is given up where it confirms nothing."""
+    g, calls = random.Random(4), Counter()
+    for name in ("within", "at_most"):
+        monkeypatch.setattr(distance, name, lambda *x, name=name, f=getattr(distance, name): calls.update([name]) or f(*x))
+    text = lambda n: "".join(g.choice("abcdefg  \u00e9") for _ in range(n))
+    left = [text(n) for n in range(1300, 1500, 2)] + [text(n) for n in range(100, 300)]
+    right = [x[k:] + x[:k] if i % 2 else "".join(c if g.random() < 0.8 else g.choice("xyz") for c in x) for i, x in enumerate(left) for k in (len(x) // 2,)]
+    codes = [[np.array([ord(c) for c in x], np.int64) for x in side] for side in (left, right)]
+    exact = edit_distances(*codes)[0].tolist()
+    assert distance.all_within(left, right, exact) == [True] * len(left)
+    calls.clear()
+    assert distance.all_within(left, right, [d - 1 for d in exact]) == [False] * len(left)
+    assert calls["within"] < len(left) // 4 and calls["at_most"] < len(left) // 2, calls
+
+
 def test_decontamination_recall_and_exactness(spark, docs, none):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
@@ -653,6 +669,25 @@ def test_fuzzy_lines(spark, docs, none):
     assert lines.drop_lines(none).count() == 0
 
 
+def test_near_pairs_against_all_pairs():
+    """Each pair of a bucket once, the longer line first; a first-round message has no labels, which would be the lines' hashes again."""
+    g = np.random.default_rng(8)
+    sim = g.integers(0, 1 << 63, 12, np.uint64)[g.integers(0, 12, 900)]
+    for _ in range(7):
+        sim ^= np.uint64(1) << g.integers(0, 64, 900).astype(np.uint64)
+    length = np.where(g.random(900) < 0.9, g.integers(60, 90, 900), g.integers(1, 4000, 900)).astype(np.int32)
+    got = [(int(a), int(b)) for k in range(4) for j in range(3) for x, y in lines.near_pairs(sim, length, k, j, 4, lines.LIMIT, 80) for a, b in zip(x, y)]
+    assert all(length[a] >= length[b] for a, b in got)
+    a, b = np.triu_indices(900, 1)
+    low, high = np.minimum(length[a], length[b]), np.maximum(length[a], length[b])
+    want = (np.bitwise_count(sim[a] ^ sim[b]) < lines.LIMIT) & (high - low <= 20 * high // 100)
+    assert sorted((min(x), max(x)) for x in got) == list(zip(a[want].tolist(), b[want].tolist())) and want.sum() > 100
+    cols = {"hash": pa.array(np.arange(900)), "sim": pa.array(sim.view(np.int64)), "length": pa.array(length), "more": pa.array(sim.view(np.int64))}
+    (out,) = lines._deal(4, lines.LIMIT, 6)([pa.RecordBatch.from_pydict(cols)])
+    messages = [units.unpack(m) for m in out.column("message").to_pylist()]
+    assert {len(m) for m in messages} == {4} and sum(len(m[0]) for m in messages) == 12 * 900
+
+
 def test_lines_meet_their_nearest_partner_first():
     """The line of least hash is 8 and 7 bits from the others, which are 1 bit apart: the first round names both partners, so fewer pairs are left to the second."""
     own, sim = np.array([50, 10, 60]), np.array([0, 0xFF, 1], np.uint64)
