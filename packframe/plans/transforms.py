@@ -359,19 +359,18 @@ def _damaged(b: bytes) -> bytes:
     n = int.from_bytes(b[10:12], "big")
     out = np.frombuffer(b, np.uint8).copy()
     words = out[12:].reshape(255, n)
-    for i in range(n):
-        words[(np.arange(20) * 11 + i) % 255, i] ^= 1 + i % 255
+    i = np.arange(n)
+    words[(np.arange(20)[:, None] * 11 + i) % 255, i] ^= (1 + i % 255).astype(np.uint8)
     return out.tobytes()
 
 
 @query("SELECT doc_id AS id, md5(text) AS digest, (20 * ceil(strlen(text) / 215.0))::BIGINT AS corrected FROM documents")
 def rs_correct(spark, sf_dir):
-    def fix(b):
-        data, n = ecc.decode(_damaged(ecc.encode(b)))
-        return [hashlib.md5(data).hexdigest(), str(n)]
+    def fix(values):
+        return [{"digest": hashlib.md5(data).hexdigest(), "corrected": n} for data, n in ecc.decode_all([_damaged(b) for b in ecc.encode_all(values)])]
 
-    x = _files(spark, sf_dir).select("id", fb.binary_function(fix, "array<string>")(F.col("content")).alias("r"))
-    return x.select("id", F.col("r")[0].alias("digest"), F.col("r")[1].cast("long").alias("corrected"))
+    x = _files(spark, sf_dir).select("id", fb.many_function(fix, "struct<digest:string,corrected:bigint>")(F.col("content")).alias("r"))
+    return x.select("id", "r.digest", "r.corrected")
 
 
 @query(f"""WITH {BYTES}, g AS (SELECT id, pos, b, ceil(count(*) OVER (PARTITION BY id) / 255.0)::BIGINT AS n FROM b)
