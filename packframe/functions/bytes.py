@@ -154,9 +154,5 @@ def entropy_pair(content, sample: int, empty: float) -> Column:
     return measure(content)
 
 
-def byte_values(content) -> Column:
-    return binary_function(lambda b: np.frombuffer(b, np.uint8).astype(np.int32), "array<int>")(content)
-
-
 def adler32(content) -> Column:
     return binary_function(lambda b: zlib.adler32(b), "bigint")(content)

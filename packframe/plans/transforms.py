@@ -26,7 +26,12 @@ def _trip(spark, sf_dir, there_and_back):
 
 def _bytes(spark, sf_dir, f):
     """(id, pos, b) of f(content), exploded."""
-    return _files(spark, sf_dir).select("id", F.posexplode(fb.byte_values(fb.binary_function(f)(F.col("content")))).alias("pos", "b"))
+
+    def places(b):
+        x = np.frombuffer(f(b), np.uint8)
+        return np.arange(len(x), dtype=np.int32), x
+
+    return fb.exploded(_files(spark, sf_dir), "content", places, "pos int, b int")
 
 
 @query(f"""WITH {BYTES} SELECT id, ((sum((t - pos) * b) + max(t)) % 65521 * 65536 + (1 + sum(b)) % 65521)::BIGINT AS adler
@@ -379,10 +384,9 @@ def interleave(spark, sf_dir):
     def places(b):
         n = -(-len(b) // 255)
         pos = np.arange(len(b))
-        return [(int(p), int(v)) for p, v in zip(pos % 255 * n + pos // 255, b, strict=True)]
+        return pos % 255 * n + pos // 255, np.frombuffer(b, np.uint8)
 
-    x = _files(spark, sf_dir).select("id", F.explode(fb.binary_function(places, "array<struct<pos:bigint,b:int>>")(F.col("content"))).alias("p"))
-    return x.select("id", "p.pos", "p.b")
+    return fb.exploded(_files(spark, sf_dir), "content", places, "pos long, b int")
 
 
 @query(MD5)
