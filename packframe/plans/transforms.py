@@ -212,21 +212,22 @@ def passphrase_flag(spark, sf_dir):
     return x.select("id", F.conv(F.hex(F.substring(e, 1, 1)), 16, 10).cast("int").isin(1, 2, 3).alias("has_passphrase"))
 
 
-# ---- archives: one for each hash bucket of files, so no archive gathers a whole source
+# ---- archives: one for each run of files of a partition, so no archive gathers a whole source
 
+FILES = 1024  # of an archive
 
-def _archives(spark, sf_dir, there, back):
-    x = _files(spark, sf_dir)
 
+def _archives(spark, sf_dir, there, back):
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            ids, names, contents = (batch.column(c).to_pylist() for c in ("id", "path", "content"))
-            read = dict(back(there(list(zip(names, contents, strict=True)))))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([read.get(n) for n in names], pa.binary())], ["id", "content"])
-
-    return x.select("id", "path", "content").mapInArrow(run, "id long, content binary").select("id", F.md5("content").alias("digest"))
+            for at in range(0, batch.num_rows, FILES):
+                part = batch.slice(at, FILES)
+                names, contents = ([x or empty for x in part.column(c).to_pylist()] for c, empty in (("path", ""), ("content", b"")))
+                read = back(there(list(zip(names, contents, strict=True))))
+                digests = [hashlib.md5(c).hexdigest() if n == name else None for name, (n, c) in zip(names, read, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digests, pa.string(), mask=np.asarray(part.column("content").is_null()))], ["id", "digest"])
+
+    return _files(spark, sf_dir).select("id", "path", "content").mapInArrow(run, "id long, digest string")
 
 
 @query(MD5)
