@@ -13,6 +13,7 @@ from packframe.operators import archive
 from packframe.operators.order import greedy_blocks, running
 from packframe.plans.base import BYTES, ENTROPY, FILES, query, shared_sql
 from packframe.sources.files import files_from_documents, table
+from packframe.sources.sinks import archives_for
 
 
 def _entry():
@@ -226,15 +227,11 @@ def progress_percent(spark, sf_dir):
 def entry_count(spark, sf_dir):
     """Entries of each directory, counted in archives of its files: by the headers, without reading entries. A directory is dealt over archives, whose counts are added."""
 
-    def count(batches):
-        for batch in batches:
-            n = [archive.count_entries(b"ROX1" + b) for b in batch.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("dir"), pa.array(n, pa.int64())], ["dir", "n"])
-
-    def make(key, rows):
+    def count(key, rows):
         kind = (archive.pack, archive.indexed, archive.offset_table)[key[1].as_py() % 3]
-        return pa.table({"dir": pa.array([key[0].as_py()]), "content": pa.array([kind(list(zip(rows["path"].to_pylist(), rows["content"].to_pylist(), strict=True)))], pa.binary())})
+        made = kind(list(zip(rows["path"].to_pylist(), rows["content"].to_pylist(), strict=True)))
+        return pa.table({"dir": pa.array([key[0].as_py()], pa.string()), "n": pa.array([archive.count_entries(b"ROX1" + made)], pa.int64())})
 
-    x = _files(spark, sf_dir).select(F.regexp_extract("path", "^(.*)/", 1).alias("dir"), F.pmod(F.xxhash64("path"), F.lit(12)).cast("int").alias("part"), "path", "content")
-    made = x.groupBy("dir", "part").applyInArrow(make, "dir string, content binary")
-    return made.mapInArrow(count, "dir string, n long").groupBy("dir").agg(F.sum("n").alias("entries"))
+    files = _files(spark, sf_dir)
+    x = files.select(F.regexp_extract("path", "^(.*)/", 1).alias("dir"), F.pmod(F.xxhash64("path"), F.lit(archives_for(files, 12))).cast("int").alias("part"), "path", "content")
+    return x.groupBy("dir", "part").applyInArrow(count, "dir string, n long").groupBy("dir").agg(F.sum("n").alias("entries"))
