@@ -37,8 +37,8 @@ def files_roundtrip(spark, sf_dir):
 
 
 def _archived(spark, sf_dir, kind):
-    root = fresh_path(spark, f"archives-{kind}")
-    _all(sinks.write_archives(_files(spark, sf_dir), root, 24, kind))
+    root, files = fresh_path(spark, f"archives-{kind}"), _files(spark, sf_dir)
+    _all(sinks.write_archives(files, root, sinks.archives_for(files, 24), kind))
     return root
 
 
@@ -70,15 +70,18 @@ def png_list_files(spark, sf_dir):
 def extract_files(spark, sf_dir):
     """Requested files out of archives of all layouts; each archive is read until its last requested file."""
     files, names = _files(spark, sf_dir), table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("id")).distinct()
-    where = F.pmod(F.xxhash64("path"), F.lit(24)).cast("int")
+    n = sinks.archives_for(files, 24)
+    where = F.pmod(F.xxhash64("path"), F.lit(n)).cast("int")
     wanted = files.join(names, "id", "left_semi").select(where.alias("archive"), "path").groupBy("archive").agg(F.collect_list("path").alias("names"))  # the request, by archive
 
     def read(batches):
         for batch in batches:
-            out = [e for b, n in zip(batch.column("content").to_pylist(), batch.column("names").to_pylist(), strict=True) for e in archive.unpack_stream([b[i : i + 4096] for i in range(0, len(b), 4096)], n)]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.string()), pa.array([c for _, c in out], pa.binary())], ["path", "content"])
+            for value, asked in zip(batch.column("content"), batch.column("names"), strict=True):
+                b = value.as_py()
+                for out in sinks.bounded(archive.unpack_stream((b[i : i + 4096] for i in range(0, len(b), 4096)), asked.as_py())):
+                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.string()), pa.array([c for _, c in out], pa.binary())], ["path", "content"])
 
-    parts = [sinks.archives_of(files.filter(where % 3 == i), 24, kind) for i, kind in enumerate(("pack", "indexed", "table"))]
+    parts = [sinks.archives_of(files.filter(where % 3 == i), n, kind) for i, kind in enumerate(("pack", "indexed", "table"))]
     made = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("archive", "content")
     return made.join(wanted, "archive").select("content", "names").mapInArrow(read, "path string, content binary").select("path", F.md5("content").alias("digest"))
 
@@ -89,10 +92,12 @@ def tar_listing(spark, sf_dir):
 
     def read(batches):
         for batch in batches:
-            out = [e for b in batch.column("content").to_pylist() for e in archive.tar_list(io.BytesIO(b))]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.string()), pa.array([s for _, s in out], pa.int64())], ["path", "size"])
+            for b in batch.column("content"):
+                out = archive.tar_list(io.BytesIO(b.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.string()), pa.array([s for _, s in out], pa.int64())], ["path", "size"])
 
-    return sinks.archives_of(_files(spark, sf_dir), 24, "tar").select("content").mapInArrow(read, "path string, size long")
+    files = _files(spark, sf_dir)
+    return sinks.archives_of(files, sinks.archives_for(files, 24), "tar").select("content").mapInArrow(read, "path string, size long")
 
 
 @query(MD5)

@@ -45,8 +45,8 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
         made: set[str] = set()
         for batch in batches:
             names, sizes = [], []
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                safe = safe_path(name or "") or "file"
+            for name, value in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                safe, content = safe_path(name or "") or "file", value.as_py()
                 _put(f"{base}/{safe}", content or b"", made)
                 names.append(safe)
                 sizes.append(len(content or b""))
@@ -59,6 +59,14 @@ MAKERS = {"pack": archive.pack, "indexed": archive.indexed, "table": archive.off
 FORMATS = (*MAKERS, "png")
 
 
+EACH = 16 << 20
+
+
+def archives_for(files: DataFrame, least: int = 1) -> int:
+    """How many archives to deal files (size) to, so that one holds EACH bytes or so whatever there is; least at least."""
+    return max(least, -(-(files.agg(F.sum("size")).first()[0] or 0) // EACH))
+
+
 def _group_name(archives: int):
     return F.pmod(F.xxhash64("path"), F.lit(archives)).cast("int")
 
@@ -118,15 +126,28 @@ def entries_of(name: str, b: bytes, names: frozenset | None = None) -> Iterator[
         yield safe_path(name) or "file", b
 
 
+def bounded(entries: Iterator[tuple[str, bytes]], size: int = 4 << 20) -> Iterator[list[tuple[str, bytes]]]:
+    """The entries in lists that are closed when they hold size bytes or 10,000 entries."""
+    out, held = [], 0
+    for e in entries:
+        out.append(e)
+        held += len(e[1])
+        if held >= size or len(out) == 10_000:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
+
+
 def files_in(archives: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(path, size, content) of the files in archives (path, content)."""
     wanted = None if names is None else frozenset(names)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for name, b in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                out = list(entries_of(name or "", b or b"", wanted))
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.string()), pa.array([len(c) for _, c in out], pa.int64()), pa.array([c for _, c in out], pa.binary())], ["path", "size", "content"])
+            for name, b in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                for out in bounded(entries_of(name or "", b.as_py() or b"", wanted)):
+                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.string()), pa.array([len(c) for _, c in out], pa.int64()), pa.array([c for _, c in out], pa.binary())], ["path", "size", "content"])
 
     return archives.select("path", "content").mapInArrow(run, "path string, size long, content binary")
 
