@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from fnmatch import fnmatch
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,23 +23,30 @@ def _relative(root: str):
     return F.replace(F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", ""), "^.*?" + base, ""), F.lit("\\"), F.lit("/"))
 
 
-def _empty_files(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
-    """Files without a byte, which Spark's file index leaves out: from a listing of names on the driver, such as that index makes too."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(root)
-    found, each = [], where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
-    while each.hasNext():
-        status = each.next()
-        name = status.getPath().getName()
-        if not status.getLen() and not name.startswith((".", "_")) and (glob is None or fnmatch(name, glob)):
-            found.append((status.getPath().toString(),))
-    return spark.createDataFrame(found, "path string").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+FILES_A_TASK = 500
+
+
+def _empty_files(index: DataFrame, found) -> DataFrame:
+    """Files without a byte: Spark's file index has their names (found, which stay in the JVM), but its scans leave them out."""
+    spark = index.sparkSession
+    jvm = spark._jvm
+    names = DataFrame(spark._jsparkSession.createDataset(jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(found), jvm.org.apache.spark.sql.Encoders.STRING()), spark)
+    path = F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))  # names are encoded as in a URI, where a plus is itself
+    names = names.select(F.regexp_replace(path, r"^(\w+):///", "$1:/").alias("path"))
+    empty = names.join(index.select("path"), "path", "left_anti")
+    return empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
 
 
 def files_from_dir(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Regular files under root, empty ones as well, with paths relative to it (forward slashes); content is read only if it is used."""
+    """Regular files under root, empty ones as well, with paths relative to it (forward slashes); content is read only if it is used. A task gets
+    FILES_A_TASK files or so: Spark counts 4 MB for opening one, which would make a task for each few.
+    As everywhere in Spark, files and folders whose names begin with a dot or an underscore are left out."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     reader = reader.option("pathGlobFilter", glob) if glob else reader
-    every = reader.load(root).select("path", "length", "content").unionByName(_empty_files(spark, root, glob))
+    index = reader.load(root)
+    found = index._jdf.inputFiles()
+    index = index.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-len(found) // FILES_A_TASK)))
+    every = index.select("path", "length", "content").unionByName(_empty_files(index, found))
     return every.select(F.xxhash64("path").alias("id"), _relative(root).alias("path"), F.col("length").alias("size"), "content")
 
 
