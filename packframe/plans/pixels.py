@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -275,13 +277,12 @@ def bit_unpack(spark, sf_dir):
 def robust_image_roundtrip(spark, sf_dir):
     """Every document as a picture of blocks and back."""
 
-    def trip(b):
-        data, n = robust.read(robust.draw(b))
-        return {"data": data, "n": n}
+    def trip(values):
+        return [{"digest": hashlib.md5(data).hexdigest(), "n": n} for data, n in robust.there_and_back(values)]
 
-    x = files_from_documents(table(spark, sf_dir, "documents"))
-    x = x.select("id", fb.binary_function(trip, "struct<data:binary,n:bigint>")(F.col("content")).alias("r"))
-    return x.select("id", F.md5("r.data").alias("digest"), F.col("r.n").alias("corrected"))
+    x = files_from_documents(table(spark, sf_dir, "documents")).repartition(spark.sparkContext.defaultParallelism * 4)  # few bytes, much work
+    x = x.select("id", fb.many_function(trip, "struct<digest:string,n:bigint>")(F.col("content")).alias("r"))
+    return x.select("id", "r.digest", F.col("r.n").alias("corrected"))
 
 
 @query("""WITH t AS (SELECT x, y, x IN (0, 6) OR y IN (0, 6) OR (x BETWEEN 2 AND 4 AND y BETWEEN 2 AND 4) AS black FROM range(0, 7) AS a(x), range(0, 7) AS b(y)),
