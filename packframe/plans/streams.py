@@ -109,7 +109,7 @@ def png_stream_roundtrip(spark, sf_dir):
         png.write_image(f, (b[i : i + 1000] for i in range(0, len(b), 1000)), len(b), "x", None, 4096)
         return b"".join(png.payload_stream(f if not f.seek(0) else f))
 
-    return _files(spark, sf_dir).select("id", F.md5(fb.binary_function(trip)(F.col("content"))).alias("digest"))
+    return _files(spark, sf_dir).select("id", fb.md5_function(trip)(F.col("content")).alias("digest"))
 
 
 @query(MD5)
@@ -123,7 +123,7 @@ def png_optimise_roundtrip(spark, sf_dir):
             raise ValueError("larger than before")
         return png.decode_payload(small)[1]
 
-    return _files(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism * 4).select("id", F.md5(fb.binary_function(trip)(F.col("content"))).alias("digest"))
+    return _files(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism * 4).select("id", fb.md5_function(trip)(F.col("content")).alias("digest"))
 
 
 @query("""WITH hx AS (SELECT doc_id AS id, hex(encode(text)) AS h FROM documents)

@@ -21,7 +21,12 @@ def _files(spark, sf_dir):
 
 
 def _trip(spark, sf_dir, there_and_back):
-    return _files(spark, sf_dir).select("id", F.md5(fb.binary_function(there_and_back)(F.col("content"))).alias("digest"))
+    return _files(spark, sf_dir).select("id", fb.md5_function(there_and_back)(F.col("content")).alias("digest"))
+
+
+def _trips(spark, sf_dir, there_and_back):
+    """As _trip, of many values together."""
+    return _files(spark, sf_dir).select("id", fb.md5_of_many(there_and_back)(F.col("content")).alias("digest"))
 
 
 def _bytes(spark, sf_dir, f):
@@ -83,7 +88,12 @@ def order1_contexts(spark, sf_dir):
 
 @query()
 def bwt_block(spark, sf_dir):
-    return _files(spark, sf_dir).select("id", fb.binary_function(lambda b: codecs.bwt(b)[1], "bigint")(F.col("content")).alias("primary_index"), F.md5(fb.binary_function(lambda b: codecs.bwt(b)[0])(F.col("content"))).alias("last_column"))
+    def block(b):
+        last, row = codecs.bwt(b)
+        return {"primary_index": row, "last_column": hashlib.md5(last).hexdigest()}
+
+    x = _files(spark, sf_dir).select("id", fb.binary_function(block, "struct<primary_index:bigint,last_column:string>")(F.col("content")).alias("r"))
+    return x.select("id", "r.primary_index", "r.last_column")
 
 
 @query(MD5)
@@ -99,13 +109,13 @@ SELECT move::INT AS move, count(*) AS n FROM (SELECT move FROM again UNION ALL S
 def mtf_ranks(spark, sf_dir):
     """How often each rank occurs over all documents. A rank is the number of different bytes since the byte's last occurrence; at its first, what
     the table's order and the bytes before it make of it."""
-    x = _files(spark, sf_dir).select(F.posexplode(fb.histogram(fb.binary_function(codecs.mtf)(F.col("content")))).alias("move", "k")).filter("k > 0")
+    x = _files(spark, sf_dir).select(F.posexplode(fb.histogram(fb.many_function(codecs.mtf_all)(F.col("content")))).alias("move", "k")).filter("k > 0")
     return x.groupBy("move").agg(F.sum("k").alias("n"))
 
 
 @query(MD5)
 def mtf_roundtrip(spark, sf_dir):
-    return _trip(spark, sf_dir, lambda b: codecs.unmtf(codecs.mtf(b)))
+    return _trips(spark, sf_dir, lambda v: codecs.unmtf_all(codecs.mtf_all(v)))
 
 
 def _runs(b):
@@ -127,7 +137,7 @@ def zero_runs(spark, sf_dir):
 
 @query(f"{_DELTA} SELECT id, (sum(bits) + 7)::BIGINT // 8 AS coded_bytes FROM (SELECT id, 9 AS bits FROM d WHERE d <> 0 UNION ALL SELECT id, 2 + 2 * floor(log2(run + 1)) FROM r UNION ALL SELECT doc_id, 0 FROM documents WHERE text = '') GROUP BY id")
 def rle0_bits(spark, sf_dir):
-    return _files(spark, sf_dir).select("id", F.octet_length(fb.binary_function(lambda b: codecs.rle0(codecs.delta(b)))(F.col("content"))).cast("long").alias("coded_bytes"))
+    return _files(spark, sf_dir).select("id", fb.binary_function(lambda b: len(codecs.rle0(codecs.delta(b))), "bigint")(F.col("content")).alias("coded_bytes"))
 
 
 @query(MD5)
@@ -137,17 +147,17 @@ def rle0_roundtrip(spark, sf_dir):
 
 @query(MD5)
 def rans_roundtrip(spark, sf_dir):
-    return _trip(spark, sf_dir, lambda b: codecs.rans_unpack(codecs.rans_pack(b)))
+    return _trips(spark, sf_dir, lambda v: codecs.rans_unpack_all(codecs.rans_pack_all(v)))
 
 
 @query(MD5)
 def hybrid_roundtrip(spark, sf_dir):
-    return _trip(spark, sf_dir, lambda b: codecs.unhybrid(codecs.hybrid(b)))
+    return _trips(spark, sf_dir, lambda v: codecs.unhybrid_all(codecs.hybrid_all(v)))
 
 
 @query()
 def hybrid_report(spark, sf_dir):
-    x = _files(spark, sf_dir).select("id", "size", F.octet_length(fb.binary_function(lambda b: codecs.hybrid(b))(F.col("content"))).cast("long").alias("packed"))
+    x = _files(spark, sf_dir).select("id", "size", fb.many_function(lambda v: [len(x) for x in codecs.hybrid_all(v)], "bigint")(F.col("content")).alias("packed"))
     return x.withColumn("ratio", F.when(F.col("size") > 0, F.col("packed") / F.col("size")).otherwise(0.0))
 
 
@@ -163,7 +173,7 @@ def zstd_dict_roundtrip(spark, sf_dir):
     rows = x.orderBy(F.xxhash64("id"), "id").select(F.substring("content", 1, 8192).alias("c")).limit(512).collect()
     dictionary = codecs.train_dictionary([bytes(r.c) for r in rows], 16 << 10)
     shared = spark.sparkContext.broadcast(dictionary)  # 16 KiB
-    return x.select("id", F.md5(fb.binary_function(lambda b: codecs.unzstd(codecs.zstd(b, 3, shared.value), shared.value))(F.col("content"))).alias("digest"))
+    return x.select("id", fb.md5_function(lambda b: codecs.unzstd(codecs.zstd(b, 3, shared.value), shared.value))(F.col("content")).alias("digest"))
 
 
 @query(MD5)
@@ -278,7 +288,7 @@ def png_metadata(spark, sf_dir):
 
 @query(MD5)
 def png_payload_roundtrip(spark, sf_dir):
-    return _images(spark, sf_dir).select("id", F.md5(fb.binary_function(lambda b: png.decode_payload(b)[1][1:])(F.col("image"))).alias("digest"))
+    return _images(spark, sf_dir).select("id", fb.md5_function(lambda b: png.decode_payload(b)[1][1:])(F.col("image")).alias("digest"))
 
 
 @query("SELECT doc_id AS id, concat(source, '/', lang, '/doc_', doc_id, '.txt') AS name, strlen(text)::BIGINT AS size FROM documents")
@@ -323,6 +333,14 @@ _ADDED = ", ".join(f"bit_xor(w{w}) AS w{w}" for w in range(5))
 _HEX = " || ".join(f"printf('%02x', ((w{j // 8} >> {8 * (j % 8)}::UBIGINT) & 255::UBIGINT)::INT)" for j in range(40))
 
 
+def _by_blocks(values, k, f):
+    """f's row of each block of k bytes of each value, in hexadecimal digits; the blocks of all values are computed together."""
+    counts = [-(-len(b) // k) for b in values]
+    data = np.frombuffer(b"".join(b.ljust(n * k, b"\0") for b, n in zip(values, counts, strict=True)), np.uint8).reshape(-1, k)
+    rows = iter([w.tobytes().hex() for w in f(data)])
+    return [[next(rows) for _ in range(n)] for n in counts]
+
+
 @query(f"""WITH RECURSIVE {_FIELD}, {BYTES},
 g AS (SELECT 0 AS k, list_prepend(1, list_transform(range(0, 40), lambda x: 0)) AS c UNION ALL
   SELECT k + 1, list_transform(range(1, 42), lambda n: xor(c[n], CASE WHEN n > 1 THEN {_TIMES.format("c[n - 1]", "f.ex[k + 1]")} ELSE 0 END)::INT) FROM g, f WHERE k < 40),
@@ -334,13 +352,10 @@ SELECT id, pos // 215 AS block, {_HEX} AS parity FROM (SELECT id, pos // 215 * 2
 def rs_parity(spark, sf_dir):
     """Parity bytes (medium level) of each block of each document."""
 
-    def parity(b):
-        k = ecc.N - 40
-        data = np.zeros((-(-len(b) // k), k), np.uint8)
-        data.ravel()[: len(b)] = np.frombuffer(b, np.uint8)
-        return [w.tobytes().hex() for w in ecc.parity(data, 40)]
+    def parity(values):
+        return _by_blocks(values, ecc.N - 40, lambda data: ecc.parity(data, 40))
 
-    x = _files(spark, sf_dir).select("id", F.posexplode(fb.binary_function(parity, "array<string>")(F.col("content"))).alias("block", "parity"))
+    x = _files(spark, sf_dir).select("id", F.posexplode(fb.many_function(parity, "array<string>")(F.col("content"))).alias("block", "parity"))
     return x.select("id", F.col("block").cast("long").alias("block"), "parity")
 
 
@@ -351,12 +366,10 @@ SELECT id, block, {_HEX} AS syndromes FROM (SELECT id, pos // 255 AS block, {_AD
 def rs_syndromes(spark, sf_dir):
     """Syndromes of each document's bytes, taken as received words of 255 symbols: they are no code words, so hardly any is zero."""
 
-    def syndromes(b):
-        words = np.zeros((-(-len(b) // ecc.N), ecc.N), np.uint8)
-        words.ravel()[: len(b)] = np.frombuffer(b, np.uint8)
-        return [w.astype(np.uint8).tobytes().hex() for w in ecc.syndromes(words, 40)]
+    def syndromes(values):
+        return _by_blocks(values, ecc.N, lambda words: ecc.syndromes(words, 40).astype(np.uint8))
 
-    x = _files(spark, sf_dir).select("id", F.posexplode(fb.binary_function(syndromes, "array<string>")(F.col("content"))).alias("block", "syndromes"))
+    x = _files(spark, sf_dir).select("id", F.posexplode(fb.many_function(syndromes, "array<string>")(F.col("content"))).alias("block", "syndromes"))
     return x.select("id", F.col("block").cast("long").alias("block"), "syndromes")
 
 
@@ -392,11 +405,5 @@ def interleave(spark, sf_dir):
 
 @query(MD5)
 def ecc_roundtrip(spark, sf_dir):
-    """A batch's blocks are encoded and checked together."""
-
-    def run(batches):
-        for batch in batches:
-            back = [b for b, _ in ecc.decode_all(ecc.encode_all([b or b"" for b in batch.column("content").to_pylist()], "low"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(back, pa.binary())], ["id", "content"])
-
-    return _files(spark, sf_dir).select("id", "content").mapInArrow(run, "id long, content binary").select("id", F.md5("content").alias("digest"))
+    """Many values' blocks are encoded and checked together."""
+    return _trips(spark, sf_dir, lambda v: [b for b, _ in ecc.decode_all(ecc.encode_all(v, "low"))])
