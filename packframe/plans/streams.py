@@ -132,9 +132,9 @@ def scanline_strip(spark, sf_dir):
     """Documents as rows of a filter byte and 21 pixels: what is left without the filter bytes."""
 
     def strip(b):
-        return bytes(x for i in range(0, len(b), 64) for x in b[i + 1 : i + 64]).hex().upper()
+        return b"".join(b[i + 1 : i + 64] for i in range(0, len(b), 64)).hex().upper().encode()
 
-    return _files(spark, sf_dir).filter("size > 1").select("id", F.md5(fb.binary_function(strip, "string")(F.col("content"))).alias("digest"))
+    return _files(spark, sf_dir).filter("size > 1").select("id", fb.md5_function(strip)(F.col("content")).alias("digest"))
 
 
 @query("""WITH hx AS (SELECT doc_id AS id, hex(encode(text)) AS h FROM documents),
