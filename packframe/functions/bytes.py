@@ -22,7 +22,7 @@ ROWS = 64
 MOST, AREA = 512, 8 << 20
 
 
-def _in_parts(n: int, part: Callable, to: pa.DataType) -> pa.Array:
+def in_parts(n: int, part: Callable, to: pa.DataType) -> pa.Array:
     return pa.concat_arrays([pa.array(part(at), to) for at in range(0, n, ROWS)] or [pa.array([], to)])
 
 
@@ -31,10 +31,10 @@ def arrow_function(f: Callable, kind: str):
     to = to_arrow_type(DataType.fromDDL(kind))
 
     def one(a: pa.Array) -> pa.Array:
-        return _in_parts(len(a), lambda at: [None if x is None else _plain(f(x)) for x in a.slice(at, ROWS).to_pylist()], to)
+        return in_parts(len(a), lambda at: [None if x is None else _plain(f(x)) for x in a.slice(at, ROWS).to_pylist()], to)
 
     def two(a: pa.Array, b: pa.Array) -> pa.Array:
-        return _in_parts(len(a), lambda at: [None if x is None or y is None else _plain(f(x, y)) for x, y in zip(a.slice(at, ROWS).to_pylist(), b.slice(at, ROWS).to_pylist(), strict=True)], to)
+        return in_parts(len(a), lambda at: [None if x is None or y is None else _plain(f(x, y)) for x, y in zip(a.slice(at, ROWS).to_pylist(), b.slice(at, ROWS).to_pylist(), strict=True)], to)
 
     needed = [p for p in inspect.signature(f).parameters.values() if p.default is p.empty]
     return F.arrow_udf(two if len(needed) == 2 else one, kind)

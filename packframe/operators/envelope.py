@@ -10,10 +10,11 @@ import os
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packframe.functions.bytes import binary_function
+from packframe.functions.bytes import ROWS, binary_function, in_parts
 
 ITERATIONS = 600_000  # fixed value of the format
 
@@ -54,35 +55,40 @@ def xor_decrypt(envelope, passphrase: str) -> Column:
     return binary_function(lambda b: xor_bytes(b[1:], key))(envelope)
 
 
-def _random(n: int):
-    @F.pandas_udf("binary")
-    def draw(like: pd.Series) -> pd.Series:
-        raw = os.urandom(n * len(like))
-        return pd.Series([raw[i : i + n] for i in range(0, n * len(like), n)], dtype=object)
-
-    return draw.asNondeterministic()(F.lit(b""))
+def _secrets(df: DataFrame, passphrase: str, salt: bytes, iterations: int, iv: int = 0, counters_for: str | None = None) -> DataFrame:
+    """df with _key (which only a function's closure holds), a new random _iv of so many bytes, and the counter blocks _n for a column's bytes. One function makes
+    them all: each function of a task is a Python worker of its own."""
+    key = derive(passphrase, salt, iterations)
 
+    def make(a: pa.Array) -> pa.Array:
+        n = len(a)
+        ivs = [os.urandom(iv) for _ in range(n)]
+        parts = [pa.repeat(pa.scalar(key), n), pa.array(ivs, pa.binary())]
+        if counters_for:
+            sizes = a.to_pylist()
+            parts.append(in_parts(n, lambda at: [None if size is None else _counters(v, size) for v, size in zip(ivs[at : at + ROWS], sizes[at : at + ROWS], strict=True)], pa.binary()))
+        return pa.StructArray.from_arrays(parts, ["key", "iv", "n"][: len(parts)])
 
-def _with_key(df: DataFrame, passphrase: str, salt: bytes, iterations: int) -> DataFrame:
-    """df with the key as a column that only a function's closure holds."""
-    key = derive(passphrase, salt, iterations)
-    return df.withColumn("_key", binary_function(lambda _: key)(F.lit(b"\0")))
+    kind = "struct<key:binary,iv:binary" + (",n:binary>" if counters_for else ">")
+    about = F.octet_length(counters_for) if counters_for else F.lit(0)
+    made = F.arrow_udf(make, kind).asNondeterministic()(about)
+    x = df.withColumn("_made", made).withColumn("_key", F.col("_made.key"))
+    x = x.withColumn("_iv", F.col("_made.iv")) if iv else x
+    return (x.withColumn("_n", F.col("_made.n")) if counters_for else x).drop("_made")
 
 
 def gcm_encrypt(df: DataFrame, content: str, out: str, passphrase: str, salt: bytes | None = None, iterations: int = ITERATIONS) -> DataFrame:
     """Layout: 01, salt (16), iv (12), tag (16), ciphertext. One salt a call, one iv a row."""
     salt = salt or os.urandom(16)
-    x = _with_key(df, passphrase, salt, iterations).withColumn("_iv", _random(12))
+    x = _secrets(df, passphrase, salt, iterations, 12)
     x = x.withColumn("_c", F.aes_encrypt(F.col(content), F.col("_key"), F.lit("GCM"), F.lit("DEFAULT"), F.col("_iv")))
-    n = F.octet_length("_c")
     tag, body = F.expr("substring(_c, octet_length(_c) - 15, 16)"), F.expr("substring(_c, 13, octet_length(_c) - 28)")
-    del n
     return x.withColumn(out, F.concat(F.lit(bytes([GCM])), F.lit(salt), F.col("_iv"), tag, body)).drop("_key", "_iv", "_c")
 
 
 def gcm_decrypt(df: DataFrame, envelope: str, out: str, passphrase: str, salt: bytes, iterations: int = ITERATIONS) -> DataFrame:
     """Null where the tag doesn't verify."""
-    x = _with_key(df, passphrase, salt, iterations)
+    x = _secrets(df, passphrase, salt, iterations)
     e = envelope
     joined = F.expr(f"concat(substring({e}, 18, 12), substring({e}, 46), substring({e}, 30, 16))")
     return x.withColumn(out, F.try_aes_decrypt(joined, F.col("_key"), F.lit("GCM"))).drop("_key")
@@ -102,31 +108,35 @@ def _mask(a: bytes, stream: bytes) -> bytes:
     return (np.frombuffer(a, np.uint8) ^ np.frombuffer(stream, np.uint8, len(a))).tobytes()
 
 
-def _keystream(x: DataFrame, iv: Column, content: Column) -> DataFrame:
-    x = x.withColumn("_n", binary_function(_counters_of)(iv, content))
-    return x.withColumn("_s", F.aes_encrypt(F.col("_n"), F.col("_key"), F.lit("ECB"), F.lit("PKCS")))
-
-
-def _counters_of(iv: bytes, content: bytes) -> bytes:
-    return _counters(iv, len(content))
+def _stream() -> Column:
+    return F.aes_encrypt(F.col("_n"), F.col("_key"), F.lit("ECB"), F.lit("PKCS"))
 
 
 def ctr_encrypt(df: DataFrame, content: str, out: str, passphrase: str, salt: bytes | None = None, iterations: int = ITERATIONS) -> DataFrame:
     """Layout: 03, salt (16), iv (16), ciphertext, HMAC over all before (32). The MAC's key is derived from the salt and 00 4D 41 43."""
     salt = salt or os.urandom(16)
     mac_key = derive(passphrase, salt + b"\0MAC", iterations)
-    x = _keystream(_with_key(df, passphrase, salt, iterations).withColumn("_iv", _random(16)), F.col("_iv"), F.col(content))
-    body = F.concat(F.lit(bytes([CTR])), F.lit(salt), F.col("_iv"), binary_function(_mask)(F.col(content), F.col("_s")))
-    return x.withColumn(out, binary_function(lambda b: b + hmac.digest(mac_key, b, "sha256"))(body)).drop("_key", "_iv", "_n", "_s")
+
+    def seal(b: bytes, iv_stream: bytes) -> bytes:
+        body = bytes([CTR]) + salt + iv_stream[:16] + _mask(b, iv_stream[16:])
+        return body + hmac.digest(mac_key, body, "sha256")
+
+    x = _secrets(df, passphrase, salt, iterations, 16, content).withColumn("_s", F.concat(F.col("_iv"), _stream()))
+    return x.withColumn(out, binary_function(seal)(F.col(content), F.col("_s"))).drop("_key", "_iv", "_n", "_s")
 
 
 def ctr_decrypt(df: DataFrame, envelope: str, out: str, passphrase: str, salt: bytes, iterations: int = ITERATIONS) -> DataFrame:
     """The MAC is always verified; null where it fails."""
-    mac_key = derive(passphrase, salt + b"\0MAC", iterations)
-    good = binary_function(lambda b: b[33:-32] if len(b) >= 65 and hmac.compare_digest(hmac.digest(mac_key, b[:-32], "sha256"), b[-32:]) else None)
-    x = _with_key(df, passphrase, salt, iterations).withColumn("_c", good(F.col(envelope)))
-    x = _keystream(x, F.expr(f"substring({envelope}, 18, 16)"), F.col("_c"))
-    return x.withColumn(out, binary_function(_mask)(F.col("_c"), F.col("_s"))).drop("_key", "_c", "_n", "_s")
+    key, mac_key = derive(passphrase, salt, iterations), derive(passphrase, salt + b"\0MAC", iterations)
+
+    def check(b: bytes) -> dict | None:
+        if len(b) < 65 or not hmac.compare_digest(hmac.digest(mac_key, b[:-32], "sha256"), b[-32:]):
+            return None
+        return {"key": key, "n": _counters(b[17:33], len(b) - 65)}
+
+    x = df.withColumn("_o", binary_function(check, "struct<key:binary,n:binary>")(F.col(envelope)))
+    x = x.withColumn("_key", F.col("_o.key")).withColumn("_n", F.col("_o.n")).withColumn("_s", _stream())
+    return x.withColumn(out, binary_function(lambda b, s: _mask(b[33:-32], s))(F.col(envelope), F.col("_s"))).drop("_o", "_key", "_n", "_s")
 
 
 LEAST = {PLAIN: 1, GCM: 45, XOR: 1, CTR: 65}  # bytes of the shortest envelope of each kind

@@ -207,9 +207,10 @@ def aes_ctr_hmac_roundtrip(spark, sf_dir):
 
 @query("SELECT doc_id AS id, true AS gcm_refused, true AS ctr_refused FROM documents")
 def tamper_detected(spark, sf_dir):
-    flip = fb.binary_function(lambda b: b[:-1] + bytes([b[-1] ^ 1]))
+    last = lambda c: F.conv(F.hex(F.substring(c, -1, 1)), 16, 10).cast("long").bitwiseXOR(F.lit(1))
+    flip = lambda c: F.concat(F.expr(f"substring({c}, 1, octet_length({c}) - 1)"), F.unhex(F.lpad(F.hex(last(c)), 2, "0")))
     x = envelope.gcm_encrypt(_files(spark, sf_dir), "content", "g", PASS, SALT, ROUNDS)
-    x = envelope.ctr_encrypt(x, "content", "c", PASS, SALT, ROUNDS).withColumn("g", flip(F.col("g"))).withColumn("c", flip(F.col("c")))
+    x = envelope.ctr_encrypt(x, "content", "c", PASS, SALT, ROUNDS).withColumn("g", flip("g")).withColumn("c", flip("c"))
     x = envelope.ctr_decrypt(envelope.gcm_decrypt(x, "g", "gd", PASS, SALT, ROUNDS), "c", "cd", PASS, SALT, ROUNDS)
     return x.select("id", F.col("gd").isNull().alias("gcm_refused"), F.col("cd").isNull().alias("ctr_refused"))
 
